@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import lines, mixing, sharding
+from fieldloom.llm import lines, mixing, packing, sharding
 from fieldloom.sessions import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def _shipped(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     found = (
         lines.op1_line_dedup,
+        packing.op4_packing,
         mixing.op6_mixing,
         sharding.op9_sharding,
     )
