@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import lines, mixing, packing, sharding
+from fieldloom.llm import lines, mixing, packing, sharding, simhash
 from fieldloom.sessions import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         lines.op1_line_dedup,
         packing.op4_packing,
         mixing.op6_mixing,
+        simhash.op8_simhash,
         sharding.op9_sharding,
     )
     return {f.__name__: _shipped(f) for f in found}
