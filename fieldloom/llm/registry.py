@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import lines, mixing, packing, sharding, simhash
+from fieldloom.llm import langid, lines, mixing, packing, sharding, simhash
 from fieldloom.sessions import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
     found = (
         lines.op1_line_dedup,
         packing.op4_packing,
+        langid.op5_langid,
         mixing.op6_mixing,
         simhash.op8_simhash,
         sharding.op9_sharding,
