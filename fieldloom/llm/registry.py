@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import langid, lines, mixing, packing, sharding, simhash
+from fieldloom.llm import htmltext, langid, lines, mixing, packing, sharding, simhash
 from fieldloom.sessions import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
         mixing.op6_mixing,
         simhash.op8_simhash,
         sharding.op9_sharding,
+        htmltext.op10_html,
     )
     return {f.__name__: _shipped(f) for f in found}
 
