@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import ann, embeddings, htmltext, langid, lines, mixing, packing, sharding, simhash
+from fieldloom.llm import ann, embeddings, htmltext, langid, lines, mixing, packing, passages, sharding, simhash
 from fieldloom.sessions import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def _shipped(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     found = (
         lines.op1_line_dedup,
+        passages.op2_passages,
         embeddings.op3_embeddings,
         packing.op4_packing,
         langid.op5_langid,
