@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 from itertools import combinations, islice, repeat
 
@@ -25,53 +27,73 @@ PAIRS_UP_TO = 128
 BLOCK = 1 << 15
 
 
-def simhash(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
-    """A text's fingerprint: A-Z lower-cased, words between ASCII white space, shingles of ``words`` with repeats."""
+def remixed(h: np.ndarray, table: int) -> np.ndarray:
+    """The hashes themselves for table 0; for another, hashes that are independent of them and of other tables'."""
+    if not table:
+        return h
+    x = h + np.uint64(table * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def simhashes(text: str | None, words: int = SHINGLE, seed: int = SEED, tables: int = 1) -> list[int]:
+    """A text's fingerprint in each table: A-Z lower-cased, words between ASCII white space, shingles with repeats."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return [0] * tables
     if len(found) < words:
         shingles: Iterator[bytes] = iter([b" ".join(found)])
     else:
         shingles = map(b" ".join, zip(*(islice(found, k, None) for k in range(words)), strict=False))
-    n, ones = 0, np.zeros(BITS, dtype=np.int64)
+    n, ones = 0, np.zeros((tables, BITS), dtype=np.int64)
     while len(h := np.fromiter(islice(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), BLOCK), dtype="<u8")):
         n += len(h)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        for t in range(tables):
+            bits = np.unpackbits(remixed(h, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[t] += np.add.reduce(bits, axis=0, dtype=np.uint16)
+    return [int.from_bytes(np.packbits(2 * row > n, bitorder="little").tobytes(), "little") for row in ones]
 
 
-def fingerprints(docs: DataFrame, *, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row of ``docs``."""
+def fingerprints(docs: DataFrame, *, words: int = SHINGLE, seed: int = SEED, tables: int = 1) -> DataFrame:
+    """doc_id and fps (the fingerprint in each table, as signed longs) of each row of ``docs``."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(t.as_py(), words, seed) for t in batch.column(1)], dtype="<u8")
-            yield pa.record_batch([batch.column(0), pa.array(fps.view("<i8"))], names=["doc_id", "fp"])
+            own = [simhashes(t.as_py(), words, seed, tables) for t in batch.column(1)]
+            flat = np.array(own, dtype="<u8").reshape(-1).view("<i8")
+            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, tables, dtype=np.int32), pa.array(flat))
+            yield pa.record_batch([batch.column(0), lists], names=["doc_id", "fps"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {kind}, fps array<long>")
 
 
-def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints, and how many have bits i and j both set; a matrix of fixed size, summed on the cluster."""
+def bit_statistics(fps: DataFrame, tables: int) -> np.ndarray:
+    """For each table, how many fingerprints have bits i and j both set, and at the end how many there are.
+
+    A matrix of fixed size, summed on the cluster.
+    """
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((BITS, BITS)), 0
+        total = np.zeros((tables, BITS * BITS + 1))
         for batch in batches:
-            raw = np.ascontiguousarray(batch.column(0).to_numpy()).view(np.uint8).reshape(-1, 8)
+            table = batch.column(0).to_numpy()
+            raw = np.ascontiguousarray(batch.column(1).to_numpy()).view(np.uint8).reshape(-1, 8)
             for low in range(0, len(raw), BLOCK):
                 bits = np.unpackbits(raw[low : low + BLOCK], axis=1, bitorder="little").astype(np.float32)
-                total += bits.T @ bits
-                n += len(bits)
-        at = np.arange(BITS * BITS + 1)
-        yield pa.record_batch([pa.array(at), pa.array(np.append(total.ravel(), n).astype(np.int64))], names=["at", "n"])
-
-    sums = fps.select("fp").mapInArrow(gram, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    out = np.zeros(BITS * BITS + 1, dtype=np.int64)
+                for t in range(tables):
+                    own = bits[table[low : low + BLOCK] == t]
+                    total[t, :-1] += (own.T @ own).ravel()
+                    total[t, -1] += len(own)
+        at = np.arange(total.size)
+        yield pa.record_batch([pa.array(at), pa.array(total.ravel().astype(np.int64))], names=["at", "n"])
+
+    sums = fps.select("t", "fp").mapInArrow(gram, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    out = np.zeros(tables * (BITS * BITS + 1), dtype=np.int64)
     for r in sums.collect():
         out[r["at"]] = r["n"]
-    return int(out[-1]), out[:-1].reshape(BITS, BITS)
+    return out.reshape(tables, -1)
 
 
 def correlated_groups(n: int, both: np.ndarray, partitions: int) -> list[list[int]]:
@@ -101,27 +123,23 @@ def mask_of(bits: list[int]) -> int:
     return int(np.array([sum(1 << b for b in bits)], dtype="<u8").view("<i8")[0])
 
 
-def candidate_estimates(fps: DataFrame, n: int, both: np.ndarray, groups: list[list[int]], distance: int) -> np.ndarray:
+def candidate_estimates(same: dict[int, float], n: int, both: np.ndarray, groups: list[list[int]], distance: int) -> np.ndarray:
     """Estimated candidate pairs for each group and threshold from -1 (unused: none) to ``distance``.
 
-    Threshold 0 is counted over all fingerprints (a sum of squares of value counts); wider ones grow from it as they
-    would if bits agreed independently with the chance their share of ones gives. Probes count as candidates.
+    ``same`` has the pairs that agree in a whole group, counted over all fingerprints; wider thresholds grow from it as
+    they would if bits agreed independently with the chance their share of ones gives. Probes count as candidates.
     """
     p = np.diag(both) / max(1, n)
     agree = p * p + (1 - p) * (1 - p)
     out = np.zeros((len(groups), distance + 2))
-    values = F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(mask_of(bits))).alias("v")) for g, bits in enumerate(groups)))).alias("x")
-    counted = fps.select(values).groupBy("x.g", "x.v").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs"))
-    same = {r["g"]: r["pairs"] for r in counted.collect()}
     for g, bits in enumerate(groups):
         within = np.zeros(distance + 1)  # chance of exactly t differing bits
         within[0] = 1.0
         for b in bits:
             within[1:] = within[1:] * agree[b] + within[:-1] * (1 - agree[b])
             within[0] *= agree[b]
-        probes = 1
         for t in range(distance + 1):
-            probes = probes if t == 0 else probes + len(list(combinations(bits, t)))
+            probes = sum(math.comb(len(bits), k) for k in range(t + 1))
             out[g, t + 1] = same.get(g, 0.0) * within[: t + 1].sum() / max(within[0], 1e-300) + n * probes
     return out
 
@@ -145,64 +163,76 @@ def allocate(estimates: np.ndarray, distance: int) -> list[int]:
     return best[need][1]
 
 
-def probe_keys(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(fp, g, key): each used group's bits, and those with up to a threshold's number of them flipped."""
-    structs: list[Column] = []
-    for g, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
-        own = F.col("fp").bitwiseAND(F.lit(mask_of(bits)))
-        structs += [F.struct(F.lit(g).alias("g"), own.bitwiseXOR(F.lit(mask_of(list(flip)))).alias("key")) for k in range(t + 1) for flip in combinations(bits, k)]
-    return fps.select("fp", F.explode(F.array(*structs)).alias("x")).select("fp", "x.g", "x.key")
+def probe_keys(fps: DataFrame, groups: list[list[list[int]]], thresholds: list[list[int]]) -> DataFrame:
+    """(t, fp, g, key): each used group's bits in the table's fingerprint, and those with up to a threshold flipped."""
+    parts = []
+    for table, (own_groups, own_thresholds) in enumerate(zip(groups, thresholds, strict=True)):
+        structs: list[Column] = []
+        for g, (bits, most) in enumerate(zip(own_groups, own_thresholds, strict=True)):
+            own = F.col("fp").bitwiseAND(F.lit(mask_of(bits)))
+            structs += [F.struct(F.lit(g).alias("g"), own.bitwiseXOR(F.lit(mask_of(list(flip)))).alias("key")) for k in range(most + 1) for flip in combinations(bits, k)]
+        parts.append(fps.where(F.col("t") == table).select("t", "fp", F.explode(F.array(*structs)).alias("x")).select("t", "fp", "x.g", "x.key"))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def half_way_links(fps: DataFrame, distance: int) -> DataFrame:
-    """Links (fa, fb) that connect just what lies within ``distance``, without comparing pairs; for an even distance.
+    """Links (t, fa, fb) that connect just what lies within ``distance``, without comparing pairs; for an even distance.
 
     Two fingerprints lie within 2h if and only if some value lies within h of both. Each goes to all values within h
     (65 for h = 1) and links to the smallest that goes to the same value: linear in the fingerprints, however many of
     them crowd together.
     """
     flips = [F.lit(mask_of(list(f))) for k in range(distance // 2 + 1) for f in combinations(range(BITS), k)]
-    near = fps.select("fp", F.explode(F.transform(F.array(*flips), lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    least = near.groupBy("value").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1)
-    found = near.join(least.drop("n"), "value").where(F.col("fp") != F.col("least"))
-    return found.select(F.col("least").alias("fa"), F.col("fp").alias("fb")).distinct()
+    near = fps.select("t", "fp", F.explode(F.transform(F.array(*flips), lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
+    least = near.groupBy("t", "value").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1)
+    found = near.join(least.drop("n"), ["t", "value"]).where(F.col("fp") != F.col("least"))
+    return found.select("t", F.col("least").alias("fa"), F.col("fp").alias("fb")).distinct()
 
 
-def links(fps: DataFrame, *, distance: int = DISTANCE, partitions: int = PARTITIONS, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
-    """Links (fa, fb) between distinct fingerprints ``fps`` (fp) that connect all that differ in ``distance`` bits at most.
+def links(fps: DataFrame, *, tables: int = 1, distance: int = DISTANCE, partitions: int = PARTITIONS, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
+    """Links (t, fa, fb) between distinct fingerprints ``fps`` (t, fp) that connect all that differ in ``distance`` bits at most.
 
     Fingerprints that share a key of an allotted group are verified pair by pair. Where more than ``pairs_up_to`` share
     one, all of them take the half-way route instead. That route exists for even distances only; with an odd one, every
     pair that shares a key is verified.
     """
-    n, both = bit_statistics(fps)
-    groups = correlated_groups(n, both, partitions)
-    thresholds = allocate(candidate_estimates(fps, n, both, groups, distance), distance)
+    sums = bit_statistics(fps, tables)
+    both = [row[:-1].reshape(BITS, BITS) for row in sums]
+    groups = [correlated_groups(int(sums[t, -1]), both[t], partitions) for t in range(tables)]
+    whole = probe_keys(fps, groups, [[0] * partitions] * tables).groupBy("t", "g", "key").agg(F.count("*").alias("n"))
+    same = whole.groupBy("t", "g").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs")).collect()
+    thresholds = [allocate(candidate_estimates({r["g"]: r["pairs"] for r in same if r["t"] == t}, int(sums[t, -1]), both[t], groups[t], distance), distance) for t in range(tables)]
     keys, _ = cut(probe_keys(fps, groups, thresholds), "probes")
-    sizes, _ = cut(keys.groupBy("g", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
+    sizes, _ = cut(keys.groupBy("t", "g", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
     crowded = F.col("n") > (pairs_up_to if distance % 2 == 0 else 1 << 62)
-    small = keys.join(sizes.where(~crowded), ["g", "key"])
-    a, b = small.select("g", "key", F.col("fp").alias("fa")), small.select("g", "key", F.col("fp").alias("fb"))
-    pairs = a.join(b, ["g", "key"]).where((F.col("fa") < F.col("fb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance)).select("fa", "fb")
-    many = keys.join(sizes.where(crowded), ["g", "key"]).select("fp").distinct()
-    return pairs.unionByName(half_way_links(many, distance)) if distance % 2 == 0 else pairs
+    small, _ = cut(keys.join(sizes.where(~crowded).drop("n"), ["t", "g", "key"]), "small")
+    a, b = small.withColumnRenamed("fp", "fa"), small.withColumnRenamed("fp", "fb")
+    pairs = a.join(b, ["t", "g", "key"]).where((F.col("fa") < F.col("fb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance)).select("t", "fa", "fb")
+    if distance % 2:
+        return pairs
+    many = keys.join(sizes.where(crowded).drop("n"), ["t", "g", "key"]).select("t", "fp").distinct()
+    return pairs.unionByName(half_way_links(many, distance))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, tables: int = 1) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable by links, itself included) of each row of ``docs``.
 
-    Documents link if their fingerprints differ in at most ``distance`` bits. A null or wordless text has fingerprint
-    zero and links like any other. Rows with one doc_id each give a row. A null doc_id gives a row too and never is a
-    component_id unless no other doc_id is linked. Equal fingerprints are one node; only distinct ones are searched.
+    Documents link if their fingerprints differ in at most ``distance`` bits, in any of ``tables`` independent
+    fingerprints; the first is returned. A null or wordless text has fingerprint zero and links like any other. Rows
+    with one doc_id each give a row. A null doc_id gives a row too, and never is a component_id unless no other doc_id
+    is linked. No rows give none. Equal fingerprints are one node; only distinct ones are searched.
     """
-    fps, _ = cut(fingerprints(docs, words=words, seed=seed), "fingerprints")
-    nodes, _ = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    known = nodes.where(F.col("first").isNotNull())
-    found = links(known.select("fp"), distance=distance)
-    named = found.join(known.toDF("fa", "a"), "fa").join(known.toDF("fb", "b"), "fb").select("a", "b")
-    reached = components(named)
-    labelled, _ = cut(nodes.join(reached.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("component", "first").alias("component_id")), "labels")
-    return fps.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    prints, _ = cut(fingerprints(docs, words=words, seed=seed, tables=tables), "fingerprints")
+    nodes, _ = cut(prints.groupBy("fps").agg(F.min("doc_id").alias("first")), "nodes")
+    known = nodes.where(F.col("first").isNotNull()).select("first", F.posexplode("fps").alias("t", "fp"))
+    least, _ = cut(known.groupBy("t", "fp").agg(F.min("first").alias("least"), F.max("first").alias("most")), "least")
+    found = links(least.select("t", "fp"), tables=tables, distance=distance)
+    ends = least.select("t", "fp", "least")
+    named = found.join(ends.toDF("t", "fa", "a"), ["t", "fa"]).join(ends.toDF("t", "fb", "b"), ["t", "fb"]).select("a", "b")
+    equal = known.join(least.where(F.col("least") < F.col("most")).select("t", "fp", "least"), ["t", "fp"]).select(F.col("first").alias("a"), F.col("least").alias("b"))
+    reached = components(named.unionByName(equal))
+    labelled, _ = cut(nodes.join(reached.withColumnRenamed("node", "first"), "first", "left").select("fps", F.coalesce("component", "first").alias("component_id")), "labels")
+    return prints.join(labelled, "fps").select("doc_id", F.col("fps")[0].alias("fp"), "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
