@@ -47,36 +47,56 @@ def nb_log_likelihood(y: np.ndarray, mu: np.ndarray, dispersion: float) -> float
     return float((log_gamma(y + r) - log_gamma(np.full_like(mu, r)) - log_gamma(y + 1) + r * np.log(r / (r + mu)) + y * np.log(mu / (r + mu))).sum())
 
 
-def fit_log_linear(y: np.ndarray, x: np.ndarray, offset: np.ndarray, dispersion: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coefficients, means and log-likelihood by scored steps, halved while the likelihood falls."""
-    beta = np.zeros(x.shape[1])
-    beta[0] = math.log((y.sum() + 0.5) / np.exp(offset).sum())
+def fixed_part(y: np.ndarray, dispersion: float) -> float:
+    """The share of the log-likelihood that the means don't change."""
+    r = 1 / dispersion
+    values, times = np.unique(y, return_counts=True)
+    return float((times * (log_gamma(values + r) - log_gamma(np.full_like(values, r)) - log_gamma(values + 1))).sum())
+
+
+def moving_part(y: np.ndarray, mu: np.ndarray, dispersion: float) -> float:
+    """The share that they do: :func:`nb_log_likelihood` is the sum of both."""
+    rest = np.log1p(dispersion * mu)
+    return float(y @ (np.log(dispersion * mu) - rest) - rest.sum() / dispersion)
+
+
+def fit_log_linear(y: np.ndarray, x: np.ndarray, offset: np.ndarray, dispersion: float, start: np.ndarray | None = None, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coefficients, means and the moving part of the log-likelihood, by scored steps, halved while it falls."""
+    if start is None:
+        beta = np.zeros(x.shape[1])
+        beta[0] = math.log((y.sum() + 0.5) / np.exp(offset).sum())
+    else:
+        beta = start.copy()
+    ridge = 1e-10 * np.eye(x.shape[1])
     mu = np.exp(np.clip(x @ beta + offset, -30, 30))
-    best = nb_log_likelihood(y, mu, dispersion)
+    best = moving_part(y, mu, dispersion)
     for _ in range(rounds):
-        w = mu / (1 + dispersion * mu)
-        z = (y - mu) / (1 + dispersion * mu)
-        step = np.linalg.lstsq((x * w[:, None]).T @ x + 1e-10 * np.eye(x.shape[1]), x.T @ z, rcond=None)[0]
+        v = 1 + dispersion * mu
+        step = np.linalg.lstsq((x * (mu / v)[:, None]).T @ x + ridge, x.T @ ((y - mu) / v), rcond=None)[0]
         size = 1.0
-        while size > 1e-4:
+        while True:
             to = beta + size * step
             mu_to = np.exp(np.clip(x @ to + offset, -30, 30))
-            reached = nb_log_likelihood(y, mu_to, dispersion)
-            if reached >= best - 1e-12:
+            reached = moving_part(y, mu_to, dispersion)
+            if reached >= best - 1e-12 or size < 1e-4:
                 break
             size /= 2
-        gain = reached - best
-        beta, mu, best = to, mu_to, max(best, reached)
-        if abs(gain) < 1e-9:
+        if reached <= best:
+            break
+        gain, beta, mu, best = reached - best, to, mu_to, reached
+        if gain < 1e-8:
             break
     return beta, mu, best
 
 
-def adjusted_profile(y: np.ndarray, x: np.ndarray, offset: np.ndarray, dispersion: float) -> float:
-    """Log-likelihood at the fit less half the log-determinant of the information (Cox and Reid)."""
-    _, mu, best = fit_log_linear(y, x, offset, dispersion)
-    w = mu / (1 + dispersion * mu)
-    return best - 0.5 * np.linalg.slogdet((x * w[:, None]).T @ x + 1e-10 * np.eye(x.shape[1]))[1]
+def profile_curve(y: np.ndarray, x: np.ndarray, offset: np.ndarray, grid: np.ndarray) -> list[float]:
+    """At each dispersion, the log-likelihood of the fit less half the log-determinant of its information (Cox and Reid)."""
+    out, beta = [], None
+    for d in grid:
+        beta, mu, best = fit_log_linear(y, x, offset, d, beta)
+        information = (x * (mu / (1 + d * mu))[:, None]).T @ x + 1e-10 * np.eye(x.shape[1])
+        out.append(best + fixed_part(y, d) - 0.5 * np.linalg.slogdet(information)[1])
+    return out
 
 
 def dispersion_grid(length: int = GRID_LENGTH, low: float = GRID_RANGE[0], high: float = GRID_RANGE[1]) -> np.ndarray:
@@ -129,6 +149,9 @@ def fit_genes(counts: DataFrame, design: DataFrame, genes: DataFrame, names: Seq
     shared = counts.sparkSession.sparkContext.broadcast(lines)
     entries = counts.where(F.col("n") > 0).join(design.select("cell_line", "cell"), "cell").join(genes, ["cell_line", "gene"], "left_semi")
     sparse, _ = cut(entries.groupBy("cell_line", "gene").agg(F.collect_list(F.struct("cell", "n")).alias("entries")), "genes")
+    context = counts.sparkSession.sparkContext
+    tasks = 4 * max(context.defaultParallelism, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # fits cost far more than their bytes tell
+    sparse = sparse.repartition(tasks, "cell_line", "gene")
     grid = dispersion_grid(grid_length)
 
     def dense(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,13 +162,13 @@ def fit_genes(counts: DataFrame, design: DataFrame, genes: DataFrame, names: Seq
 
     def likelihoods(batches):
         for batch in batches:
-            curves = [[adjusted_profile(*dense(row), d) for d in grid] for _, row in batch.iterrows()]
+            curves = [profile_curve(*dense(row), grid) for _, row in batch.iterrows()]
             yield pd.DataFrame({"cell_line": batch["cell_line"], "gene": batch["gene"], "curve": curves})
 
     curves, _ = cut(sparse.mapInPandas(likelihoods, "cell_line string, gene string, curve array<double>"), "curves")
     total = curves.select("cell_line", F.posexplode("curve").alias("k", "v")).groupBy("cell_line", "k").agg(F.avg("v").alias("v"))
     mean = total.groupBy("cell_line").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("common"))
-    ready = sparse.join(curves, ["cell_line", "gene"]).join(mean, "cell_line")
+    ready = sparse.join(curves, ["cell_line", "gene"]).join(mean, "cell_line").repartition(tasks, "cell_line", "gene")
     out_names = [f"beta_{c}" for c in names]
     p_names = [f"p_{c}" for c in tested]
 

@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.plans import spatial
+from fieldloom.plans import cohorts, spatial
 from fieldloom.sessions import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (spatial,)
+MODULES = (spatial, cohorts)
 
 
 def _shipped(query: Query) -> Query:

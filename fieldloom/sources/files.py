@@ -44,7 +44,7 @@ def parse_outlines(lines: DataFrame, scale: Column | float = 1.0, scale_y: Colum
     split = lines.where(F.trim("line") != "").select("*", F.element_at(parts, 1).alias("cls"), numbers.alias("_v"))
     good = split.where((F.size("_v") % 2 == 0) & (F.size("_v") >= 6) & ~F.exists("_v", lambda v: v.isNull()))
     at = F.sequence(F.lit(0), F.expr("size(_v) div 2 - 1"))
-    poly = F.transform(at, lambda i: F.struct((F.element_at("_v", 2 * i + 1) * sx).alias("x"), (F.element_at("_v", 2 * i + 2) * sy).alias("y")))
+    poly = F.transform(at, lambda i: F.struct((F.element_at("_v", (2 * i + 1).cast("int")) * sx).alias("x"), (F.element_at("_v", (2 * i + 2).cast("int")) * sy).alias("y")))
     return good.withColumn("polygon", poly).drop("_v", "line")
 
 
