@@ -46,7 +46,7 @@ class WordHashes(dict):
             self.clear()
             self.raw = bytearray()
         at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return np.frombuffer(bytes(self.raw), dtype="<u8").reshape(-1, 2)[at]
+        return np.frombuffer(self.raw, dtype="<u8").reshape(-1, 2)[at]
 
     def rolling(self, lane: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
         """A hash of the ``size`` words from each start: their hashes times rising powers of an odd base, modulo 2^64."""
