@@ -72,7 +72,7 @@ def fit_log_linear(y: np.ndarray, x: np.ndarray, offset: np.ndarray, dispersion:
     best = moving_part(y, mu, dispersion)
     for _ in range(rounds):
         v = 1 + dispersion * mu
-        step = np.linalg.lstsq((x * (mu / v)[:, None]).T @ x + ridge, x.T @ ((y - mu) / v), rcond=None)[0]
+        step = np.linalg.solve((x * (mu / v)[:, None]).T @ x + ridge, x.T @ ((y - mu) / v))
         size = 1.0
         while True:
             to = beta + size * step

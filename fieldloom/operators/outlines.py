@@ -96,7 +96,8 @@ def contained_pairs(objects: DataFrame, threshold: float = 0.9, file: str = "ima
     """(file, large_idx, small_idx): strictly smaller outlines of which at least the threshold lies in a larger one."""
     sized = objects.withColumn("_area", G.area(F.col("polygon"))).where(F.col("_area") > 0)
     met = overlapping_pairs(sized, sized, [file]).withColumns({"_small": G.area(F.col("a_poly")), "_large": G.area(F.col("b_poly"))})
-    inner = met.where(F.col("_small") < F.col("_large")).where(overlap_area("a_poly", "b_poly") / F.col("_small") >= threshold)
+    likely = met.where((F.col("_small") < F.col("_large")) & (F.col("box_area") >= (threshold - 1e-9) * F.col("_small")))
+    inner = likely.where(overlap_area("a_poly", "b_poly") / F.col("_small") >= threshold)
     return inner.select(file, F.col("b_idx").alias("large_idx"), F.col("a_idx").alias("small_idx"))
 
 

@@ -23,6 +23,7 @@ def two_groups(cells: DataFrame, counts: DataFrame, *, min_cells: int = 100, gri
     tested = factors.join(skipped, "cell_line", "left_anti")
     design, names = design_table(tested, ["group"])
     fitted = fit_genes(counts, design, genes.join(skipped, "cell_line", "left_anti"), names, tested=["group"], grid_length=grid_length)
+    fitted, _ = cut(fitted, "fits")  # read several times below
     means = E.group_means(counts, tested, genes)
     done = E.adjusted(fitted.join(means, ["cell_line", "gene"]).withColumnRenamed("p_group", "p"), ["cell_line"])
     flagged = E.flagged(done)
@@ -44,6 +45,7 @@ def trend(tubes: DataFrame, counts: DataFrame, *, min_tubes: int = 50, slide: st
     genes, _ = cut(E.detected_genes(counts, factors, min_tubes, None), "detected")
     design, names = design_table(factors, ["total_nuc_sc", "prop_abn"], slide=slide)
     fitted = fit_genes(counts, design, genes, names, tested=["total_nuc_sc", "prop_abn"])
+    fitted, _ = cut(fitted, "fits")  # read several times below
     for c in ("total_nuc_sc", "prop_abn"):
         fitted = E.adjusted(fitted, ["cell_line"], f"p_{c}", f"fdr_{c}")
     return fitted.withColumns({"fc_total_nuc_sc": F.exp("beta_total_nuc_sc"), "fc_prop_abn_0.1": F.exp(0.1 * F.col("beta_prop_abn"))})

@@ -1 +1 @@
-
+"""Nothing here: the reference has no streams, windows over time or state, and none are added for their own sake."""
