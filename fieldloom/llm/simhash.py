@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 from itertools import combinations, islice, repeat
@@ -10,7 +9,7 @@ from itertools import combinations, islice, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
@@ -165,14 +164,13 @@ def allocate(estimates: np.ndarray, distance: int) -> list[int]:
 
 def probe_keys(fps: DataFrame, groups: list[list[list[int]]], thresholds: list[list[int]]) -> DataFrame:
     """(t, fp, g, key): each used group's bits in the table's fingerprint, and those with up to a threshold flipped."""
-    parts = []
-    for table, (own_groups, own_thresholds) in enumerate(zip(groups, thresholds, strict=True)):
-        structs: list[Column] = []
-        for g, (bits, most) in enumerate(zip(own_groups, own_thresholds, strict=True)):
-            own = F.col("fp").bitwiseAND(F.lit(mask_of(bits)))
-            structs += [F.struct(F.lit(g).alias("g"), own.bitwiseXOR(F.lit(mask_of(list(flip)))).alias("key")) for k in range(most + 1) for flip in combinations(bits, k)]
-        parts.append(fps.where(F.col("t") == table).select("t", "fp", F.explode(F.array(*structs)).alias("x")).select("t", "fp", "x.g", "x.key"))
-    return functools.reduce(DataFrame.unionByName, parts)
+    masks = []
+    for own_groups, own_thresholds in zip(groups, thresholds, strict=True):
+        probes = [(g, mask_of(bits), mask_of(list(flip))) for g, (bits, most) in enumerate(zip(own_groups, own_thresholds, strict=True)) for k in range(most + 1) for flip in combinations(bits, k)]
+        masks.append(F.array(*(F.struct(F.lit(g).alias("g"), F.lit(m).alias("mask"), F.lit(f).alias("flip")) for g, m, f in probes)))
+    own = F.element_at(F.array(*masks), F.col("t") + 1)
+    keys = F.transform(own, lambda p: F.struct(p["g"].alias("g"), F.col("fp").bitwiseAND(p["mask"]).bitwiseXOR(p["flip"]).alias("key")))
+    return fps.select("t", "fp", F.explode(keys).alias("x")).select("t", "fp", "x.g", "x.key")
 
 
 def half_way_links(fps: DataFrame, distance: int) -> DataFrame:
