@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows that one (key, bucket) holds on average if a single key holds everything.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 5_000
 
 
 def buckets_for(n_rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
