@@ -175,7 +175,7 @@ def fit(labelled: DataFrame, *, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHA
     language and then among the picks, so that no task holds a language. Null texts and labels are left out.
     """
     kept = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text"))
-    part = kept.withColumn("part", F.xxhash64(F.lit(5), "h") % 256)
+    part = kept.withColumn("part", F.xxhash64(F.lit(5), "h") % 64)
     for keys in (["lang", "part"], ["lang"]):
         order = Window.partitionBy(*keys).orderBy("h", "text")
         part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs)
