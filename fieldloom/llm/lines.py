@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.sessions import cut
+
 MIN_CHARS = 40
 MIN_DOCS = 5
 
@@ -57,6 +59,7 @@ def drop_common_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     held = known.mapInArrow(keys, f"doc_id {id_type}, digest binary")
     common = held.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("stays")).where(F.col("n") >= min_docs)
+    common, _ = cut(common.drop("n"), "common")  # a table of its own, so that the join below sees its size and can be split
     lost = held.join(common, "digest").where(F.col("doc_id") != F.col("stays"))
     lost = lost.groupBy("doc_id").agg(F.collect_set("digest").alias("_ln_lost"))
     plain = docs.drop("n_lines", "n_dropped")
