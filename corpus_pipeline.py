@@ -32,11 +32,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
+    """One document of each group of near copies: the one with the smallest doc_id.
+
+    Rows that share a doc_id are one document and stay or go together; rows without one can't be named and stay.
+    """
     ship(spark)
     found = simhash.near_duplicates(docs, tables=TABLES)
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
