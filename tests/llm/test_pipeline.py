@@ -51,3 +51,13 @@ def test_registry():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_stages_on_odd_tables(spark, empty):
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, "").count() == 0
+    rows = spark.createDataFrame([(None, "a text of words", None, None, None), (None, None, "en", "s", 1), (5, "a text of words", "en", None, 3), (5, "a text of words", "en", None, 3), (9, "a text of words", "en", "s", 3)], empty.schema).withColumn("size", F.lit("mine"))
+    got = {name: sorted((r["doc_id"] or -1) for r in stage(spark, rows, "").collect()) for name, stage in P.STAGES}
+    assert got["language_id"] == [-1, 5, 5, 9] and got["line_dedup"] == [-1, -1, 5, 5, 9]
+    assert got["simhash_dedup"] == [-1, -1, 5, 5]
+    assert set(got["mix_sources"]) <= {-1, 5, 9} and got["best_fit_packing"] == [-1, -1, 5, 5, 9]
