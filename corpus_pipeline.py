@@ -8,12 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import langid, lines, mixing, packing, ranking, simhash
+from fieldloom.llm import langid, lines, mixing, nearcopies, packing, ranking
 from fieldloom.sessions import shared_dir, ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Independent fingerprints of the near-duplicate stage: a near copy need be close in one of them.
-TABLES = 8
 #: The expression has no equal in SQL: a fitted classifier, fingerprints and a tokenizer.
 ORACLE_SQL = None
 
@@ -32,12 +30,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id.
 
     Rows that share a doc_id are one document and stay or go together; rows without one can't be named and stay.
     """
     ship(spark)
-    found = simhash.near_duplicates(docs, tables=TABLES)
+    found = nearcopies.near_copies(docs)
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
 
