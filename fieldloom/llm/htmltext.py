@@ -26,11 +26,10 @@ MARKS = frozenset(
 #: These too, where they don't stand in an article.
 OUTER_MARKS = frozenset("header topbar top head".split())
 CONTAINERS = frozenset("html body main article section div td table tbody tr center font blockquote".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the first kind ends an open one of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Share of a container's selected text that one of its children must hold to take its place.
+#: Share of a page's selected text that articles and main must hold to be all that is taken.
 DOMINANT = 0.6
 #: A list or box with so large a share of its text in at least three links is a menu.
 LINKED = 0.6
@@ -199,34 +198,33 @@ def main_text(source: str | None) -> str:
     for k, e in enumerate(elements):
         if e.parent >= 0 and length[k]:
             children.setdefault(e.parent, []).append(k)
-    # from the root, go where most of the selected text is, but not past an article, a heading's company, or into a block
-    at = 0
-    while True:
-        own = children.get(at, [])
-        best = max(own, key=lambda k: (selected[k], -k), default=None)
-        if best is None or elements[at].tag in ("article", "main") and any(elements[k].tag not in ("article", "section", "div") for k in own):
-            break
-        if elements[best].tag not in CONTAINERS or selected[best] < DOMINANT * selected[at]:
-            break
-        if any(elements[k].tag == "h1" for k in own) and elements[best].tag != "article":
-            break
-        at = best
-    # of the container's branches, those with selected text, headings and loose text
-    branch_ok: dict[int, bool] = {}
+    titled = [False] * len(elements)
+    for k in range(len(elements) - 1, 0, -1):
+        titled[k] = titled[k] or (elements[k].tag == "h1" and length[k] > 0)
+        titled[elements[k].parent] = titled[elements[k].parent] or titled[k]
+    # the outermost articles or main, if most of the selected text is in them; else the innermost container of all of it,
+    # but not past a title's company
+    tops = {k for k, e in enumerate(elements) if e.tag in ("article", "main") and selected[k] and not elements[e.parent].inside}
+    if not tops or sum(selected[k] for k in tops) < DOMINANT * selected[0]:
+        at = 0
+        while elements[at].tag not in ("article", "main"):
+            own = children.get(at, [])
+            best = max(own, key=lambda k: (selected[k], -k), default=None)
+            if best is None or elements[best].tag not in CONTAINERS or selected[best] < selected[at]:
+                break
+            if any(titled[k] for k in own if k != best):
+                break
+            at = best
+        tops = {at}
+    # the containers' text, without what marks or a share of links exclude
     parts: list[str] = []
     for k, t, starts in kept:
-        up, below, ok = k, -1, True
-        while up != at and up >= 0:
+        up, ok = k, True
+        while up not in tops and up >= 0:
             ok = ok and not menu[up]
-            below, up = up, elements[up].parent
-        if up != at or not ok:
-            continue
-        if below >= 0:
-            if below not in branch_ok:
-                branch_ok[below] = elements[at].inside or selected[below] > 0 or elements[below].tag in HEADINGS or elements[below].tag in INLINE
-            if not branch_ok[below]:
-                continue
-        parts.append(("\n" if starts else "") + t)
+            up = elements[up].parent
+        if up >= 0 and ok:
+            parts.append(("\n" if starts else "") + t)
     return " ".join("".join(parts).split())
 
 

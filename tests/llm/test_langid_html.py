@@ -101,6 +101,12 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var t = "<p>no</p>
         ("<body><nav>a</nav><h1>T</h1><p>Para one, ok.</p><div>bare div text here.</div>", "T Para one, ok. bare div text here."),
         ("<p>cut off <b>in the mid", "cut off in the mid"),
         ("<p>cut <a href='x", "cut"),
+        ("<article><section>" + "<p>One, two, and three.</p>" * 6 + "</section><section>" + "<p>Four, five, and six.</p>" * 4 + "</section></article>", " ".join(["One, two, and three."] * 6 + ["Four, five, and six."] * 4)),
+        ("<article><div><h1>Title</h1></div><div><p>Body, with words. And more of it.</p></div></article>", "Title Body, with words. And more of it."),
+        ("<body><div><div><h1>Title</h1></div><div><p>Body, with words. And more of it.</p></div></div>", "Title Body, with words. And more of it."),
+        ("<body><div>" + "<p>A long paragraph, with commas, and a stop. It goes on, and on.</p>" * 3 + "<ul><li>one<li>two</ul><table><tr><td>c</table><pre>x = 1</pre><blockquote>short</blockquote></div>", " ".join(["A long paragraph, with commas, and a stop. It goes on, and on."] * 3) + " one two c x = 1 short"),
+        ("<body><div>Outside.</div><article>" + "<p>One, two, and three.</p>" * 7 + "</article><article>" + "<p>Four, five.</p>" * 3 + "</article>", " ".join(["One, two, and three."] * 7 + ["Four, five."] * 3)),
+        ("<body><main><div><article><p>First, of two. It is long, and longer.</p></article></div><p>Second, of two.</p></main><div>Outside.</div>", "First, of two. It is long, and longer. Second, of two."),
         ("<article>" + "<p>long, text.</p>" * 5000 + "</article>", " ".join(["long, text."] * 5000)),
     ],
 )
