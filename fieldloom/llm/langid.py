@@ -169,18 +169,22 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def fit(labelled: DataFrame, *, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
-    """A model of ``labelled`` (text, lang): at most ``docs`` texts of each language, ``chars`` characters of each.
+    """A model of ``labelled`` (text, lang): at most ``docs`` distinct texts of each language, ``chars`` characters of each.
 
     The driver gets no more than that. Texts are picked by the order of their hashes, first within small parts of a
-    language and then among the picks, so that no task holds a language. Null texts and labels are left out.
+    language and then among the picks, so that no task holds a language; copies of a text count once. A longer text
+    gives the characters from a hashed place on. Null texts and labels are left out.
     """
-    kept = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text"))
-    part = kept.withColumn("part", F.xxhash64(F.lit(5), "h") % 64)
+    kept = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", F.xxhash64("text").alias("h"), "text")
+    part = kept.select("lang", "h").distinct().withColumn("part", F.xxhash64(F.lit(5), "h") % 64)
     for keys in (["lang", "part"], ["lang"]):
-        order = Window.partitionBy(*keys).orderBy("h", "text")
+        order = Window.partitionBy(*keys).orderBy("h")
         part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs)
+    spare = F.greatest(F.char_length("text") - chars, F.lit(0))
+    span = F.col("text").substr((F.pmod(F.xxhash64(F.lit(6), "h"), spare + 1) + 1).cast("int"), F.lit(chars))
+    picked = kept.join(F.broadcast(part.select("lang", "h", "rank")), ["lang", "h"]).groupBy("lang", "rank").agg(F.min(span).alias("text"))
     samples: dict[str, list[tuple[int, str]]] = {}
-    for r in part.select("lang", "rank", "text").collect():
+    for r in picked.collect():
         samples.setdefault(r["lang"], []).append((r["rank"], r["text"]))
     return train({k: [t for _, t in sorted(v)] for k, v in samples.items()})
 

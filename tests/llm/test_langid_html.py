@@ -73,6 +73,18 @@ def test_nothing_learned(spark):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_samples_are_distinct_spans(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [f"A notice that leads. {text(rng, 'aa', 40)}" for _ in range(30)]
+    rows = spark.createDataFrame([(t, "aa") for t in texts], "text string, lang string")
+    first = rows.orderBy(F.xxhash64("text")).first()["text"]
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda samples: seen.update(samples))
+    langid.fit(rows.unionByName(spark.createDataFrame([(first, "aa")] * 100, rows.schema)), docs=20, chars=20)
+    assert len(seen["aa"]) == 20 and all(len(t) == 20 and any(t in x for x in texts) for t in seen["aa"])
+    assert len(set(seen["aa"])) > 10 and sum(t.startswith("A notice") for t in seen["aa"]) < 5
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
