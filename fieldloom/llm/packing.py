@@ -235,13 +235,20 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*pieces.columns, "_pk_rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
-    """Pieces of ``docs`` with the checksum of their ids and their places."""
-    pieces = token_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    slim, _ = cut(pieces, "pieces")
-    return pack(slim)
+def pack_documents(docs: DataFrame, *, ids: bool = True) -> DataFrame:
+    """Pieces of ``docs`` with the checksum of their ids, their places and, unless off, the ids themselves.
+
+    Places are planned without the ids, which join them by the number of their row: rows may share a doc_id.
+    """
+    slim = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    pieces = token_pieces(docs).withColumn("ids_crc32", F.crc32("ids"))
+    if not ids:
+        return pack(cut(pieces.select(*slim), "pieces")[0])
+    whole, _ = cut(pieces.withColumn("_pk_row", F.monotonically_increasing_id()), "pieces")
+    placed = pack(whole.select("_pk_row", *slim))
+    return placed.join(whole.select("_pk_row", "ids"), "_pk_row").select(*slim, "sequence_id", "offset", "ids")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of 2048: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False)

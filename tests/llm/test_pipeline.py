@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +50,21 @@ def test_run_on_driver_tables(spark):
     assert got.count() > 0 and full.where("n > 2048 or n <> end").count() == 0
 
 
+def test_result_holds_the_tokens(spark):
+    from tokenizers import Tokenizer
+
+    from fieldloom.llm import packing
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["one text", "one", "other words here", "w " * 3000]  # whole and cut copies share a doc_id
+    docs = spark.createDataFrame([(k // 3, x, "en", "s", len(x)) for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.best_fit_packing(spark, docs, "").collect()
+    want = [[*t.encode(x, add_special_tokens=False).ids, packing.END_ID] for x in texts]
+    pieces = sorted((k // 3, own[s : s + 2048]) for k, own in enumerate(want) for s in range(0, len(own), 2048))
+    assert sorted((r["doc_id"], np.frombuffer(r["ids"], dtype="<u4").tolist()) for r in got) == pieces
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in got)
+
+
 def test_registry():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
