@@ -17,10 +17,16 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those whose text is null or has no letter go."""
+    """Documents with their predicted language as lang; those whose text is null or has no letter go.
+
+    Where no label was there to learn from, those with a letter stay as they are.
+    """
     ship(spark)
     model = langid.fit(docs.where(~langid.held_out()).select("text", "lang"))
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN)
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,16 @@ def test_result_holds_the_tokens(spark):
     assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in got)
 
 
+def test_language_id_labels_what_stays(spark, empty):
+    rows = [(k, t, lang, "s", 1) for k in range(40) for t, lang in [("the stone and the water", "en") if k % 2 else ("der stein und das wasser", "de")]]
+    wrong = next(k for k in range(101, 200) if zlib.crc32(str(k).encode()) % 5 == 0)  # held out: else its own label is learned
+    odd = [(100, "the water and the stone", None, "s", 1), (wrong, "das wasser und der stein", "en", "s", 1), (200, "12 !", "en", "s", 1)]
+    got = {r["doc_id"]: r["lang"] for r in P.language_id(spark, spark.createDataFrame(rows + odd, empty.schema), "").collect()}
+    assert got[100] == "en" and got[wrong] == "de" and 200 not in got and len(got) == 42
+    bare = spark.createDataFrame([(1, "some text", None, "s", 1), (2, "\u00df1", None, "s", 1), (3, "12 !", None, "s", 1), (4, None, None, "s", 1)], empty.schema)
+    assert {r["doc_id"]: r["lang"] for r in P.language_id(spark, bare, "").collect()} == {1: None, 2: None}
+
+
 def test_registry():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
