@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, islice, repeat
 
 import numpy as np
@@ -13,90 +13,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
-from fieldloom.sessions import cut
+from fieldloom.sessions import cut, discard
 
 BITS = 64
 SHINGLE = 3
 DISTANCE = 2
 SEED = 42
-PARTITIONS = 3
-#: Up to this many fingerprints with one key, pairs are compared; beyond, the exact way of :func:`half_way_links`.
-PAIRS_UP_TO = 128
 #: Shingles hashed at once.
 BLOCK = 1 << 15
 
 
-def remixed(h: np.ndarray, table: int) -> np.ndarray:
-    """The hashes themselves for table 0; for another, hashes that are independent of them and of other tables'."""
-    if not table:
-        return h
-    x = h + np.uint64(table * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def simhash(h: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes ``h``, as an unsigned integer; none: zero."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for low in range(0, len(h), BLOCK):
+        bits = np.unpackbits(h[low : low + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint16)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def simhashes(text: str | None, words: int = SHINGLE, seed: int = SEED, tables: int = 1) -> list[int]:
-    """A text's fingerprint in each table: A-Z lower-cased, words between ASCII white space, shingles with repeats."""
+def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
+    """A text's fingerprint: A-Z lower-cased, words between ASCII white space, shingles with repeats."""
     found = (text or "").encode().lower().split()
     if not found:
-        return [0] * tables
+        return 0
     if len(found) < words:
         shingles: Iterator[bytes] = iter([b" ".join(found)])
     else:
         shingles = map(b" ".join, zip(*(islice(found, k, None) for k in range(words)), strict=False))
-    n, ones = 0, np.zeros((tables, BITS), dtype=np.int64)
-    while len(h := np.fromiter(islice(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), BLOCK), dtype="<u8")):
-        n += len(h)
-        for t in range(tables):
-            bits = np.unpackbits(remixed(h, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[t] += np.add.reduce(bits, axis=0, dtype=np.uint16)
-    return [int.from_bytes(np.packbits(2 * row > n, bitorder="little").tobytes(), "little") for row in ones]
+    return simhash(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype="<u8"))
 
 
-def fingerprints(docs: DataFrame, *, words: int = SHINGLE, seed: int = SEED, tables: int = 1) -> DataFrame:
-    """doc_id and fps (the fingerprint in each table, as signed longs) of each row of ``docs``."""
+def fingerprints(docs: DataFrame, *, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of each row of ``docs``."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [simhashes(t.as_py(), words, seed, tables) for t in batch.column(1)]
-            flat = np.array(own, dtype="<u8").reshape(-1).view("<i8")
-            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, tables, dtype=np.int32), pa.array(flat))
-            yield pa.record_batch([batch.column(0), lists], names=["doc_id", "fps"])
+            own = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], dtype="<u8").view("<i8")
+            yield pa.record_batch([batch.column(0), pa.array(own, pa.int64())], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {kind}, fps array<long>")
+    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {kind}, fp long")
 
 
-def bit_statistics(fps: DataFrame, tables: int) -> np.ndarray:
-    """For each table, how many fingerprints have bits i and j both set, and at the end how many there are.
+def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
+    """How many fingerprints there are, and how many of them have bits i and j both set.
 
     A matrix of fixed size, summed on the cluster.
     """
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((tables, BITS * BITS + 1))
+        total = np.zeros(BITS * BITS + 1)
         for batch in batches:
-            table = batch.column(0).to_numpy()
-            raw = np.ascontiguousarray(batch.column(1).to_numpy()).view(np.uint8).reshape(-1, 8)
+            raw = np.ascontiguousarray(batch.column(0).to_numpy()).view(np.uint8).reshape(-1, 8)
             for low in range(0, len(raw), BLOCK):
                 bits = np.unpackbits(raw[low : low + BLOCK], axis=1, bitorder="little").astype(np.float32)
-                for t in range(tables):
-                    own = bits[table[low : low + BLOCK] == t]
-                    total[t, :-1] += (own.T @ own).ravel()
-                    total[t, -1] += len(own)
-        at = np.arange(total.size)
-        yield pa.record_batch([pa.array(at), pa.array(total.ravel().astype(np.int64))], names=["at", "n"])
-
-    sums = fps.select("t", "fp").mapInArrow(gram, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    out = np.zeros(tables * (BITS * BITS + 1), dtype=np.int64)
+                total[:-1] += (bits.T @ bits).ravel()
+                total[-1] += len(bits)
+        yield pa.record_batch([pa.array(np.arange(total.size)), pa.array(total.astype(np.int64))], names=["at", "n"])
+
+    sums = fps.select("fp").mapInArrow(gram, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    out = np.zeros(BITS * BITS + 1, dtype=np.int64)
     for r in sums.collect():
         out[r["at"]] = r["n"]
-    return out.reshape(tables, -1)
+    return int(out[-1]), out[:-1].reshape(BITS, BITS)
 
 
-def correlated_groups(n: int, both: np.ndarray, partitions: int) -> list[list[int]]:
-    """Bits in ``partitions`` groups of nearly equal size, each grown from a free bit by the bit most correlated with it.
+def correlated_groups(n: int, both: np.ndarray, partitions: int, bits: list[int] | None = None) -> list[list[int]]:
+    """``bits`` (all) in ``partitions`` groups of nearly equal size, each grown from a free bit by the most correlated one.
 
     Correlated bits in one group leave the groups independent of one another, so that few fingerprints agree by chance
     in any of them.
@@ -104,7 +88,7 @@ def correlated_groups(n: int, both: np.ndarray, partitions: int) -> list[list[in
     p = np.diag(both) / max(1, n)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     like = np.abs(both / max(1, n) - np.outer(p, p)) / np.outer(spread, spread)
-    free = list(range(BITS))
+    free = list(range(BITS) if bits is None else bits)
     groups: list[list[int]] = []
     for k in range(partitions):
         size = -(-len(free) // (partitions - k))
@@ -117,7 +101,7 @@ def correlated_groups(n: int, both: np.ndarray, partitions: int) -> list[list[in
     return groups
 
 
-def mask_of(bits: list[int]) -> int:
+def mask_of(bits: Iterable[int]) -> int:
     """The bits as a signed long."""
     return int(np.array([sum(1 << b for b in bits)], dtype="<u8").view("<i8")[0])
 
@@ -143,8 +127,8 @@ def candidate_estimates(same: dict[int, float], n: int, both: np.ndarray, groups
     return out
 
 
-def allocate(estimates: np.ndarray, distance: int) -> list[int]:
-    """A threshold per group, -1 for an unused one, of the least estimated candidates in sum.
+def allocate(estimates: np.ndarray, distance: int) -> tuple[float, list[int]]:
+    """A threshold per group, -1 for an unused one, of the least estimated candidates in sum; that sum goes before.
 
     With thresholds t_i that sum up to distance - groups + 1, two fingerprints at most ``distance`` apart differ in at
     most t_i bits in some group i: if all differed in t_i + 1 or more, they would differ in distance + 1 or more.
@@ -159,78 +143,96 @@ def allocate(estimates: np.ndarray, distance: int) -> list[int]:
                 if used + step not in following or to[0] < following[used + step][0]:
                     following[used + step] = to
         best = following
-    return best[need][1]
+    return best[need]
+
+
+def shared_pairs(fps: DataFrame, groups: list[list[int]]) -> dict[int, float]:
+    """For each group, the pairs of fingerprints that agree in all of its bits; one pass, sums per key."""
+    keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(mask_of(bits))) for bits in groups))).alias("g", "key")
+    per = fps.select(keys).groupBy("g", "key").agg(F.count("*").alias("n"))
+    pairs = per.groupBy("g").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs"))
+    return {r["g"]: r["pairs"] for r in pairs.collect()}
+
+
+def search_plan(fps: DataFrame, distance: int) -> tuple[list[tuple[list[int], int]], int, np.ndarray]:
+    """The groups to probe with their thresholds, of the least estimated candidates over all numbers of groups from 2
+    (or 1, for distance 0) to distance + 1; so groups get wider as fingerprints get more. Also the bit statistics."""
+    n, both = bit_statistics(fps)
+    options = [correlated_groups(n, both, m) for m in range(min(2, distance + 1), distance + 2)]
+    same = shared_pairs(fps, [bits for groups in options for bits in groups])
+    plans, low = [], 0
+    for groups in options:
+        own = {g: same.get(low + g, 0.0) for g in range(len(groups))}
+        low += len(groups)
+        cost, thresholds = allocate(candidate_estimates(own, n, both, groups, distance), distance)
+        plans.append((cost, [(bits, t) for bits, t in zip(groups, thresholds, strict=True) if t >= 0]))
+    return min(plans, key=lambda x: x[0])[1], n, both
+
 
+def probe_keys(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
+    """(fp, id, g, key): each probed group's bits in the fingerprint, and those with up to a threshold flipped."""
+    probes = [(g, mask_of(bits), mask_of(flip)) for g, (bits, most) in enumerate(plan) for k in range(most + 1) for flip in combinations(bits, k)]
+    own = F.array(*(F.struct(F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(m)).bitwiseXOR(F.lit(f)).alias("key")) for g, m, f in probes))
+    return fps.select("fp", "id", F.explode(own).alias("x")).select("fp", "id", "x.g", "x.key")
 
-def probe_keys(fps: DataFrame, groups: list[list[list[int]]], thresholds: list[list[int]]) -> DataFrame:
-    """(t, fp, g, key): each used group's bits in the table's fingerprint, and those with up to a threshold flipped."""
-    masks = []
-    for own_groups, own_thresholds in zip(groups, thresholds, strict=True):
-        probes = [(g, mask_of(bits), mask_of(list(flip))) for g, (bits, most) in enumerate(zip(own_groups, own_thresholds, strict=True)) for k in range(most + 1) for flip in combinations(bits, k)]
-        masks.append(F.array(*(F.struct(F.lit(g).alias("g"), F.lit(m).alias("mask"), F.lit(f).alias("flip")) for g, m, f in probes)))
-    own = F.element_at(F.array(*masks), F.col("t") + 1)
-    keys = F.transform(own, lambda p: F.struct(p["g"].alias("g"), F.col("fp").bitwiseAND(p["mask"]).bitwiseXOR(p["flip"]).alias("key")))
-    return fps.select("t", "fp", F.explode(keys).alias("x")).select("t", "fp", "x.g", "x.key")
+
+def rest_keys(shared: DataFrame, plan: list[tuple[list[int], int]], n: int, both: np.ndarray, distance: int) -> DataFrame:
+    """(fp, id, g, key, r, rest): a second pigeonhole within each key, over the bits outside its group in distance + 1
+    groups, so that one of them agrees as a whole."""
+    outside = [correlated_groups(n, both, distance + 1, [b for b in range(BITS) if b not in set(bits)]) for bits, _ in plan]
+    masks = F.element_at(F.array(*(F.array(*(F.lit(mask_of(b)) for b in own)) for own in outside)), F.col("g") + 1)
+    return shared.select("fp", "id", "g", "key", F.posexplode(masks).alias("r", "mask")).select("fp", "id", "g", "key", "r", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
+
+
+def sharing(keyed: DataFrame, *by: str) -> DataFrame:
+    """The rows whose key ``by`` another row has too."""
+    return keyed.join(keyed.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n"), list(by))
 
 
 def half_way_links(fps: DataFrame, distance: int) -> DataFrame:
-    """Links (t, fa, fb) that connect just what lies within ``distance``, without comparing pairs; for an even distance.
+    """Links (a, b) between ids of ``fps`` (fp, id) that connect just what lies within ``distance``, without pairs.
 
-    Two fingerprints lie within 2h if and only if some value lies within h of both. Each goes to all values within h
-    (65 for h = 1) and links to the smallest that goes to the same value: linear in the fingerprints, however many of
-    them crowd together.
+    Two fingerprints lie within ``distance`` if and only if some value lies within its half, rounded down, of one and
+    its half rounded up of the other. Each goes to all such values, and all at a value link to the smallest id among
+    those that are within the lesser half of it. A value has no more fingerprints than there are values around one (65
+    for a distance of 2), so the work is linear in the fingerprints, however many of them crowd together.
     """
-    flips = [F.lit(mask_of(list(f))) for k in range(distance // 2 + 1) for f in combinations(range(BITS), k)]
-    near = fps.select("t", "fp", F.explode(F.transform(F.array(*flips), lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    least = near.groupBy("t", "value").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1)
-    found = near.join(least.drop("n"), ["t", "value"]).where(F.col("fp") != F.col("least"))
-    return found.select("t", F.col("least").alias("fa"), F.col("fp").alias("fb")).distinct()
+    less, more = distance // 2, distance - distance // 2
+    flips = [(mask_of(f), k <= less) for k in range(more + 1) for f in combinations(range(BITS), k)]
+    around = F.array(*(F.struct(F.lit(m).alias("flip"), F.lit(near).alias("near")) for m, near in flips))
+    at = fps.select("fp", "id", F.explode(around).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x.flip")).alias("value"), "id", "x.near")
+    met = at.groupBy("value").agg(F.min(F.when(F.col("near"), F.col("id"))).alias("a"), F.collect_list("id").alias("ids"))
+    return met.where(F.col("a").isNotNull() & (F.size("ids") > 1)).select("a", F.explode("ids").alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
-def links(fps: DataFrame, *, tables: int = 1, distance: int = DISTANCE, partitions: int = PARTITIONS, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
-    """Links (t, fa, fb) between distinct fingerprints ``fps`` (t, fp) that connect all that differ in ``distance`` bits at most.
+def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Links (a, b) between ids of distinct fingerprints ``fps`` (fp, id) that connect all that differ in ``distance``
+    bits at most, and none that don't.
 
-    Fingerprints that share a key of an allotted group are verified pair by pair. Where more than ``pairs_up_to`` share
-    one, all of them take the half-way route instead. That route exists for even distances only; with an odd one, every
-    pair that shares a key is verified.
+    Probes by :func:`search_plan` leave the fingerprints that share a key, a second pigeonhole within each key those
+    that also agree in a part of their other bits; what is left is verified by :func:`half_way_links`. No step makes
+    pairs of a key's members.
     """
-    sums = bit_statistics(fps, tables)
-    both = [row[:-1].reshape(BITS, BITS) for row in sums]
-    groups = [correlated_groups(int(sums[t, -1]), both[t], partitions) for t in range(tables)]
-    whole = probe_keys(fps, groups, [[0] * partitions] * tables).groupBy("t", "g", "key").agg(F.count("*").alias("n"))
-    same = whole.groupBy("t", "g").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs")).collect()
-    thresholds = [allocate(candidate_estimates({r["g"]: r["pairs"] for r in same if r["t"] == t}, int(sums[t, -1]), both[t], groups[t], distance), distance) for t in range(tables)]
-    keys, _ = cut(probe_keys(fps, groups, thresholds), "probes")
-    sizes, _ = cut(keys.groupBy("t", "g", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
-    crowded = F.col("n") > (pairs_up_to if distance % 2 == 0 else 1 << 62)
-    small, _ = cut(keys.join(sizes.where(~crowded).drop("n"), ["t", "g", "key"]), "small")
-    a, b = small.withColumnRenamed("fp", "fa"), small.withColumnRenamed("fp", "fb")
-    pairs = a.join(b, ["t", "g", "key"]).where((F.col("fa") < F.col("fb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance)).select("t", "fa", "fb")
-    if distance % 2:
-        return pairs
-    many = keys.join(sizes.where(crowded).drop("n"), ["t", "g", "key"]).select("t", "fp").distinct()
-    return pairs.unionByName(half_way_links(many, distance))
-
-
-def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, tables: int = 1) -> DataFrame:
+    plan, n, both = search_plan(fps, distance)
+    shared, _ = cut(sharing(probe_keys(fps, plan), "g", "key"), "probes")
+    found = sharing(rest_keys(shared, plan, n, both, distance), "g", "key", "r", "rest")
+    return half_way_links(found.select("fp", "id").distinct(), distance)
+
+
+def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable by links, itself included) of each row of ``docs``.
 
-    Documents link if their fingerprints differ in at most ``distance`` bits, in any of ``tables`` independent
-    fingerprints; the first is returned. A null or wordless text has fingerprint zero and links like any other. Rows
-    with one doc_id each give a row. A null doc_id gives a row too, and never is a component_id unless no other doc_id
-    is linked. No rows give none. Equal fingerprints are one node; only distinct ones are searched.
+    Documents link if their fingerprints differ in at most ``distance`` bits. A null or wordless text has fingerprint
+    zero and links like any other. Rows with one doc_id each give a row. A null doc_id gives a row too, and never is a
+    component_id unless no other doc_id has its fingerprint. No rows give none. Extra columns are not read. Equal
+    fingerprints are one node; only distinct ones are searched.
     """
-    prints, _ = cut(fingerprints(docs, words=words, seed=seed, tables=tables), "fingerprints")
-    nodes, _ = cut(prints.groupBy("fps").agg(F.min("doc_id").alias("first")), "nodes")
-    known = nodes.where(F.col("first").isNotNull()).select("first", F.posexplode("fps").alias("t", "fp"))
-    least, _ = cut(known.groupBy("t", "fp").agg(F.min("first").alias("least"), F.max("first").alias("most")), "least")
-    found = links(least.select("t", "fp"), tables=tables, distance=distance)
-    ends = least.select("t", "fp", "least")
-    named = found.join(ends.toDF("t", "fa", "a"), ["t", "fa"]).join(ends.toDF("t", "fb", "b"), ["t", "fb"]).select("a", "b")
-    equal = known.join(least.where(F.col("least") < F.col("most")).select("t", "fp", "least"), ["t", "fp"]).select(F.col("first").alias("a"), F.col("least").alias("b"))
-    reached = components(named.unionByName(equal))
-    labelled, _ = cut(nodes.join(reached.withColumnRenamed("node", "first"), "first", "left").select("fps", F.coalesce("component", "first").alias("component_id")), "labels")
-    return prints.join(labelled, "fps").select("doc_id", F.col("fps")[0].alias("fp"), "component_id")
+    prints, _ = cut(fingerprints(docs, words=words, seed=seed), "fingerprints")
+    nodes, nodes_path = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
+    reached = components(links(nodes.where(F.col("id").isNotNull()), distance))
+    labelled, _ = cut(nodes.join(reached.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "labels")
+    discard(docs.sparkSession, nodes_path)
+    return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
