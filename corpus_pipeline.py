@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import langid, lines, mixing, nearcopies, packing, ranking
+from fieldloom.llm import langid, lines, mixing, nearcopies, packing
 from fieldloom.sessions import shared_dir, ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -42,19 +42,25 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     ship(spark)
     found = nearcopies.near_copies(docs)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    go = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where(~F.col("stays")).select("doc_id")
+    return docs.join(go, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks: none, once or several times, the last of a source in part."""
+    """Documents as often as their source's target asks: none, once or several times, the last of a source in part.
+
+    Null sources are one source, null and wordless texts take no part, repeated rows count each; see
+    :func:`fieldloom.llm.mixing.mix`. Only the five columns of documents go on, whatever else there is.
+    """
     ship(spark)
-    mixed = mixing.mix(docs, buckets=ranking.buckets_for(docs.count()))
-    return mixing.materialise(mixed, COLUMNS).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    return mixing.materialise(mixing.mix(docs), COLUMNS).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, with their token ids, in sequences of 2048 tokens."""
+    """Pieces of the documents, with their token ids, in sequences of 2048 tokens.
+
+    A null text is an empty one; repeated rows are packed each; see :func:`fieldloom.llm.packing.pack_documents`.
+    """
     ship(spark)
     return packing.pack_documents(docs)
 

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.ranking import buckets_for, running
+from fieldloom.llm.names import fresh
+from fieldloom.llm.ranking import buckets_for
+from fieldloom.sessions import cut
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
+#: A row a source is broadcast for so many sources; with more, it is joined like any table.
+BROADCAST_SOURCES = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -40,48 +44,72 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return per.select("source", "source_size", "target", F.least(F.floor(F.col("target") + 0.5).cast("long"), "cap").alias("quota"))
 
 
-def mix(docs: DataFrame, *, buckets: int, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, *, buckets: int | None = None, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, source, more) with size, source_size, target, repeats, part and taken.
 
     A source's quota is ``repeats`` whole copies of each of its documents and one more of documents in the order of a
-    seeded digest of doc_id until the quota is full; the last of these is taken for its first ``part`` words only. So
-    ``taken`` = repeats * size + part adds up to the quota exactly and never passes max_epochs * size. A document of
-    size 0 is taken for 0 words. Null sources are one source; rows with one doc_id are apart. Extra columns stay.
+    seeded digest of doc_id (then of text) until the quota is full; the last of these is taken for its first ``part``
+    words only. So ``taken`` = repeats * size + part adds up to the quota and never passes max_epochs * size. Rows alike
+    in doc_id, source and text at the end of the quota share what is left of it evenly, which may leave less than a word
+    a row untaken. A document of size 0, a null text among them, is taken for 0 words. Null sources are one source, a
+    null doc_id has a digest of its own. Extra columns stay; those named like the added ones are replaced. No rows give
+    none.
+
+    Only numbers are shuffled: sums by source and bucket of the digest tell in which bucket a source's quota ends, only
+    that bucket's sizes are put in order, and each row is then decided where it is read. ``buckets`` (from the number of
+    rows, if None) sets how many rows a bucket has.
     """
-    own = docs.withColumns({"_mx_size": n_words(F.col("text")), "_mx_key": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))})
-    targets = source_targets(own.select(F.col("source"), F.col("_mx_size").alias("size")), weights, max_epochs)
-    targets = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_mx_key"), F.col("source_size").alias("_mx_total"), F.col("target").alias("_mx_target"), F.col("quota").alias("_mx_quota"))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    placed = running(own, F.col("_mx_key"), order, buckets, weight=F.col("_mx_size"), out="_mx_before", tie=F.col("doc_id"))
-    whole = F.when(F.col("_mx_total") > 0, F.expr("_mx_quota div _mx_total")).otherwise(F.lit(0).cast("long"))
-    rest = F.col("_mx_quota") - whole * F.col("_mx_total")
-    extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("_mx_size"), rest - F.col("_mx_before")))
-    full = (extra > 0) & (extra == F.col("_mx_size"))
-    added = {
-        "size": F.col("_mx_size"),
-        "source_size": F.col("_mx_total"),
-        "target": F.col("_mx_target"),
-        "repeats": whole + full.cast("long"),
-        "part": F.when(full, F.lit(0).cast("long")).otherwise(extra),
-        "taken": whole * F.col("_mx_size") + extra,
-    }
-    kept = [c for c in docs.columns if c not in added]
-    return placed.join(targets, "_mx_key").select(*kept, *(c.alias(name) for name, c in added.items()))
+    buckets = buckets_for(docs.count()) if buckets is None else buckets
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    order = F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.hex(F.xxhash64("text")))
+    bucket = F.floor(F.conv(F.substring(order, 1, 6), 16, 10).cast("long") * buckets / 16**6).cast("int")
+    size = n_words(F.col("text"))
+
+    sums, _ = cut(docs.select("source", key.alias("key"), bucket.alias("bucket"), size.alias("size")).groupBy("source", "key", "bucket").agg(F.sum("size").alias("size")), "sums")
+    plan = source_targets(sums, weights, max_epochs).withColumn("key", key).drop("source")
+    plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(F.lit(0).cast("long")))
+    plan = plan.withColumn("rest", F.col("quota") - F.col("whole") * F.col("source_size"))
+    up_to = Window.partitionBy("key").orderBy("bucket")
+    summed = sums.select("key", "bucket", "size", F.sum("size").over(up_to).alias("through")).join(plan.select("key", "rest"), "key")
+    ends = summed.where((F.col("rest") > 0) & (F.col("through") >= F.col("rest")) & (F.col("through") - F.col("size") < F.col("rest")))
+    ends = ends.groupBy("key").agg(F.min(F.struct("bucket", (F.col("rest") - (F.col("through") - F.col("size"))).alias("left"))).alias("e")).select("key", F.col("e.bucket").alias("at"), F.col("e.left").alias("left"))
+
+    last = docs.select(key.alias("key"), bucket.alias("bucket"), order.alias("order"), "text").join(few(ends), "key").where(F.col("bucket") == F.col("at"))
+    ranked = last.select("key", "order", "left", n_words(F.col("text")).alias("size")).groupBy("key", "order").agg(F.first("left").alias("left"), F.sum("size").alias("size"), F.count("*").alias("rows"))
+    ranked = ranked.withColumn("before", F.sum("size").over(Window.partitionBy("key").orderBy("order")) - F.col("size"))
+    edge = ranked.where((F.col("before") < F.col("left")) & (F.col("before") + F.col("size") >= F.col("left")))
+    edge = edge.select("key", F.col("order").alias("edge"), F.floor((F.col("left") - F.col("before")) / F.col("rows")).cast("long").alias("piece"))
+    decided, _ = cut(plan.join(edge, "key", "left").select("key", "source_size", "target", "whole", "edge", "piece"), "sources")
+
+    own = fresh(docs, "key", "order", "source_size", "target", "whole", "edge", "piece")
+    placed = docs.withColumns({own["key"]: key, own["order"]: order}).join(few(decided.select(*(F.col(c).alias(own[c]) for c in decided.columns))), own["key"])
+    first = F.col(own["order"]) < F.col(own["edge"])
+    part = F.when(F.col(own["order"]) == F.col(own["edge"]), F.least(F.col(own["piece"]), size)).otherwise(F.lit(0).cast("long"))
+    full = F.coalesce(first, F.lit(False)) | ((part > 0) & (part == size))
+    repeats = F.col(own["whole"]) + F.coalesce(full, F.lit(False)).cast("long")
+    part = F.when(full, F.lit(0).cast("long")).otherwise(part)
+    added = {"size": size, "source_size": F.col(own["source_size"]), "target": F.col(own["target"]), "repeats": repeats, "part": part, "taken": repeats * size + part}
+    return placed.select(*(F.col(c) for c in docs.columns if c not in added), *(c.alias(name) for name, c in added.items()))
+
+
+def few(per_source: DataFrame) -> DataFrame:
+    """One row a source: broadcast where they are :data:`BROADCAST_SOURCES` at most, else joined as Spark decides."""
+    return F.broadcast(per_source) if per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else per_source
 
 
 def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix as documents: one row for each whole repetition, and one with the first ``part`` words for a part."""
+    name = fresh(mixed, "cut")["cut"]
     copies = F.when(F.col("repeats") > 0, F.array_repeat(F.lit(False), F.col("repeats").cast("int"))).otherwise(F.array().cast("array<boolean>"))
-    rows = mixed.withColumn("_mx_cut", F.explode(F.concat(copies, F.when(F.col("part") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))))
+    rows = mixed.withColumn(name, F.explode(F.concat(copies, F.when(F.col("part") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))))
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    text = F.when(F.col("_mx_cut"), F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col("text"))
+    text = F.when(F.col(name), F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col("text"))
     return rows.withColumn("text", text).select(*columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all ``documents``: doc_id, size, source_size, target, taken."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = mix(docs, buckets=buckets_for(docs.count()))
+    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
