@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,9 +16,7 @@ UNKNOWN = "und"
 #: The classifier is fitted on so many documents of a language at most, and on so many characters of each.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 500
-#: Letters told apart, the most frequent of the sample; others are one symbol.
-MAX_LETTERS = 120
-#: A text is parsed in blocks of so many symbols; each block begins a phrase.
+#: Texts are parsed in blocks of so many symbols side by side, and then across the blocks' borders as if there were none.
 BLOCK = 512
 #: Characters parsed side by side.
 AT_ONCE = 1_500_000
@@ -33,19 +30,33 @@ def letter_table() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+@dataclass
+class Steps:
+    """Transitions of an automaton: from ``state`` by ``symbol`` to ``to[base[state] + symbol]`` if ``owner`` has the
+    state there, else none. Rows of different states share the array, so its size follows the transitions."""
+
+    base: np.ndarray
+    owner: np.ndarray
+    to: np.ndarray
+
+    def take(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states; 0 for none (no transition leads to the start)."""
+        at = self.base[state] + symbol
+        return np.where(self.owner[at] == state, self.to[at], 0)
+
+
 @dataclass
 class Model:
     languages: list[str]
     letters: list[str]
-    #: Of each language: next state by state * symbols + symbol, 0 for none (no transition leads to the start).
-    steps: list[np.ndarray]
+    steps: list[Steps]
     #: Bits that a phrase costs: log2 of the sample's length.
     bits: np.ndarray
 
     @functools.cached_property
     def symbols(self) -> np.ndarray:
         """Symbol of each code point: known letters by lower case, other letters, and all else as a space."""
-        out = np.where(letter_table(), OTHER, SPACE).astype(np.uint8)
+        out = np.where(letter_table(), OTHER, SPACE).astype(np.int32)
         for k, letter in enumerate(self.letters):
             for form in {letter, letter.upper()}:
                 if len(form) == 1:
@@ -53,7 +64,47 @@ class Model:
         return out
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+#: Places tried for a state with several transitions before it goes to the end of the array.
+TRIES = 32
+
+
+def packed_steps(step: list[dict[int, int]], width: int) -> Steps:
+    """``step`` (by state: next state by symbol, all symbols below ``width``) with rows laid into each other's gaps."""
+    base = np.zeros(len(step), dtype=np.int64)
+    owner: list[int] = []
+    to: list[int] = []
+    low = 0  # below it no place is free
+    for s in sorted(range(len(step)), key=lambda s: (-len(step[s]), s)):
+        own = sorted(step[s])
+        if not own:
+            continue
+        at, tries = low, 0
+        while True:
+            while at < len(owner) and owner[at] >= 0:
+                at += 1
+            if len(own) == 1 or at >= len(owner) or all(at + c - own[0] >= len(owner) or owner[at + c - own[0]] < 0 for c in own):
+                break
+            tries += 1
+            at = at + 1 if tries < TRIES else len(owner)
+        end = at + own[-1] - own[0] + 1
+        if end > len(owner):
+            grow = end - len(owner)
+            owner += [-1] * grow
+            to += [0] * grow
+        for c in own:
+            owner[at + c - own[0]] = s
+            to[at + c - own[0]] = step[s][c]
+        base[s] = at - own[0]
+        while low < len(owner) and owner[low] >= 0:
+            low += 1
+    # symbols below and above a state's own are looked up beside its places
+    around = np.full(width, -1, dtype=np.int32)
+    owners = np.concatenate([around, np.array(owner, dtype=np.int32), around])
+    targets = np.concatenate([np.zeros(width, dtype=np.int32), np.array(to, dtype=np.int32), np.zeros(width, dtype=np.int32)])
+    return Steps((base + width).astype(np.int32), owners, targets)
+
+
+def suffix_automaton(symbols: list[int], width: int) -> Steps:
     """Transitions of the automaton that accepts just the substrings' walks from the start, state 0."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -80,11 +131,7 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = twin
         last = new
-    out = np.zeros(len(step) * width, dtype=np.int32)
-    for s, own in enumerate(step):
-        for c, to in own.items():
-            out[s * width + c] = to
-    return out
+    return packed_steps(step, width)
 
 
 def squeezed(texts: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +148,7 @@ def squeezed(texts: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def train(samples: dict[str, list[str]]) -> Model:
     """A model of sample texts by language. Languages without a letter are left out."""
-    counts = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
-    letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS]]
+    letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
     model = Model([], letters, [], np.zeros(0))
     bits = []
     for language in sorted(samples):
@@ -119,10 +165,14 @@ def phrases(model: Model, row: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Phrases of each text (rows) in each language (columns).
 
     From the start of its automaton each language follows the text as long as some substring of its sample does; where
-    none goes on, a phrase ends and the next begins with that symbol. A symbol that the sample lacks is a phrase. All
-    blocks of all texts step at once, longest first, so that those still going are a prefix.
+    none goes on, the next phrase begins with that symbol. A symbol that the sample lacks is a phrase and counts twice,
+    as an escape and the symbol itself.
+
+    Blocks of all texts step at once, each as if it began a text, longest first, so that those still going are a prefix.
+    Then each block but a text's first starts once more in the state that the block before ended in, until it meets the
+    walk it has; a block whose end changes that way sends the next one through again. What is counted is one walk over
+    the whole text.
     """
-    width = len(model.letters) + 2
     begins = np.concatenate([[0], ends[:-1]])
     n_blocks = -(-(ends - begins) // BLOCK)
     owner = np.repeat(np.arange(len(ends)), n_blocks)
@@ -130,25 +180,44 @@ def phrases(model: Model, row: np.ndarray, ends: np.ndarray) -> np.ndarray:
     start = begins[owner] + nth * BLOCK
     size = np.minimum(BLOCK, ends[owner] - start)
     order = np.argsort(-size, kind="stable")
-    owner, start, size = owner[order], start[order], size[order]
-    going = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # at t: blocks with more than t symbols
+    by_size, sizes = start[order], size[order]
+    going = np.searchsorted(-sizes, -np.arange(BLOCK), side="left")  # at t: blocks with more than t symbols
     out = np.zeros((len(ends), len(model.languages)))
+    walk, begun = np.zeros(len(row), dtype=np.int32), np.zeros(len(row), dtype=np.int8)
     for k, steps in enumerate(model.steps):
-        fresh = steps[:width]
-        count = np.ones(len(owner), dtype=np.int32)
-        state = np.zeros(len(owner), dtype=np.int32)
-        for t in range(int(size[0]) if len(size) else 0):
-            m = going[t]
-            c = row[start[:m] + t]
-            to = steps[state[:m] * width + c]
-            failed = to == 0
-            again = fresh[c]
-            count[:m] += failed
-            state[:m] = np.where(failed, again, to)
-        out[:, k] = np.bincount(owner, weights=count, minlength=len(ends))
+        state = np.zeros(len(start), dtype=np.int32)
+        for t in range(int(sizes[0]) if len(sizes) else 0):
+            at = by_size[: going[t]] + t
+            state = moved(steps, state[: len(at)], row[at], at, walk, begun)
+        again = np.nonzero(nth > 0)[0]
+        while len(again):
+            blocks, state, changed = again, walk[start[again] - 1], []
+            for t in range(BLOCK):
+                at = start[blocks] + t
+                had = walk[at]
+                state = moved(steps, state, row[at], at, walk, begun)
+                apart = state != had
+                changed.append(blocks[apart & (size[blocks] == t + 1)])
+                on = apart & (size[blocks] > t + 1)
+                blocks, state = blocks[on], state[on]
+                if not len(blocks):
+                    break
+            after = np.concatenate(changed) + 1
+            after = after[after < len(start)]
+            again = after[nth[after] > 0]
+        out[:, k] = np.add.reduceat(begun, begins, dtype=np.int64) if len(begins) else 0
     return out
 
 
+def moved(steps: Steps, state: np.ndarray, symbol: np.ndarray, at: np.ndarray, walk: np.ndarray, begun: np.ndarray) -> np.ndarray:
+    """States after ``symbol``, written to ``walk`` at the places ``at``; ``begun`` there gets the phrases that begin."""
+    to = steps.take(state, symbol)
+    failed = to == 0
+    to = np.where(failed, steps.take(np.zeros_like(state), symbol), to)
+    walk[at], begun[at] = to, (failed | (state == 0)) + (to == 0).astype(np.int8)
+    return to
+
+
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text. Null, letterless, or nothing learned: ``und`` and 0. Ties: first by name."""
     whole = [t or "" for t in texts]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,19 +31,19 @@ def test_automaton_knows_just_the_substrings():
         for code in range(6**n):
             walk, state = tuple(code // 6**k % 6 for k in range(n)), 0
             for c in walk:
-                state = step[state * 6 + c]
+                state = int(step.take(np.array([state]), np.array([c]))[0])
                 if not state:
                     break
             assert (state != 0) == (walk in have)
 
 
 def plain_phrases(sample: str, row: str) -> int:
-    n, at = 1, ""
+    n, at = 0, ""
     for c in row:
-        if at + c in sample:
+        if at and at + c in sample:
             at += c
         else:
-            n += 1
+            n += 1 if c in sample else 2
             at = c if c in sample else ""
     return n
 
@@ -56,6 +57,40 @@ def test_phrases_by_hand():
         assert [plain_phrases(s, f" {t} ") for t in texts] == got[:, k].tolist()
 
 
+def test_long_texts_are_one_walk():
+    rng = random.Random(3)
+    sample = "".join(rng.choice("abc ") for _ in range(3000))
+    model = langid.train({"aa": [sample], "bb": ["aab " * 400]})
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(n)) for n in (5, 900, 3, 2500)]
+    texts += ["aab " * 1500 + "a", ""]
+    texts = [" ".join(t.split()) for t in texts]
+    row, ends = langid.squeezed(texts, model.symbols)
+    got = langid.phrases(model, row, ends)
+    for k, s in enumerate((" ".join(sample.split()), " ".join(["aab"] * 400))):
+        assert [plain_phrases(f" {s} ", f" {t} " if t else " ") for t in texts] == got[:, k].tolist()
+
+
+def test_scripts_of_many_letters():
+    """Two languages of 300 letters each that share none, and one of 3,000, all told apart by any of their letters."""
+    rng = random.Random(5)
+    scripts = {"aa": range(0x4E00, 0x4E00 + 300), "bb": range(0x5000, 0x5000 + 300), "cc": range(0x6000, 0x6000 + 3000)}
+    write = lambda name, n: "".join(chr(rng.choice(scripts[name])) for _ in range(n))
+    model = langid.train({name: [write(name, 500) for _ in range(64)] for name in scripts})
+    texts = [(name, write(name, n)) for name in scripts for n in (1, 2, 5, 40, 1200) for _ in range(8)]
+    assert langid.predict(model, [t for _, t in texts])[0] == [name for name, _ in texts]
+
+
+def test_a_header_shared_by_all():
+    """Samples are spans anywhere in a text, so what leads every text of every language decides nothing."""
+    rng = random.Random(6)
+    header = "x" * 30 + " the same notice leads each text of the table and is long " * 10
+    rows = [(header + text(rng, lang, 300), lang) for lang in WORDS for _ in range(30)]
+    spans = {lang: [t[k : k + 500] for t, l in rows if l == lang for k in [rng.randrange(len(t) - 500)]] for lang in WORDS}
+    model = langid.train(spans)
+    found, _ = langid.predict(model, [t for t, _ in rows])
+    assert found == [lang for _, lang in rows]
+
+
 def test_fit_and_predict(spark):
     rows = labelled()
     df = spark.createDataFrame(rows + [(900, None, None), (901, "12 !?", "aa"), (902, "", "bb"), (903, "Thing with that " * 4000, None)], "doc_id long, text string, lang string")
