@@ -17,9 +17,9 @@ UNKNOWN = "und"
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 500
 #: Texts are parsed in blocks of so many symbols side by side, and then across the blocks' borders as if there were none.
-BLOCK = 512
+BLOCK = 256
 #: Characters parsed side by side.
-AT_ONCE = 1_500_000
+AT_ONCE = 6_000_000
 
 SPACE, OTHER = 0, 1
 
@@ -30,19 +30,41 @@ def letter_table() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+#: Places of a transition table for each transition, at least.
+ROOM = 4
+#: Odd, for spreading keys by their product's high bits.
+SPREAD = 0x9E3779B1
+FREE = 0xFFFFFFFF
+
+
 @dataclass
 class Steps:
-    """Transitions of an automaton: from ``state`` by ``symbol`` to ``to[base[state] + symbol]`` if ``owner`` has the
-    state there, else none. Rows of different states share the array, so its size follows the transitions."""
+    """Transitions of an automaton in an open hash table: the key state * width + symbol lies at its hashed place or, if
+    that was taken, at the first free one after it. So its size follows the transitions, not the number of letters."""
 
-    base: np.ndarray
-    owner: np.ndarray
-    to: np.ndarray
+    width: int
+    shift: int
+    #: Next state in the low half, key in the high half; free places have all bits of the key set.
+    table: np.ndarray
+    #: Next state from the start by each symbol.
+    first: np.ndarray
 
     def take(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Next states; 0 for none (no transition leads to the start)."""
-        at = self.base[state] + symbol
-        return np.where(self.owner[at] == state, self.to[at], 0)
+        key = state * np.uint32(self.width)
+        key += symbol
+        at = (key * np.uint32(SPREAD)) >> np.uint32(self.shift)
+        found = self.table.take(at).view(np.uint32).reshape(-1, 2)
+        hit = found[:, 1] == key
+        out = found[:, 0] * hit
+        left = np.flatnonzero(~hit & (found[:, 1] != FREE))
+        while len(left):
+            at[left] += np.uint32(1)
+            found = self.table.take(at[left]).view(np.uint32).reshape(-1, 2)
+            hit = found[:, 1] == key[left]
+            out[left[hit]] = found[hit, 0]
+            left = left[~hit & (found[:, 1] != FREE)]
+        return out
 
 
 @dataclass
@@ -56,7 +78,7 @@ class Model:
     @functools.cached_property
     def symbols(self) -> np.ndarray:
         """Symbol of each code point: known letters by lower case, other letters, and all else as a space."""
-        out = np.where(letter_table(), OTHER, SPACE).astype(np.int32)
+        out = np.where(letter_table(), OTHER, SPACE).astype(np.uint32)
         for k, letter in enumerate(self.letters):
             for form in {letter, letter.upper()}:
                 if len(form) == 1:
@@ -64,44 +86,26 @@ class Model:
         return out
 
 
-#: Places tried for a state with several transitions before it goes to the end of the array.
-TRIES = 32
-
-
-def packed_steps(step: list[dict[int, int]], width: int) -> Steps:
-    """``step`` (by state: next state by symbol, all symbols below ``width``) with rows laid into each other's gaps."""
-    base = np.zeros(len(step), dtype=np.int64)
-    owner: list[int] = []
-    to: list[int] = []
-    low = 0  # below it no place is free
-    for s in sorted(range(len(step)), key=lambda s: (-len(step[s]), s)):
-        own = sorted(step[s])
-        if not own:
-            continue
-        at, tries = low, 0
-        while True:
-            while at < len(owner) and owner[at] >= 0:
-                at += 1
-            if len(own) == 1 or at >= len(owner) or all(at + c - own[0] >= len(owner) or owner[at + c - own[0]] < 0 for c in own):
-                break
-            tries += 1
-            at = at + 1 if tries < TRIES else len(owner)
-        end = at + own[-1] - own[0] + 1
-        if end > len(owner):
-            grow = end - len(owner)
-            owner += [-1] * grow
-            to += [0] * grow
-        for c in own:
-            owner[at + c - own[0]] = s
-            to[at + c - own[0]] = step[s][c]
-        base[s] = at - own[0]
-        while low < len(owner) and owner[low] >= 0:
-            low += 1
-    # symbols below and above a state's own are looked up beside its places
-    around = np.full(width, -1, dtype=np.int32)
-    owners = np.concatenate([around, np.array(owner, dtype=np.int32), around])
-    targets = np.concatenate([np.zeros(width, dtype=np.int32), np.array(to, dtype=np.int32), np.zeros(width, dtype=np.int32)])
-    return Steps((base + width).astype(np.int32), owners, targets)
+def hashed_steps(step: list[dict[int, int]], width: int) -> Steps:
+    """``step`` (by state: next state by symbol, all symbols below ``width``) as a table."""
+    if len(step) * width >= FREE:
+        raise ValueError("so large a sample of so many letters needs a smaller SAMPLE_DOCS or SAMPLE_CHARS")
+    key = np.array([s * width + c for s, own in enumerate(step) for c in own], dtype=np.uint32)
+    to = np.array([t for own in step for t in own.values()], dtype=np.uint32)
+    bits = max(1, int(ROOM * len(key)).bit_length())
+    keys, targets = np.full((1 << bits) + len(key) + 1, FREE, dtype=np.uint32), np.zeros((1 << bits) + len(key) + 1, dtype=np.uint32)
+    at = (key * np.uint32(SPREAD)) >> np.uint32(32 - bits)
+    left = np.arange(len(key))
+    while len(left):
+        free = left[keys[at[left]] == FREE]
+        _, one = np.unique(at[free], return_index=True)
+        keys[at[free[one]]], targets[at[free[one]]] = key[free[one]], to[free[one]]
+        left = left[keys[at[left]] != key[left]]
+        at[left] += np.uint32(1)
+    first = np.zeros(width, dtype=np.uint32)
+    for c, t in step[0].items():
+        first[c] = t
+    return Steps(width, 32 - bits, np.stack([targets, keys], axis=1).reshape(-1).view(np.uint64), first)
 
 
 def suffix_automaton(symbols: list[int], width: int) -> Steps:
@@ -131,7 +135,7 @@ def suffix_automaton(symbols: list[int], width: int) -> Steps:
                     at = link[at]
                 link[to] = link[new] = twin
         last = new
-    return packed_steps(step, width)
+    return hashed_steps(step, width)
 
 
 def squeezed(texts: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,9 +187,9 @@ def phrases(model: Model, row: np.ndarray, ends: np.ndarray) -> np.ndarray:
     by_size, sizes = start[order], size[order]
     going = np.searchsorted(-sizes, -np.arange(BLOCK), side="left")  # at t: blocks with more than t symbols
     out = np.zeros((len(ends), len(model.languages)))
-    walk, begun = np.zeros(len(row), dtype=np.int32), np.zeros(len(row), dtype=np.int8)
+    walk, begun = np.zeros(len(row), dtype=np.uint32), np.zeros(len(row), dtype=np.int8)
     for k, steps in enumerate(model.steps):
-        state = np.zeros(len(start), dtype=np.int32)
+        state = np.zeros(len(start), dtype=np.uint32)
         for t in range(int(sizes[0]) if len(sizes) else 0):
             at = by_size[: going[t]] + t
             state = moved(steps, state[: len(at)], row[at], at, walk, begun)
@@ -212,9 +216,13 @@ def phrases(model: Model, row: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def moved(steps: Steps, state: np.ndarray, symbol: np.ndarray, at: np.ndarray, walk: np.ndarray, begun: np.ndarray) -> np.ndarray:
     """States after ``symbol``, written to ``walk`` at the places ``at``; ``begun`` there gets the phrases that begin."""
     to = steps.take(state, symbol)
-    failed = to == 0
-    to = np.where(failed, steps.take(np.zeros_like(state), symbol), to)
-    walk[at], begun[at] = to, (failed | (state == 0)) + (to == 0).astype(np.int8)
+    new = np.flatnonzero(to == 0)
+    once = np.zeros(len(to), dtype=np.int8)
+    if len(new):
+        to[new] = steps.first[symbol[new]]
+        once[new] = 1 + (to[new] == 0)
+    once[(state == 0) & (once == 0)] = 1
+    walk[at], begun[at] = to, once
     return to
 
 

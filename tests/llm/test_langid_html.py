@@ -31,7 +31,7 @@ def test_automaton_knows_just_the_substrings():
         for code in range(6**n):
             walk, state = tuple(code // 6**k % 6 for k in range(n)), 0
             for c in walk:
-                state = int(step.take(np.array([state]), np.array([c]))[0])
+                state = int(step.take(np.array([state], dtype=np.uint32), np.array([c], dtype=np.uint32))[0])
                 if not state:
                     break
             assert (state != 0) == (walk in have)
