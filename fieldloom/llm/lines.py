@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.llm.names import fresh
 from fieldloom.sessions import cut
 
 MIN_CHARS = 40
@@ -61,8 +62,9 @@ def drop_common_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs:
     common = held.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("stays")).where(F.col("n") >= min_docs)
     common, _ = cut(common.drop("n"), "common")  # a table of its own, so that the join below sees its size and can be split
     lost = held.join(common, "digest").where(F.col("doc_id") != F.col("stays"))
-    lost = lost.groupBy("doc_id").agg(F.collect_set("digest").alias("_ln_lost"))
     plain = docs.drop("n_lines", "n_dropped")
+    name = fresh(plain, "lost")["lost"]
+    lost = lost.groupBy("doc_id").agg(F.collect_set("digest").alias(name))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields] + ["n_lines long", "n_dropped long"]
     names = [*plain.columns, "n_lines", "n_dropped"]
     place = names.index("text")
@@ -87,7 +89,7 @@ def drop_common_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs:
             columns[place] = pa.array(texts, pa.string())
             yield pa.record_batch([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=names)
 
-    return plain.join(lost, "doc_id", "left").select(*plain.columns, "_ln_lost").mapInArrow(reduce, ", ".join(fields))
+    return plain.join(lost, "doc_id", "left").select(*plain.columns, name).mapInArrow(reduce, ", ".join(fields))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

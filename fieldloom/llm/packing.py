@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.llm.names import fresh
 from fieldloom.llm.ranking import buckets_for, running
 from fieldloom.sessions import cut
 
@@ -211,12 +212,13 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     what is costly to make before it. Other columns stay; sequence_id and offset are replaced.
     """
     pieces = pieces.drop("sequence_id", "offset")
+    name = fresh(pieces, "rank")["rank"]
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if bad := [x for x in counts if x is None or not 1 <= x <= capacity]:
         raise ValueError(f"lengths outside 1 to {capacity}: {bad[:5]}")
     table = pieces.sparkSession.sparkContext.broadcast(slot_table(plan_bins(counts, capacity)))
     spread = F.lpad(F.hex(F.xxhash64(F.lit(4), "doc_id", "piece")), 16, "0")
-    ranked = running(pieces, F.col("length"), spread, buckets_for(sum(counts.values())), out="_pk_rank", tie=F.struct("doc_id", "piece"))
+    ranked = running(pieces, F.col("length"), spread, buckets_for(sum(counts.values())), out=name, tie=F.struct("doc_id", "piece"))
     length_at = pieces.columns.index("length")
     names = [*pieces.columns, "sequence_id", "offset"]
 
@@ -232,7 +234,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             yield pa.record_batch([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.select(*pieces.columns, "_pk_rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*pieces.columns, name).mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, *, ids: bool = True) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldloom.llm.names import fresh
+
 #: Rows that one (key, bucket) holds on average if a single key holds everything.
 ROWS_PER_BUCKET = 5_000
 
@@ -24,16 +26,17 @@ def running(df: DataFrame, key: Column, order: Column, buckets: int, *, weight:
 
     ``order`` is a string of hex digits, evenly spread (a digest), by which rows of a key are ordered; ``tie`` breaks
     ties. Nulls in ``key`` are one key. Rows equal in order and tie get distinct places in any order. Empty input
-    gives empty output. Columns of ``df`` keep their names; working columns begin with ``_rk``.
+    gives empty output. Columns of ``df`` keep their names and values, but one named ``out`` is replaced.
     """
     w = F.lit(1) if weight is None else weight
     digits = 6
-    own = df.withColumns({"_rk_key": F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")), "_rk_order": order, "_rk_w": w.cast("long")})
-    own = own.withColumn("_rk_bucket", F.floor(F.conv(F.substring("_rk_order", 1, digits), 16, 10).cast("long") * buckets / (16**digits)).cast("int"))
-    totals = own.groupBy("_rk_key", "_rk_bucket").agg(F.sum("_rk_w").alias("_rk_sum"))
-    ahead = Window.partitionBy("_rk_key").orderBy("_rk_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_rk_key", "_rk_bucket", F.coalesce(F.sum("_rk_sum").over(ahead), F.lit(0)).alias("_rk_offset"))
-    inner = Window.partitionBy("_rk_key", "_rk_bucket").orderBy("_rk_order", *([tie] if tie is not None else [])).rowsBetween(Window.unboundedPreceding, -1)
-    placed = own.withColumn("_rk_inner", F.coalesce(F.sum("_rk_w").over(inner), F.lit(0)))
-    joined = placed.join(offsets, ["_rk_key", "_rk_bucket"])
-    return joined.select(*(joined[c] for c in df.columns), (F.col("_rk_inner") + F.col("_rk_offset")).alias(out))
+    c = fresh(df, "key", "order", "weight", "bucket", "inner", "offset", "tie", "out")
+    own = df.withColumns({c["key"]: F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")), c["order"]: order, c["weight"]: w.cast("long"), c["tie"]: F.lit(0) if tie is None else tie})
+    own = own.withColumn(c["bucket"], F.floor(F.conv(F.substring(c["order"], 1, digits), 16, 10).cast("long") * buckets / (16**digits)).cast("int"))
+    totals = own.groupBy(c["key"], c["bucket"]).agg(F.sum(c["weight"]).alias("sum"))
+    ahead = Window.partitionBy(c["key"]).orderBy(c["bucket"]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(c["key"], c["bucket"], F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias(c["offset"]))
+    inner = Window.partitionBy(c["key"], c["bucket"]).orderBy(c["order"], c["tie"]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = own.withColumn(c["inner"], F.coalesce(F.sum(c["weight"]).over(inner), F.lit(0)))
+    joined = placed.join(offsets, [c["key"], c["bucket"]]).withColumn(c["out"], F.col(c["inner"]) + F.col(c["offset"]))
+    return joined.select(*(joined[x] for x in df.columns if x.lower() != out.lower()), joined[c["out"]].alias(out))

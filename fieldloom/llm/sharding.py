@@ -38,10 +38,14 @@ def shard_by_key(df: DataFrame, key: str, shards: int = SHARDS, *, buckets: int)
     """Add ``shard``, ``grown_shard`` (with one more shard) and ``slot`` (place in the shard, gapless from 0).
 
     The law is ``key``: the key and the number of shards decide, nothing else. Every row is kept. Equal keys share a
-    shard and get slots of their own, in any order. A null key is a key like others. Empty input: empty output.
+    shard and get slots of their own, in any order. A null key is a key like others. Columns of the added names are
+    replaced, others stay as they are; ``key`` itself can't be one of them. Empty input: empty output.
     """
+    added = ("shard", "grown_shard", "slot")
+    if key.lower() in added:
+        raise ValueError(f"the key can't be a column that is replaced: {key}")
     now, grown = jump_shards(F.col(key), shards, shards + 1)
-    placed = df.withColumns({"shard": now, "grown_shard": grown})
+    placed = df.drop(*(c for c in df.columns if c.lower() in added)).withColumns({"shard": now, "grown_shard": grown})
     spread = F.lpad(F.hex(F.xxhash64(F.lit(29), F.col(key))), 16, "0")
     return running(placed, F.col("shard"), spread, buckets, out="slot", tie=F.col(key))
 

@@ -273,6 +273,24 @@ def test_shards_edges(spark):
         sharding.jump_shards(F.col("x"), 0)
 
 
+def test_clashing_names(spark, docs):
+    """Columns named like working or added columns: no crash, none of the caller's values changed, none doubled."""
+    taken = ["lost", "rank", "key", "order", "weight", "bucket", "inner", "offset", "tie", "out", "edge", "piece", "whole", "target", "cut", "words", "fp", "n"]
+    odd = docs.where("doc_id <= 34").select("doc_id", "text", "source", *(F.concat(F.lit(k), F.col("doc_id")).alias(f"_{c}") for c in taken for k in [c]), F.lit("x").alias("slot"), F.lit("y").alias("size"), F.lit("z").alias("Shard"))
+
+    def check(out, *added, n=12):
+        assert len({c.lower() for c in out.columns}) == len(out.columns) and set(added) <= set(out.columns)
+        got = out.collect()
+        assert len(got) == n and all(r[f"_{c}"] == f"{c}{r['doc_id']}" for r in got for c in taken)
+
+    check(lines.drop_common_lines(odd), "n_lines", "n_dropped")
+    check(sharding.shard_by_key(odd, "doc_id", 4, buckets=2), "shard", "slot", "grown_shard")
+    check(mixing.mix(odd, buckets=2), "size", "taken")
+    check(packing.pack(odd.withColumns({"piece": F.lit(0), "length": F.lit(7).cast("long")})), "sequence_id", "offset")
+    assert mixing.materialise(mixing.mix(odd, buckets=2), ["doc_id", "_cut"]).where("_cut <> concat('cut', doc_id)").count() == 0
+    assert simhash.near_duplicates(odd).columns == ["doc_id", "fp", "component_id"] and simhash.near_duplicates(odd).count() == 12
+
+
 # mixing
 
 
