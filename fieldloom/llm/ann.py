@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.vectors import equal_classes, matrix, unit, usable
+from fieldloom.llm.vectors import equal_classes, exact_cosines, matrix, unit, usable
 from fieldloom.sessions import cut
 
 NEAREST = 5
 QUERY_EVERY = 50
 TABLES = 16
 PROBES = 8
+#: A table's hash joins so many rotations' axes that its buckets hold about so many vectors, but two at most: the driver
+#: gets a count for each bucket.
+LOAD, MAX_ROTATIONS = 2048, 2
 SEED = 11
 #: Vectors, and queries, that meet in one group at most on average.
 BLOCK = 2048
@@ -32,25 +36,48 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
+def rotations_for(n: int, dim: int) -> int:
+    """Rotations joined in a table's hash: more axes to choose from as vectors get more."""
+    width = 1 << max(0, dim - 1).bit_length()
+    return min(MAX_ROTATIONS, max(1, round(math.log(max(1, n / LOAD), 2 * width))))
+
+
 class Hasher:
-    """Pseudo-rotations: in each table, three times random signs and a Hadamard transform."""
+    """Pseudo-rotations: three times random signs and a Hadamard transform; in each table one or more of them."""
 
-    def __init__(self, dim: int, tables: int, seed: int) -> None:
+    def __init__(self, dim: int, tables: int, seed: int, rotations: int = 1) -> None:
         self.width = 1 << max(0, dim - 1).bit_length()
-        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.width))
+        self.tables, self.buckets = tables, (2 * self.width) ** rotations
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, rotations, 3, self.width))
+
+    def nearest(self, rows: np.ndarray, table: int, n: int) -> np.ndarray:
+        """The ``n`` nearest buckets of each unit row, nearest first: a rotation's bucket is the nearest signed axis (axis,
+        or axis + width for its negative), and those of several rotations are near by the sum of what they fall short."""
+        codes = short = np.zeros((len(rows), 1))
+        for rotation in self.signs[table]:
+            y = np.pad(rows, ((0, 0), (0, self.width - rows.shape[1])))
+            for signs in rotation:
+                y = hadamard(y * signs)
+            both = np.concatenate([y, -y], axis=1)
+            own = both.argmax(axis=1)[:, None] if n == 1 else np.argsort(-both, axis=1, kind="stable")[:, :n]
+            near = np.take_along_axis(both, own, axis=1)
+            sums = (short[:, :, None] + (near[:, :1] - near)[:, None, :]).reshape(len(rows), -1)
+            joined = (codes[:, :, None] * 2 * self.width + own[:, None, :]).reshape(len(rows), -1)
+            best = np.argsort(sums, axis=1, kind="stable")[:, :n]
+            codes, short = np.take_along_axis(joined, best, axis=1), np.take_along_axis(sums, best, axis=1)
+        return codes.astype(np.int64)
+
 
-    def axes(self, rows: np.ndarray, table: int, n: int) -> np.ndarray:
-        """The ``n`` nearest signed axes of each rotated unit row, nearest first: axis, or axis + width for its negative."""
-        y = np.pad(rows, ((0, 0), (0, self.width - rows.shape[1])))
-        for signs in self.signs[table]:
-            y = hadamard(y * signs)
-        both = np.concatenate([y, -y], axis=1)
-        if n == 1:
-            return both.argmax(axis=1)[:, None]
-        return np.argsort(-both, axis=1, kind="stable")[:, :n]
+class Everything:
+    """One bucket of all vectors: an exact scan in blocks."""
 
+    tables, buckets = 1, 1
 
-def hashed(vectors: DataFrame, hasher: Hasher, kind: str, probes: int, block: dict[tuple[int, int], int], other: dict[tuple[int, int], int], role: int) -> DataFrame:
+    def nearest(self, rows: np.ndarray, table: int, n: int) -> np.ndarray:
+        return np.zeros((len(rows), 1), dtype=np.int64)
+
+
+def hashed(vectors: DataFrame, hasher: Hasher | Everything, kind: str, probes: int, block: dict[tuple[int, int], int], other: dict[tuple[int, int], int], role: int) -> DataFrame:
     """Rows for each group that a vector (id, vec) takes part in: one block of its own side, all of the other side."""
     shared = vectors.sparkSession.sparkContext.broadcast((hasher, block, other))
 
@@ -62,8 +89,8 @@ def hashed(vectors: DataFrame, hasher: Hasher, kind: str, probes: int, block: di
                 rows = unit(matrix(part.column(1), kind))
                 ids = part.column(0).to_numpy()
                 at, table, bucket, mine, theirs = [], [], [], [], []
-                for t in range(len(h.signs)):
-                    axes = h.axes(rows, t, probes)
+                for t in range(h.tables):
+                    axes = h.nearest(rows, t, probes)
                     for i, own in enumerate(axes.tolist()):
                         for b in own:
                             place = int(ids[i]) * 0x9E3779B97F4A7C15 % (1 << 64) >> 32
@@ -77,24 +104,24 @@ def hashed(vectors: DataFrame, hasher: Hasher, kind: str, probes: int, block: di
                 take = pa.array(at, pa.int64())
                 blocks = [pa.array(mine, pa.int32()), pa.array(theirs, pa.int32())]
                 yield pa.record_batch(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(table, pa.int32()), pa.array(bucket, pa.int32()), *(blocks if role == 0 else blocks[::-1]), pa.array([role] * len(at), pa.int32())],
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(table, pa.int32()), pa.array(bucket, pa.int64()), *(blocks if role == 0 else blocks[::-1]), pa.array([role] * len(at), pa.int32())],
                     names=["id", "vec", "t", "bucket", "vb", "qb", "role"],
                 )
 
-    return vectors.mapInArrow(spread, "id long, vec binary, t int, bucket int, vb int, qb int, role int")
+    return vectors.mapInArrow(spread, "id long, vec binary, t int, bucket long, vb int, qb int, role int")
 
 
-def bucket_counts(vectors: DataFrame, hasher: Hasher, kind: str, probes: int) -> dict[tuple[int, int], int]:
-    """Vectors in each bucket of each table; the driver gets tables * 2 * width counts at most."""
+def bucket_counts(vectors: DataFrame, hasher: Hasher | Everything, kind: str, probes: int) -> dict[tuple[int, int], int]:
+    """Vectors in each bucket of each table; the driver gets one count a bucket at most."""
     shared = vectors.sparkSession.sparkContext.broadcast(hasher)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = shared.value
-        n = np.zeros((len(h.signs), 2 * h.width), dtype=np.int64)
+        n = np.zeros((h.tables, h.buckets), dtype=np.int64)
         for batch in batches:
             rows = unit(matrix(batch.column(0), kind))
-            for t in range(len(h.signs)):
-                n[t] += np.bincount(h.axes(rows, t, probes).ravel(), minlength=2 * h.width) if len(rows) else 0
+            for t in range(h.tables):
+                n[t] += np.bincount(h.nearest(rows, t, probes).ravel(), minlength=h.buckets) if len(rows) else 0
         t, b = np.nonzero(n)
         yield pa.record_batch([pa.array(t), pa.array(b), pa.array(n[t, b])], names=["t", "bucket", "n"])
 
@@ -102,32 +129,10 @@ def bucket_counts(vectors: DataFrame, hasher: Hasher, kind: str, probes: int) ->
     return {(r["t"], r["bucket"]): r["n"] for r in sums.collect()}
 
 
-def exact_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each pair of rows in double precision; the same whatever the rows around them."""
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-
-
-def nearest(df: DataFrame, query: Column, *, key: str = "vec_id", column: str = "embedding", k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found for each row of ``df`` where ``query`` holds, not itself.
-
-    Vectors null, zero or with null or non-finite components take no part. Each table's hash is the nearest signed axis
-    of a pseudo-rotated unit vector; a query looks into the ``probes`` nearest buckets of every table. All vectors in a
-    bucket are candidates, however many: buckets are dealt in blocks by their counts, and a group holds one block of
-    vectors and one of queries. Scores are cosines in double precision, ties go to the smaller id. Equal vectors are
-    searched once, with the k + 1 smallest ids kept for each, which is as many as any query can ask for. Fewer than k
-    candidates found give fewer rows; no vectors give none. Rows that share an id must share the vector.
-    """
-    vectors, dim, kind = usable(df, key, column)
-    vectors, _ = cut(vectors, "vectors")
-    classes, members = equal_classes(vectors, k + 1)
-    asked = df.where(query).select(F.col(key).cast("long").alias("id")).distinct()
-    asked, _ = cut(asked.join(members, "id"), "queries")
-    index, _ = cut(vectors.join(classes.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"]), "index")
-    questions = index.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    hasher = Hasher(dim, tables, seed)
-    probes = min(probes, 2 * hasher.width)
-    v_blocks = {k_: -(-n // BLOCK) for k_, n in bucket_counts(index, hasher, kind, 1).items()}
-    q_blocks = {k_: -(-n // BLOCK) for k_, n in bucket_counts(questions, hasher, kind, probes).items()}
+def candidates(index: DataFrame, questions: DataFrame, hasher: Hasher | Everything, kind: str, probes: int, k: int) -> DataFrame:
+    """(q, rep, score): for each of ``questions`` (id, vec) the ``k`` best of each group of buckets' blocks it meets in."""
+    v_blocks = {b: -(-n // BLOCK) for b, n in bucket_counts(index, hasher, kind, 1).items()}
+    q_blocks = {b: -(-n // BLOCK) for b, n in bucket_counts(questions, hasher, kind, probes).items()}
     rows = hashed(index, hasher, kind, 1, v_blocks, q_blocks, 0).unionByName(hashed(questions, hasher, kind, probes, q_blocks, v_blocks, 1))
 
     def best(group: pa.Table) -> pa.Table:
@@ -137,23 +142,58 @@ def nearest(df: DataFrame, query: Column, *, key: str = "vec_id", column: str =
         vi, qi = np.nonzero(role == 0)[0], np.nonzero(role == 1)[0]
         out: tuple[list[np.ndarray], ...] = ([], [], [])
         if len(vi) and len(qi):
-            vi = vi[np.argsort(ids[vi], kind="stable")]
             scaled = unit(raw)
-            n = min(k + 1, len(vi))
+            n = min(k, len(vi))
             for low in range(0, len(qi), BLOCK):
                 part = qi[low : low + BLOCK]
                 near = scaled[part] @ scaled[vi].T
-                top = np.argsort(-near, axis=1, kind="stable")[:, :n] if len(vi) <= 4 * n else np.argpartition(-near, n - 1, axis=1)[:, :n]
-                q, v = np.repeat(part, n), vi[top.ravel()]
-                for to, x in zip(out, (ids[q], ids[v], exact_cosines(raw[q], raw[v])), strict=True):
+                # all that may be among the best once scored exactly, ties with the last of them included
+                limit = np.partition(near, len(vi) - n, axis=1)[:, len(vi) - n] - 1e-12
+                q, v = np.nonzero(near >= limit[:, None])
+                score = exact_cosines(raw[part[q]], raw[vi[v]])
+                order = np.lexsort((ids[vi[v]], -score, q))
+                first = np.searchsorted(q[order], np.arange(len(part)))
+                order = order[np.arange(len(order)) - first[q[order]] < n]
+                for to, x in zip(out, (ids[part[q[order]]], ids[vi[v[order]]], score[order]), strict=True):
                     to.append(x)
         done = [np.concatenate(x) if x else np.zeros(0, dtype=kind_) for x, kind_ in zip(out, (np.int64, np.int64, np.float64), strict=True)]
         return pa.table({"q": pa.array(done[0], pa.int64()), "rep": pa.array(done[1], pa.int64()), "score": pa.array(done[2], pa.float64())})
 
     found = rows.groupBy("t", "bucket", "vb", "qb").applyInArrow(best, "q long, rep long, score double")
-    once = found.groupBy("q", "rep").agg(F.max("score").alias("score"))
-    few = once.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("rank") <= k + 1).drop("rank")
-    few, _ = cut(few.join(classes.select("rep", "ids"), "rep").select("q", "score", "ids"), "nearest")
+    return found.groupBy("q", "rep").agg(F.max("score").alias("score"))
+
+
+def nearest(df: DataFrame, query: Column, *, key: str = "vec_id", column: str = "embedding", k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest found for each row of ``df`` where ``query`` holds, not itself.
+
+    Vectors null, zero or with null or non-finite components take no part. Each table's hash is the nearest signed axis
+    of a pseudo-rotated unit vector, of two for large tables; a query looks into the ``probes`` nearest buckets of every
+    table. All vectors in a bucket are candidates, however many: buckets are dealt in blocks by their counts, and a group
+    holds one block of vectors and one of queries. Scores are cosines in double precision, ties go to the smaller id.
+    Equal vectors are searched once, with the k + 1 smallest ids kept for each, which is as many as any query can ask
+    for. Queries that found fewer than k are compared with all vectors. No vectors give none. Of rows that share an id,
+    the one with the least packed vector is taken. Other columns are not read.
+    """
+    vectors, dim, kind = usable(df, key, column)
+    vectors, _ = cut(vectors.groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
+    classes, members = equal_classes(vectors, k + 1)
+    asked = df.where(query).select(F.col(key).cast("long").alias("id")).distinct()
+    asked, _ = cut(asked.join(members, "id"), "queries")
+    index, _ = cut(vectors.join(classes.select(F.col("rep").alias("id")), "id"), "index")
+    questions = index.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    n = index.count()
+    hasher = Hasher(dim, tables, seed, rotations_for(n, dim))
+    probes = min(probes * hasher.signs.shape[1] ** 3, hasher.buckets)
+
+    def placed(once: DataFrame) -> DataFrame:
+        few = once.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("rank") <= k + 1).drop("rank")
+        return few.join(classes.select("rep", "ids"), "rep").select("q", "score", "ids")
+
+    few, _ = cut(placed(candidates(index, questions, hasher, kind, probes, k + 1)), "nearest")
+    got = few.groupBy("q").agg(F.sum(F.size("ids")).alias("n"))
+    short, _ = cut(questions.join(got.where(F.col("n") > k).select(F.col("q").alias("id")), "id", "left_anti"), "short")
+    if not short.isEmpty():
+        few = few.join(short.select(F.col("id").alias("q")), "q", "left_anti").unionByName(placed(candidates(index, short, Everything(), kind, 1, k + 1)))
     each = asked.select(F.col("id").alias("query_id"), F.col("rep").alias("q")).join(few, "q").select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

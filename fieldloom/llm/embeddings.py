@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
-from fieldloom.llm.vectors import equal_classes, matrix, unit, usable
+from fieldloom.llm.vectors import equal_classes, exact_cosines, matrix, unit, usable
 from fieldloom.sessions import cut
 
 COSINE = 0.9
@@ -116,7 +116,7 @@ def linked(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, c
     i, j = np.nonzero((near >= cosine - 1e-4) & ~out)
     for low in range(0, len(i), 1 << 16):
         p, q = raw_a[i[low : low + (1 << 16)]], raw_b[j[low : low + (1 << 16)]]
-        sure = (p * q).sum(axis=1) / (np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1))) >= cosine
+        sure = exact_cosines(p, q) >= cosine
         out[i[low : low + (1 << 16)][sure], j[low : low + (1 << 16)][sure]] = True
     return out
 
@@ -129,10 +129,11 @@ def near_vectors(df: DataFrame, *, key: str = "vec_id", column: str = "embedding
     sample of ``sample`` distinct vectors at most, by the order of their ids' hashes; every vector is compared. Equal
     vectors are one node with a count. A group of a cell's own vectors and one of its guests report, for each node, a
     count and one link to the smallest node that it reaches within them, so that a dense group of copies sends rows in
-    proportion to its size. A row with a null id gives n_links 0, a null component and kept false. No rows give none.
+    proportion to its size. Of rows that share an id, the one
+    with the least packed vector counts. A row with a null id gives n_links 0, a null component and kept false. No rows give none.
     """
     vectors, _, kind = usable(df, key, column)
-    vectors, _ = cut(vectors, "vectors")
+    vectors, _ = cut(vectors.groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
     classes, members = equal_classes(vectors, 1)
     index = vectors.withColumnRenamed("id", "rep").join(classes.select("rep", "copies"), "rep").dropDuplicates(["rep"])
     index, _ = cut(index.select(F.col("rep").alias("id"), "copies", "vec"), "index")

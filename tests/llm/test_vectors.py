@@ -85,3 +85,47 @@ def test_hadamard():
     x = np.eye(8)
     h = ann.hadamard(x)
     assert np.allclose(h @ h.T, np.eye(8)) and np.allclose(np.abs(h), 8**-0.5)
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """Many exact and scaled multiples of a query's vector in one bucket: by score, then by id."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=16)
+    rows = [(50, base.tolist()), *((int(i), rng.normal(size=16).tolist()) for i in range(101, 301))]
+    rows += [(int(i), (base * s).tolist()) for i, s in zip(rng.permutation(np.arange(1001, 1041)), [0.5, 2.0, 3.7, 1.1] * 10, strict=True)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = [(r["vec_id"], r["score"]) for r in ann.nearest(table, table["vec_id"] == 50).orderBy("rank").collect()]
+    others = [(i, np.array(v)) for i, v in rows if i != 50]
+    score = ann.exact_cosines(np.tile(base, (len(others), 1)), np.array([v for _, v in others]))
+    assert got == [(others[k][0], score[k]) for k in np.lexsort(([i for i, _ in others], -score))[:5]]
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(50, [1e200, 2e200]), (2, [1e200, 2.1e200]), (3, [2e-200, 4e-200]), (4, [1e200, -1e200]), (5, [3.0, 6.0]), (6, [0.0, 1e-310])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["score"] for r in ann.nearest(table, table["vec_id"] == 50).collect()}
+    a = np.array([1.0, 2.0]) / np.sqrt(5)
+    want = {2: a @ [1, 2.1] / np.hypot(1, 2.1), 3: 1.0, 4: a @ [1, -1] / np.sqrt(2), 5: 1.0, 6: a[1]}
+    assert got == pytest.approx(want, abs=1e-12)
+    found = {r["id"]: r["n_links"] for r in embeddings.near_vectors(table).collect()}
+    assert found == {50: 3, 2: 4, 3: 3, 4: 0, 5: 3, 6: 1}  # 2 and 6: 0.903
+
+
+def test_joined_rotations(vectors, table, monkeypatch):
+    """Two rotations a table, as for large tables, and none that finds too few: each query still has its five."""
+    monkeypatch.setattr(ann, "rotations_for", lambda n, dim: 2)
+    good, _ = vectors
+    ids = [i for i, _ in good]
+    near = cosines(good)
+    np.fill_diagonal(near, -9)
+    got: dict[int, set] = {}
+    for r in ann.nearest(table, table["vec_id"] % 10 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    queries = [k for k, i in enumerate(ids) if i % 10 == 0]
+    assert all(len(v) == 5 for v in got.values()) and len(got) == len(queries)
+    close = [(k, j) for k in queries for j in np.argsort(-near[k])[:5] if near[k][j] > 0.8]
+    assert sum(ids[j] in got[ids[k]] for k, j in close) >= 0.9 * len(close)
+
+
+def test_rotations_follow_the_table():
+    assert [ann.rotations_for(n, 64) for n in (0, 1000, 100_000, 10**7, 10**12)] == [1, 1, 1, 2, 2]
