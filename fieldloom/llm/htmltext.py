@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,8 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
+#: Nothing inside them is shown as text of the page.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg annotation annotation-xml".split())
+INLINE = frozenset(
+    "a abbr acronym area b base basefont bdi bdo big cite code col data del dfn em embed font i img input ins kbd link mark meta param q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr label "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded mphantom menclose semantics".split()
+)
 #: Elements that never hold an article's text.
 ASIDE = frozenset("head nav footer aside form button select option menu dialog object canvas audio video datalist fieldset input".split())
 #: Words in class, id or role that name what isn't the article.
@@ -23,14 +28,22 @@ MARKS = frozenset(
     "breadcrumb breadcrumbs footer foot comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login share sharing social related recommended recommendations widget widgets pagination pager toolbar search masthead copyright legal disclaimer skip complementary contentinfo dialog form".split()
 )
+#: In an article's paragraphs, headings and lists only these; other marks are common words for what an article has.
+STRONG_MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsored".split())
 #: These too, where they don't stand in an article.
 OUTER_MARKS = frozenset("header topbar top head".split())
 CONTAINERS = frozenset("html body main article section div td table tbody tr center font blockquote".split())
+#: Generic boxes: of these, those whose paths aren't content go, where no article or main tells what the article is.
+BOXES = frozenset("div section article main header center span details".split())
+#: What an article shows in short pieces; a box with such text outside of links stays.
+PIECES = frozenset("h1 h2 h3 h4 h5 h6 li dd dt td th pre code blockquote figcaption".split())
 #: A start tag of the first kind ends an open one of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Share of a page's selected text that articles and main must hold to be all that is taken.
 DOMINANT = 0.6
+#: Boxes of one kind beside the article with less than this share of its content text are not of it.
+LESSER = 0.25
 #: A list or box with so large a share of its text in at least three links is a menu.
 LINKED = 0.6
 #: A path is content if its score passes this multiple of the scores' deviation, or half the best.
@@ -38,6 +51,7 @@ DEVIATIONS = 0.5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))", re.S)
 MARKUP = re.compile(r"(?:^|[\s\"'])(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+CLASS = re.compile(r"(?:^|[\s\"'])class\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 WORDS = re.compile(r"[a-z0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?、。，！？…¿¡]")
 
@@ -46,10 +60,11 @@ PUNCTUATION = re.compile(r"[.,;:!?、。，！？…¿¡]")
 class Element:
     tag: str
     parent: int
-    path: str
+    path: int  # number of its tag path: that of the parent, the tag and its class
     out: bool  # not the article's, by name or mark
     inside: bool  # in an article or main element
     links: int = 0
+    linked: bool = False  # in a link
 
 
 @dataclass(slots=True)
@@ -71,15 +86,17 @@ def named_out(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name in ("class", "id", "role") and tag not in ("html", "body", "main"):
             found = set(WORDS.findall(value))
-            if found & MARKS or (not inside and tag != "article" and found & OUTER_MARKS):
+            if found & (MARKS if not inside or tag in BOXES or tag in ("ul", "ol", "table", "dl") else STRONG_MARKS) or (not inside and tag != "article" and found & OUTER_MARKS):
                 return True
     return False
 
 
 def parse(source: str) -> Page:
     """Elements with their tag paths and the text nodes in page order. Missing and crossed end tags are tolerated."""
-    page = Page([Element("", -1, "", False, False)])
+    page = Page([Element("", -1, 0, False, False)])
     stack, at, block = [0], 0, False
+    paths: dict[tuple[int, str, str], int] = {}
+    standing: Counter[str] = Counter()  # open elements by tag
 
     def text(to: int) -> None:
         nonlocal block
@@ -92,11 +109,17 @@ def parse(source: str) -> Page:
                 k, before, started = page.texts[-1]
                 page.texts[-1] = (k, before + " ", started)
 
+    def end_from(k: int) -> None:
+        standing.subtract(page.elements[e].tag for e in stack[k:])
+        del stack[k:]
+
     def close(tags: frozenset[str] | set[str], until: frozenset[str]) -> None:
+        if not any(standing[tag] for tag in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             tag = page.elements[stack[k]].tag
             if tag in tags:
-                del stack[k:]
+                end_from(k)
                 return
             if tag in until:
                 return
@@ -112,9 +135,9 @@ def parse(source: str) -> Page:
         if tag not in INLINE:
             block = True
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if standing[tag] else 0, 0, -1):
                 if page.elements[stack[k]].tag == tag:
-                    del stack[k:]
+                    end_from(k)
                     break
                 if tag in INLINE and page.elements[stack[k]].tag not in INLINE:
                     break  # a stray end tag of a phrase doesn't end a block
@@ -133,22 +156,22 @@ def parse(source: str) -> Page:
             at = len(source) if not end or stop < 0 else stop + 1
             continue
         inside = parent.inside or tag in ("article", "main")
-        page.elements.append(Element(tag, stack[-1], f"{parent.path}/{tag}", parent.out or named_out(tag, m[3], parent.inside), inside))
+        kind = CLASS.search(m[3])
+        path = paths.setdefault((parent.path, tag, " ".join(sorted(kind[1].strip("\"'").lower().split())) if kind else ""), len(paths) + 1)
+        page.elements.append(Element(tag, stack[-1], path, parent.out or named_out(tag, m[3], parent.inside), inside, int(tag == "a"), parent.linked or tag == "a"))
         stack.append(len(page.elements) - 1)
-        if tag == "a":
-            for k in stack:
-                page.elements[k].links += 1
+        standing[tag] += 1
     text(len(source))
     return page
 
 
-def path_scores(nodes: list[tuple[str, str]]) -> dict[str, float]:
+def path_scores(nodes: list[tuple[int, str]]) -> dict[int, float]:
     """Score of each tag path of text nodes (path, text) in page order.
 
     A path's ratio is its text length by its number of nodes, fused with its punctuation by the same number. Each
     node's ratio is smoothed with its neighbours' in page order, and a path scores the mean of its nodes.
     """
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for path, text in nodes:
         s = sums.setdefault(path, [0.0, 0.0, 0.0])
         s[0] += len(text)
@@ -156,14 +179,14 @@ def path_scores(nodes: list[tuple[str, str]]) -> dict[str, float]:
         s[2] += 1
     ratio = {p: (a / n) * (b / n) for p, (a, b, n) in sums.items()}
     own = [ratio[p] for p, _ in nodes]
-    out: dict[str, list[float]] = {}
+    out: dict[int, list[float]] = {}
     for i, (path, _) in enumerate(nodes):
         left, right = own[i - 1] if i else own[i], own[i + 1] if i + 1 < len(own) else own[i]
         out.setdefault(path, []).append(0.25 * left + 0.5 * own[i] + 0.25 * right)
     return {p: sum(v) / len(v) for p, v in out.items()}
 
 
-def content_paths(scores: dict[str, float], nodes: list[tuple[str, str]]) -> set[str]:
+def content_paths(scores: dict[int, float], nodes: list[tuple[int, str]]) -> set[int]:
     """Paths whose score passes the threshold, from the deviation of the nodes' scores; the best path always does."""
     own = [scores[p] for p, _ in nodes]
     mean = sum(own) / len(own)
@@ -183,49 +206,61 @@ def main_text(source: str | None) -> str:
         return ""
     nodes = [(elements[k].path, t) for k, t, _ in kept]
     chosen = content_paths(path_scores(nodes), nodes)
-    length, linked, selected = [0] * len(elements), [0] * len(elements), [0] * len(elements)
+    n = len(elements)
+    length, linked, selected, links, piece = [0] * n, [0] * n, [0] * n, [e.links for e in elements], [False] * n
     for k, t, _ in kept:
-        n, at = len(t), k
-        in_link, is_content = False, elements[k].path in chosen
-        while at >= 0:
-            in_link = in_link or elements[at].tag == "a"
-            length[at] += n
-            linked[at] += n * in_link
-            selected[at] += n * is_content
-            at = elements[at].parent
-    menu = [e.tag in ("ul", "ol", "div", "table", "section", "p", "dl") and e.links >= 3 and linked[k] > LINKED * length[k] for k, e in enumerate(elements)]
+        length[k] += len(t)
+        linked[k] += len(t) * elements[k].linked
+        selected[k] += len(t) * (elements[k].path in chosen)
+    titled = [e.tag == "h1" and length[k] > 0 for k, e in enumerate(elements)]
     children: dict[int, list[int]] = {}
-    for k, e in enumerate(elements):
-        if e.parent >= 0 and length[k]:
+    for k in range(n - 1, 0, -1):  # an element comes after the one it is in
+        e = elements[k]
+        piece[k] = piece[k] or (e.tag in PIECES and length[k] > linked[k])
+        if length[k]:
             children.setdefault(e.parent, []).append(k)
-    titled = [False] * len(elements)
-    for k in range(len(elements) - 1, 0, -1):
-        titled[k] = titled[k] or (elements[k].tag == "h1" and length[k] > 0)
-        titled[elements[k].parent] = titled[elements[k].parent] or titled[k]
-    # the outermost articles or main, if most of the selected text is in them; else the innermost container of all of it,
-    # but not past a title's company
+        for sums in (length, linked, selected, links):
+            sums[e.parent] += sums[k]
+        titled[e.parent] = titled[e.parent] or titled[k]
+        piece[e.parent] = piece[e.parent] or piece[k]
+    menu = [e.tag in ("ul", "ol", "div", "table", "section", "p", "dl") and links[k] >= 3 and linked[k] > LINKED * length[k] for k, e in enumerate(elements)]
     tops = {k for k, e in enumerate(elements) if e.tag in ("article", "main") and selected[k] and not elements[e.parent].inside}
+    gone: set[int] = set()
     if not tops or sum(selected[k] for k in tops) < DOMINANT * selected[0]:
-        at = 0
-        while elements[at].tag not in ("article", "main"):
-            own = children.get(at, [])
-            best = max(own, key=lambda k: (selected[k], -k), default=None)
-            if best is None or elements[best].tag not in CONTAINERS or selected[best] < selected[at]:
-                break
-            if any(titled[k] for k in own if k != best):
-                break
-            at = best
-        tops = {at}
-    # the containers' text, without what marks or a share of links exclude
-    parts: list[str] = []
-    for k, t, starts in kept:
-        up, ok = k, True
-        while up not in tops and up >= 0:
-            ok = ok and not menu[up]
-            up = elements[up].parent
-        if up >= 0 and ok:
-            parts.append(("\n" if starts else "") + t)
-    return " ".join("".join(parts).split())
+        top, gone = container(elements, children, selected, titled, piece)
+        tops = {top}
+    # the containers' text, without what the paths' scores, marks or a share of links exclude
+    shown = [False] * n
+    for k, e in enumerate(elements):
+        shown[k] = k in tops or (e.parent >= 0 and shown[e.parent] and not menu[k] and k not in gone)
+    return " ".join("".join(("\n" if starts else "") + t for k, t, starts in kept if shown[k]).split())
+
+
+def container(elements: list[Element], children: dict[int, list[int]], selected: list[int], titled: list[bool], piece: list[bool]) -> tuple[int, set[int]]:
+    """The innermost element around the text on content paths, and the boxes in it that aren't the article's.
+
+    From the page down: boxes of one path are of one kind. Kinds with little content text beside the others go. Where one
+    box is left with all of it, and no title beside it, the search goes on in that box. Where it ends, boxes without
+    content text go too, but for those with a heading or the short pieces that articles have.
+    """
+    at = 0
+    gone: set[int] = set()
+    while elements[at].tag not in ("article", "main"):
+        own = children.get(at, [])
+        kinds: dict[int, list[int]] = {}
+        for k in own:
+            kinds.setdefault(elements[k].path if elements[k].tag in BOXES else -1, []).append(k)
+        mass = {kind: sum(selected[k] for k in ks) for kind, ks in kinds.items()}
+        mass[-1] = selected[at] - sum(v for kind, v in mass.items() if kind >= 0)  # with the element's own text
+        most = max(mass.values())
+        lesser = {k for kind, ks in kinds.items() if kind >= 0 for k in ks if not titled[k] and (mass[kind] < LESSER * most or not selected[k])}
+        bare = {k for k in lesser if selected[k] or not piece[k]}
+        left = [k for k in own if k not in lesser and selected[k]]
+        one = len(left) == 1 and selected[left[0]] == selected[at] - sum(selected[k] for k in lesser)
+        if not one or elements[left[0]].tag not in CONTAINERS | BOXES or any(titled[k] for k in own if k != left[0]):
+            return at, gone | bare
+        at = left[0]
+    return at, gone
 
 
 def extract(pages: DataFrame) -> DataFrame:

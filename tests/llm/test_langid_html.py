@@ -154,6 +154,7 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var t = "<p>no</p>
         ("<body><div>" + "<p>A long paragraph, with commas, and a stop. It goes on, and on.</p>" * 3 + "<ul><li>one<li>two</ul><table><tr><td>c</table><pre>x = 1</pre><blockquote>short</blockquote></div>", " ".join(["A long paragraph, with commas, and a stop. It goes on, and on."] * 3) + " one two c x = 1 short"),
         ("<body><div>Outside.</div><article>" + "<p>One, two, and three.</p>" * 7 + "</article><article>" + "<p>Four, five.</p>" * 3 + "</article>", " ".join(["One, two, and three."] * 7 + ["Four, five."] * 3)),
         ("<body><main><div><article><p>First, of two. It is long, and longer.</p></article></div><p>Second, of two.</p></main><div>Outside.</div>", "First, of two. It is long, and longer. Second, of two."),
+        ("<article><p>We have <math><mi>x</mi><mo>+</mo><mn>1</mn></math> and more.<p class=legal>A legal matter.<p class='related work'>Related work.<p>foo<img src=x>bar</article>", "We have x+1 and more. A legal matter. Related work. foobar"),
         ("<article>" + "<p>long, text.</p>" * 5000 + "</article>", " ".join(["long, text."] * 5000)),
     ],
 )
@@ -169,6 +170,48 @@ def test_extract(spark):
 
 
 def test_path_scores_prefer_long_punctuated_paths():
-    nodes = [("/a", "x")] * 5 + [("/p", "A sentence, with commas, and a stop.")] * 5
+    nodes = [(1, "x")] * 5 + [(2, "A sentence, with commas, and a stop.")] * 5
     scores = htmltext.path_scores(nodes)
-    assert scores["/p"] > scores["/a"] and htmltext.content_paths(scores, nodes) == {"/p"}
+    assert scores[2] > scores[1] and htmltext.content_paths(scores, nodes) == {2}
+
+
+def written_page(rng: random.Random, wrapped: bool) -> tuple[str, str]:
+    """A page without telling names or tags, and its article; menus, a notice, a sidebar and comments are planted."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + rng.choice([".", ", indeed.", "!"])
+    box = iter(rng.sample(range(100, 1000), 60))
+    menu = lambda: f"<div class=k{next(box)}>" + "".join(f"<a href=/{k}>{word()}</a> " for k in range(rng.randint(3, 8))) + "</div>"
+    blocks = [sentence(rng.randint(25, 80)) for _ in range(rng.randint(5, 12))]
+    title = sentence(5)
+    items = [word() for _ in range(3)]
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{b}</p>" for b in blocks) + "<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>"
+    side = f"<div class=k{next(box)}><p>{sentence(9)}</p></div>"
+    notice = f"<div class=k{next(box)}>{sentence(6)}</div>"
+    c = next(box)
+    comments = f"<div class=k{next(box)}>" + "".join(f"<div class=k{c}><span>{word()}</span><p>{sentence(8)}</p></div>" for _ in range(rng.randint(1, 3))) + "</div>"
+    inner = f"<div class=k{next(box)}>{body}</div>" if wrapped else body
+    page = f"<html><body>{menu()}{notice}<div class=k{next(box)}>{menu()}{inner}{side}{comments}</div>{notice}{menu()}</body></html>"
+    return page, " ".join([title, *blocks, *items])
+
+
+def test_written_pages_without_telling_names(monkeypatch):
+    """Each generated page gives just its article; with every path taken for content, hardly any would."""
+    rng = random.Random(9)
+    pages = [written_page(rng, k % 2 == 0) for k in range(200)]
+    assert [htmltext.main_text(p) for p, _ in pages] == [a for _, a in pages]
+    monkeypatch.setattr(htmltext, "content_paths", lambda scores, nodes: set(scores))
+    monkeypatch.setattr(htmltext, "LESSER", 0.0)
+    assert sum(htmltext.main_text(p) == a for p, a in pages) < 20
+
+
+def test_deep_pages():
+    import time
+    import tracemalloc
+
+    deep = "<div>" * 50_000 + "<p>Deep, but there.</p>" + "".join(f"<span>{k}" for k in range(20_000)) + "</b>" * 1000
+    tracemalloc.start()
+    began = time.perf_counter()
+    got = htmltext.main_text(deep)
+    assert got.startswith("Deep, but there. 0") and time.perf_counter() - began < 20
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
