@@ -239,7 +239,7 @@ def main_text(source: str | None) -> str:
 def container(elements: list[Element], children: dict[int, list[int]], selected: list[int], titled: list[bool], piece: list[bool]) -> tuple[int, set[int]]:
     """The innermost element around the text on content paths, and the boxes in it that aren't the article's.
 
-    From the page down: boxes of one path are of one kind. Kinds with little content text beside the others go. Where one
+    From the page down: boxes of one path are of one kind if all or none of them hold elements with text. Kinds with little content text beside the others go. Where one
     box is left with all of it, and no title beside it, the search goes on in that box. Where it ends, boxes without
     content text go too, but for those with a heading or the short pieces that articles have.
     """
@@ -249,7 +249,7 @@ def container(elements: list[Element], children: dict[int, list[int]], selected:
         own = children.get(at, [])
         kinds: dict[int, list[int]] = {}
         for k in own:
-            kinds.setdefault(elements[k].path if elements[k].tag in BOXES else -1, []).append(k)
+            kinds.setdefault(2 * elements[k].path + (k in children) if elements[k].tag in BOXES else -1, []).append(k)
         mass = {kind: sum(selected[k] for k in ks) for kind, ks in kinds.items()}
         mass[-1] = selected[at] - sum(v for kind, v in mass.items() if kind >= 0)  # with the element's own text
         most = max(mass.values())
