@@ -42,6 +42,12 @@ def bounding_box(poly: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def box_area(poly: Column) -> Column:
+    """Area of an outline's bounding box."""
+    box = bounding_box(poly)
+    return (box["x1"] - box["x0"]) * (box["y1"] - box["y0"])
+
+
 def on_edge(local: Column, threshold: float = 5.0, size: int = PATCH) -> Column:
     """Whether an outline in patch coordinates comes within the threshold of the patch's border, the threshold included."""
     box = bounding_box(local)

@@ -32,15 +32,18 @@ def binned_objects(objects: DataFrame, size: int = BIN, polygon: str = "polygon"
     return across.withColumn("_by", F.explode(bins(F.col("_box.y0"), F.col("_box.y1"), size)))
 
 
-def candidates(points: DataFrame, objects: DataFrame, keys: Sequence[str] = PATCH, *, pixel: bool = False, size: int = BIN) -> DataFrame:
+def candidates(points: DataFrame, objects: DataFrame, keys: Sequence[str] = PATCH, *, pixel: bool = False, size: int = BIN, patch_size: int = G.PATCH) -> DataFrame:
     """Each point (its columns) with each object (object_idx) of the same ``keys`` that holds it.
 
-    With ``pixel``, the point is its whole pixel and the outline is rounded half to even, its border included.
+    With ``pixel``, the point is its whole pixel, the outline is rounded half to even and clipped to a patch of
+    ``patch_size``, its border included, and points outside of their patch are left out.
     """
     x, y = (F.floor("x").cast("double"), F.floor("y").cast("double")) if pixel else (F.col("x"), F.col("y"))
     placed = points.withColumns({"_px": x, "_py": y})
+    if pixel:
+        placed = placed.where((F.col("_px") >= 0) & (F.col("_py") >= 0) & (F.col("_px") < patch_size) & (F.col("_py") < patch_size))
     placed = placed.withColumns({"_bx": F.floor(F.col("_px") / size).cast("int"), "_by": F.floor(F.col("_py") / size).cast("int")})
-    slim = objects.select(*keys, "object_idx", (G.rounded(F.col("polygon")) if pixel else F.col("polygon")).alias("_poly"))
+    slim = objects.select(*keys, "object_idx", (G.rounded(F.col("polygon"), patch_size) if pixel else F.col("polygon")).alias("_poly"))
     tiles = binned_objects(slim, size, "_poly")
     near = placed.join(tiles, [*keys, "_bx", "_by"]).where((F.col("_px") >= F.col("_box.x0")) & (F.col("_px") <= F.col("_box.x1")) & (F.col("_py") >= F.col("_box.y0")) & (F.col("_py") <= F.col("_box.y1")))
     inside = G.contains(F.col("_poly"), F.col("_px"), F.col("_py"))
@@ -96,20 +99,31 @@ def gene_index(panel: DataFrame, points: DataFrame, objects: DataFrame, keys: Se
 
 
 def overlapping_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str] = FIELD, size: int = 2 * BIN) -> DataFrame:
-    """(keys, a_idx, b_idx, a_poly, b_poly, box_area) of objects whose boxes overlap, each pair once.
-
-    ``box_area`` is the boxes' intersection: no less than the outlines', and cheap enough to decide most pairs by.
+    """(keys, and of both sides idx, area, poly and is_box; box_area) of objects whose boxes overlap, each pair once.
 
-    A pair shares several bins; it counts in the one that holds the lower left corner of the boxes' intersection.
+    ``box_area`` is the boxes' intersection: no less than the outlines', and cheap enough to decide most pairs by. An
+    outline as large as its box ``is_box``. A pair shares several bins; it counts in the one that holds the lower left
+    corner of the boxes' intersection. Areas are taken once an object, before the join.
     """
-    left = binned_objects(a.select(*keys, F.col("object_idx").alias("a_idx"), F.col("polygon").alias("a_poly")), size, "a_poly").withColumnRenamed("_box", "_abox")
-    right = binned_objects(b.select(*keys, F.col("object_idx").alias("b_idx"), F.col("polygon").alias("b_poly")), size, "b_poly").withColumnRenamed("_box", "_bbox")
-    met = left.join(right, [*keys, "_bx", "_by"])
+
+    def side(objects: DataFrame, name: str) -> DataFrame:
+        area = G.area(F.col("polygon"))
+        own = objects.select(*keys, F.col("object_idx").alias(f"{name}_idx"), F.col("polygon").alias(f"{name}_poly"), area.alias(f"{name}_area"), (F.abs(area - G.box_area(F.col("polygon"))) <= 1e-12 * area).alias(f"{name}_is_box"))
+        return binned_objects(own, size, f"{name}_poly").withColumnRenamed("_box", f"_{name}box")
+
+    met = side(a, "a").join(side(b, "b"), [*keys, "_bx", "_by"])
     x0, y0 = F.greatest("_abox.x0", "_bbox.x0"), F.greatest("_abox.y0", "_bbox.y0")
     across, down = F.least("_abox.x1", "_bbox.x1") - x0, F.least("_abox.y1", "_bbox.y1") - y0
     boxes = (across > 0) & (down > 0)
     here = (F.floor(x0 / size) == F.col("_bx")) & (F.floor(y0 / size) == F.col("_by"))
-    return met.where(boxes & here).select(*keys, "a_idx", "b_idx", "a_poly", "b_poly", (across * down).alias("box_area"))
+    both = [f"{name}_{c}" for name in "ab" for c in ("idx", "area", "poly", "is_box")]
+    return met.where(boxes & here).select(*keys, *both, (across * down).alias("box_area"))
+
+
+def shared_area() -> Column:
+    """Area shared by the outlines of :func:`overlapping_pairs`: that of their boxes, if both are boxes, else the kernel's."""
+    boxes = F.col("a_is_box") & F.col("b_is_box")
+    return F.when(boxes, F.col("box_area")).otherwise(overlap_area(F.when(~boxes, F.col("a_poly")), F.when(~boxes, F.col("b_poly"))))
 
 
 def link_objects(nuclei: DataFrame, myotubes: DataFrame, threshold: float = 0.8, keys: Sequence[str] = FIELD) -> DataFrame:
@@ -118,9 +132,8 @@ def link_objects(nuclei: DataFrame, myotubes: DataFrame, threshold: float = 0.8,
     The share of the nucleus' area must exceed the threshold; ties go to the lowest index. Nuclei without area have no
     link. Outlines are filled even-odd, so that crossed ones have a defined area.
     """
-    pairs = overlapping_pairs(nuclei, myotubes, keys).withColumn("_area", G.area(F.col("a_poly")))
-    pairs = pairs.where((F.col("_area") > 0) & (F.col("box_area") > (threshold - 1e-9) * F.col("_area")))
-    shares = pairs.withColumn("overlap_frac", overlap_area("a_poly", "b_poly") / F.col("_area")).where(F.col("overlap_frac") > threshold)
+    pairs = overlapping_pairs(nuclei, myotubes, keys).where((F.col("a_area") > 0) & (F.col("box_area") > (threshold - 1e-9) * F.col("a_area")))
+    shares = pairs.withColumn("overlap_frac", shared_area() / F.col("a_area")).where(F.col("overlap_frac") > threshold)
     best = shares.groupBy(*keys, F.col("a_idx").alias("nuc_idx")).agg(F.max(F.struct("overlap_frac", (-F.col("b_idx")).alias("m"))).alias("_best"))
     return best.select(*keys, "nuc_idx", (-F.col("_best.m")).alias("myo_idx"), F.col("_best.overlap_frac").alias("overlap_frac"))
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.functions import geometry as G
-from fieldloom.functions.kernels import mean_width, overlap_area, width_segments
-from fieldloom.operators.assign import overlapping_pairs
+from fieldloom.functions.kernels import mean_width, width_segments
+from fieldloom.operators.assign import overlapping_pairs, shared_area
 
 
 def morphology(objects: DataFrame) -> DataFrame:
@@ -94,10 +94,9 @@ def offsets(objects: DataFrame, by: Sequence[str], order: str) -> DataFrame:
 
 def contained_pairs(objects: DataFrame, threshold: float = 0.9, file: str = "image_name") -> DataFrame:
     """(file, large_idx, small_idx): strictly smaller outlines of which at least the threshold lies in a larger one."""
-    sized = objects.withColumn("_area", G.area(F.col("polygon"))).where(F.col("_area") > 0)
-    met = overlapping_pairs(sized, sized, [file]).withColumns({"_small": G.area(F.col("a_poly")), "_large": G.area(F.col("b_poly"))})
-    likely = met.where((F.col("_small") < F.col("_large")) & (F.col("box_area") >= (threshold - 1e-9) * F.col("_small")))
-    inner = likely.where(overlap_area("a_poly", "b_poly") / F.col("_small") >= threshold)
+    met = overlapping_pairs(objects, objects, [file])
+    likely = met.where((F.col("a_area") > 0) & (F.col("a_area") < F.col("b_area")) & (F.col("box_area") >= (threshold - 1e-9) * F.col("a_area")))
+    inner = likely.where(shared_area() / F.col("a_area") >= threshold)
     return inner.select(file, F.col("b_idx").alias("large_idx"), F.col("a_idx").alias("small_idx"))
 
 
