@@ -8,8 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A crop's name: field, patch, cell line (as short as the rest allows) and local id.
-CROP_NAME = r"^field_(.+?)_patch_(\d+)_cellline_(.+?)_localid_(\d+)$"
+# Fixed values of the files' formats: a crop's name (field without underscores, patch, cell line, local id) and the words
+# that stand for true.
+CROP_NAME = r"^field_([^_]+)_patch_(\d+)_cellline_(.+?)_localid_(\d+)$"
 TRUE_WORDS = ("1", "true", "t", "yes", "y")
 
 

@@ -71,23 +71,25 @@ def group_means(counts: DataFrame, factors: DataFrame, genes: DataFrame, eps: fl
 def adjusted(df: DataFrame, by: list[str], p: str = "p", out: str = "p_adj", bins: int = 1024) -> DataFrame:
     """``df`` with Benjamini-Hochberg adjusted p-values in each group; nulls stay null and don't count.
 
-    Ranks and the running minimum from above are made within bins of p and carried over a small table of the bins, so
-    that no task sorts a whole group.
+    Equal p-values are one row with a count until the end: they share the rank of the last of them. Ranks and the running
+    minimum from above are made within bins of p and carried over a small table of the bins, so that no task sorts a
+    whole group, however many of its values are equal.
     """
     at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.col(p) * bins).cast("int")))
-    known = df.where(F.col(p).isNotNull()).withColumn("_bin", at)
-    sizes = known.groupBy(*by, "_bin").agg(F.count("*").alias("_in"))
+    known = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p"), at.alias("_bin")).agg(F.count("*").alias("_times"))
+    sizes = known.groupBy(*by, "_bin").agg(F.sum("_times").alias("_in"))
     upward = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*by, "_bin", F.coalesce(F.sum("_in").over(upward), F.lit(0)).alias("_below"), F.sum("_in").over(Window.partitionBy(*by)).alias("_n"))
     own = Window.partitionBy(*by, "_bin")
-    ranked = known.join(sizes, [*by, "_bin"]).withColumn("_rank", F.row_number().over(own.orderBy(F.asc(p))) + F.col("_below"))
-    raw = ranked.withColumn("_q", F.col(p) * F.col("_n") / F.col("_rank"))
+    ranked = known.join(sizes, [*by, "_bin"]).withColumn("_rank", F.sum("_times").over(own.orderBy("_p")) + F.col("_below"))
+    raw = ranked.withColumn("_q", F.col("_p") * F.col("_n") / F.col("_rank"))
     downward = Window.partitionBy(*by).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     above = raw.groupBy(*by, "_bin").agg(F.min("_q").alias("_least")).select(*by, "_bin", F.min("_least").over(downward).alias("_above"))
-    inside = F.min("_q").over(own.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    done = raw.withColumn("_inside", inside).join(above, [*by, "_bin"]).withColumn(out, F.least(F.lit(1.0), "_inside", F.coalesce("_above", F.lit(1.0))))
+    inside = F.min("_q").over(own.orderBy(F.desc("_p")))
+    values = raw.withColumn("_inside", inside).join(above, [*by, "_bin"]).select(*by, F.col("_p").alias(p), F.least(F.lit(1.0), "_inside", F.coalesce("_above", F.lit(1.0))).alias("_adjusted"))
     kept = [c for c in df.columns if c != out]
-    return done.select(*kept, out).unionByName(df.where(F.col(p).isNull()).select(*kept, F.lit(None).cast("double").alias(out)))
+    done = df.where(F.col(p).isNotNull()).join(values, [*by, p]).select(*kept, F.col("_adjusted").alias(out))
+    return done.unionByName(df.where(F.col(p).isNull()).select(*kept, F.lit(None).cast("double").alias(out)))
 
 
 def flagged(df: DataFrame, *, alpha: float = 0.05, least: float = 0.25) -> DataFrame:

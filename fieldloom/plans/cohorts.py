@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import identifiers as I
+from fieldloom.operators.order import placed
 from fieldloom.operators import cohort as C
 from fieldloom.operators import effects as E
 from fieldloom.operators import matching as N
@@ -318,12 +319,10 @@ def nb_trend(spark: SparkSession, d: str) -> DataFrame:
 # names and files
 
 
-@query("SELECT p_name, row_number() OVER (ORDER BY CAST(regexp_extract(p_name, '(\\d+)', 1) AS BIGINT), p_name) AS place FROM (SELECT DISTINCT 'img' || p_partkey % 997 || '_v' || p_partkey % 7 AS p_name FROM part)".replace("CAST(regexp_extract(p_name, '(\\d+)', 1) AS BIGINT), p_name", "CAST(regexp_extract(p_name, 'img([0-9]+)', 1) AS BIGINT), CAST(regexp_extract(p_name, '_v([0-9]+)', 1) AS BIGINT)"))
+@query("SELECT p_name, row_number() OVER (ORDER BY CAST(regexp_extract(p_name, '(\\d+)', 1) AS BIGINT), p_name) AS place FROM (SELECT DISTINCT 'img' || p_partkey // 2 || '_v' || p_partkey % 7 AS p_name FROM part)".replace("CAST(regexp_extract(p_name, '(\\d+)', 1) AS BIGINT), p_name", "CAST(regexp_extract(p_name, 'img([0-9]+)', 1) AS BIGINT), CAST(regexp_extract(p_name, '_v([0-9]+)', 1) AS BIGINT)"))
 def natural_sort(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    names = V.table(spark, d, "part").selectExpr("concat('img', p_partkey % 997, '_v', p_partkey % 7) as p_name").distinct()
-    return names.select("p_name", F.row_number().over(Window.orderBy(I.natural_key(F.col("p_name")))).cast("long").alias("place"))
+    names = V.table(spark, d, "part").selectExpr("concat('img', p_partkey div 2, '_v', p_partkey % 7) as p_name").distinct()
+    return placed(names, I.natural_key(F.col("p_name")))
 
 
 @query("""SELECT substr(md5(c_custkey::VARCHAR), 1, 20) || '.tif' AS name, CASE WHEN s_suppkey % 2 = 1 THEN substr(md5(s_suppkey::VARCHAR), 1, 20) || '.txt' WHEN s_suppkey % 2 = 0 THEN substr(md5(s_suppkey::VARCHAR), 1, 10) || 'z' || substr(md5(s_suppkey::VARCHAR), 12, 9) || '.txt' END AS match,

@@ -16,20 +16,42 @@ def folder_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
-def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
+def read_transcripts(spark: SparkSession, root: str, *, mixed_headers: bool = False) -> DataFrame:
     """Spots (fov, target, x, y) of the CSV files in one folder per field under ``root``.
 
     The field comes from the folder's name. Of a folder's files the first named ``*_target_call_coord.csv`` counts, else
-    the first ``*.csv``; a folder without one gives nothing.
+    the first ``*.csv``; a folder without one gives nothing. All files must have one header, which Spark checks for each
+    file while it reads; with ``mixed_headers`` each file's own header says where its columns are, at the price of one
+    more pass over the files. A file that lacks one of the columns is an error.
     """
     names = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(root).select("path")
     rank = F.when(F.col("path").endswith("_target_call_coord.csv"), 0).otherwise(1)
     first = Window.partitionBy(folder_of(F.col("path"))).orderBy(rank, "path")
-    chosen = names.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).select(F.regexp_replace("path", "^file:/+", "/").alias("_path"))
-    raw = spark.read.option("header", True).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").csv(root)
-    I.require_columns(raw, ["target", "x", "y"], "transcript table")
-    placed = raw.select("target", F.col("x").try_cast("double").alias("x"), F.col("y").try_cast("double").alias("y"), F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("_path"))
-    return placed.join(chosen, "_path", "left_semi").select(I.fov_token(folder_of(F.col("_path"))).alias("fov"), "target", "x", "y")
+    chosen = names.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).select("path")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    if not mixed_headers:
+        reader = spark.read.option("header", True).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true")
+        raw = reader.option("enforceSchema", False).schema(reader.csv(root).schema).csv(root)
+        I.require_columns(raw, ["target", "x", "y"], "transcript table")
+        placed = raw.select("target", F.col("x").try_cast("double").alias("x"), F.col("y").try_cast("double").alias("y"), plain(F.col("_metadata.file_path")).alias("_path"))
+        return placed.join(chosen.select(plain("path").alias("_path")), "_path", "left_semi").select(I.fov_token(folder_of(F.col("_path"))).alias("fov"), "target", "x", "y")
+    heads = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
+    heads = heads.where(F.col("_metadata.file_block_start") == 0).select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("_at"))
+    header = heads.groupBy("path").agg(F.min_by("value", "_at").alias("header"))
+    kinds = header.withColumn("_path", plain("path")).join(chosen.select(plain("path").alias("_path")), "_path", "left_semi")
+    orders = [r["header"] for r in kinds.select("header").distinct().collect()]  # a handful: what wrote the files decides them
+    out = spark.createDataFrame([], "fov string, target string, x double, y double")
+    for order in orders:
+        columns = [c.strip().strip('"') for c in order.rstrip("\r").split(",")]
+        if missing := [c for c in ("target", "x", "y") if c not in columns]:
+            raise ValueError(f"transcript table lacks columns {missing}; it has {columns}")
+        own = kinds.where(F.col("header") == order).select("_path")
+        schema = ", ".join(f"`c{k}` string" for k in range(len(columns)))
+        at = {c: f"c{columns.index(c)}" for c in ("target", "x", "y")}
+        raw = spark.read.option("header", True).option("enforceSchema", True).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").schema(schema).csv(root)
+        placed = raw.select(F.col(at["target"]).alias("target"), F.col(at["x"]).try_cast("double").alias("x"), F.col(at["y"]).try_cast("double").alias("y"), plain(F.col("_metadata.file_path")).alias("_path"))
+        out = out.unionByName(placed.join(own, "_path", "left_semi").select(I.fov_token(folder_of(F.col("_path"))).alias("fov"), "target", "x", "y"))
+    return out
 
 
 def parse_outlines(lines: DataFrame, scale: Column | float = 1.0, scale_y: Column | float | None = None) -> DataFrame:

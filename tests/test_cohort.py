@@ -141,3 +141,28 @@ def test_files_round_trip(spark, tmp_path):
     assert text[0][0].startswith("0 512.000000 512.000000")
     S.write_result(spark.createDataFrame([("g", "L")], "gene string, cell_line string"), str(tmp_path / "r"), {"eps": 1e-6})
     assert spark.read.option("header", True).csv(str(tmp_path / "r/result")).columns == ["cell_line", "gene"]
+
+
+def test_names_against_all_pairs(spark):
+    """Names with one long common beginning: the best ratio of all pairs, candidates first, ties by name."""
+    import difflib
+    import random
+
+    from fieldloom.operators import matching as N
+
+    rng = random.Random(2)
+    stem = lambda: "field_F0" + "".join(rng.choice("abcdef0123456789") for _ in range(rng.randint(10, 24)))
+    right = [stem() for _ in range(60)]
+    left = [stem() for _ in range(20)] + right[:5]
+    for name in right[5:50]:
+        k = rng.randrange(4, len(name))
+        left.append(rng.choice([name[:k] + name[k + 1 :], name[:k] + "z" + name[k:], name[:k] + "zz" + name[k + 2 :], name[k:] + name[:k]]))
+    left = list(dict.fromkeys(left))
+    a, b = (spark.createDataFrame([(x + e,) for x in v], "name string") for v, e in ((left, ".tif"), (right, ".txt")))
+    for threshold in (0.9, 0.8):
+        got = {r["name"][:-4]: (r["match"] and r["match"][:-4], r["score"], r["mode"]) for r in N.match_names(a, b, threshold).collect()}
+        for x in left:
+            scores = {y: difflib.SequenceMatcher(None, y, x).ratio() for y in right}
+            best = max(scores.values())
+            want = (x, 1.0, "exact") if x in right else (min(y for y in right if scores[y] == best), best, "fuzzy") if best > threshold else (None, None, "none")
+            assert got[x] == want

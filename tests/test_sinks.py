@@ -88,3 +88,28 @@ def test_empty_outlines(spark):
     assert O.deduplicated(none).count() == 0 and O.morphology(none).count() == 0
     assert O.patch_grid(spark, spark.createDataFrame([("small", 500, 4000)], "image_name string, width int, height int")).count() == 0
     assert none.select(F.size("polygon")).count() == 0
+
+
+def test_transcripts_by_each_files_header(spark, tmp_path):
+    """Files with another order of columns are read by their own header, or refused; never taken by position."""
+    for fov, text in (("FOV00001", "target,x,y\nA,1,2\n"), ("FOV00002", "x,y,target,more\n3,4,B,z\n5,bad,C,z\n")):
+        (tmp_path / fov).mkdir()
+        (tmp_path / fov / f"r_{fov}__target_call_coord.csv").write_text(text)
+    got = sorted((r["fov"], r["target"], r["x"], r["y"]) for r in S.read_transcripts(spark, str(tmp_path), mixed_headers=True).collect())
+    assert [g[:3] for g in got] == [("F00001", "A", 1.0), ("F00002", "B", 3.0), ("F00002", "C", 5.0)] and [g[3] for g in got] == [2.0, 4.0, None]
+    with pytest.raises(Exception, match="(?i)header"):
+        S.read_transcripts(spark, str(tmp_path)).collect()
+    (tmp_path / "FOV00003").mkdir()
+    (tmp_path / "FOV00003" / "a.csv").write_text("gene,x,y\nA,1,2\n")
+    with pytest.raises(ValueError, match="target"):
+        S.read_transcripts(spark, str(tmp_path), mixed_headers=True)
+
+
+def test_places_over_a_table(spark):
+    from fieldloom.operators.order import placed
+
+    names = spark.range(5000).select((F.col("id") * 7919 % 4001).alias("v"))
+    got = placed(names, F.col("v")).collect()
+    assert sorted(r["place"] for r in got) == list(range(1, 5001))
+    assert [r["v"] for r in sorted(got, key=lambda r: r["place"])] == sorted(r["v"] for r in got)
+    assert placed(names.limit(0), F.col("v")).count() == 0
