@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import langid, lines, mixing, nearcopies, packing
-from fieldloom.sessions import shared_dir, ship
+from fieldloom.llm.joins import small_side
+from fieldloom.sessions import cut, shared_dir, ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The expression has no equal in SQL: a fitted classifier, fingerprints and a tokenizer.
@@ -43,7 +44,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ship(spark)
     found = nearcopies.near_copies(docs)
     go = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where(~F.col("stays")).select("doc_id")
-    return docs.join(go, "doc_id", "left_anti").select(*COLUMNS)
+    go, _ = cut(go, "copies")
+    return docs.join(small_side(go), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

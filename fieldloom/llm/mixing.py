@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldloom.llm.joins import small_side
 from fieldloom.llm.names import fresh
 from fieldloom.llm.ranking import buckets_for
 from fieldloom.sessions import cut
@@ -74,7 +75,7 @@ def mix(docs: DataFrame, *, buckets: int | None = None, weights: tuple[int, ...]
     ends = summed.where((F.col("rest") > 0) & (F.col("through") >= F.col("rest")) & (F.col("through") - F.col("size") < F.col("rest")))
     ends = ends.groupBy("key").agg(F.min(F.struct("bucket", (F.col("rest") - (F.col("through") - F.col("size"))).alias("left"))).alias("e")).select("key", F.col("e.bucket").alias("at"), F.col("e.left").alias("left"))
 
-    last = docs.select(key.alias("key"), bucket.alias("bucket"), order.alias("order"), "text").join(few(ends), "key").where(F.col("bucket") == F.col("at"))
+    last = docs.select(key.alias("key"), bucket.alias("bucket"), order.alias("order"), "text").join(small_side(ends, BROADCAST_SOURCES), "key").where(F.col("bucket") == F.col("at"))
     ranked = last.select("key", "order", "left", n_words(F.col("text")).alias("size")).groupBy("key", "order").agg(F.first("left").alias("left"), F.sum("size").alias("size"), F.count("*").alias("rows"))
     ranked = ranked.withColumn("before", F.sum("size").over(Window.partitionBy("key").orderBy("order")) - F.col("size"))
     edge = ranked.where((F.col("before") < F.col("left")) & (F.col("before") + F.col("size") >= F.col("left")))
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, *, buckets: int | None = None, weights: tuple[int, ...]
     decided, _ = cut(plan.join(edge, "key", "left").select("key", "source_size", "target", "whole", "edge", "piece"), "sources")
 
     own = fresh(docs, "key", "order", "source_size", "target", "whole", "edge", "piece")
-    placed = docs.withColumns({own["key"]: key, own["order"]: order}).join(few(decided.select(*(F.col(c).alias(own[c]) for c in decided.columns))), own["key"])
+    placed = docs.withColumns({own["key"]: key, own["order"]: order}).join(small_side(decided.select(*(F.col(c).alias(own[c]) for c in decided.columns)), BROADCAST_SOURCES), own["key"])
     first = F.col(own["order"]) < F.col(own["edge"])
     part = F.when(F.col(own["order"]) == F.col(own["edge"]), F.least(F.col(own["piece"]), size)).otherwise(F.lit(0).cast("long"))
     full = F.coalesce(first, F.lit(False)) | ((part > 0) & (part == size))
@@ -92,11 +93,6 @@ def mix(docs: DataFrame, *, buckets: int | None = None, weights: tuple[int, ...]
     return placed.select(*(F.col(c) for c in docs.columns if c not in added), *(c.alias(name) for name, c in added.items()))
 
 
-def few(per_source: DataFrame) -> DataFrame:
-    """One row a source: broadcast where they are :data:`BROADCAST_SOURCES` at most, else joined as Spark decides."""
-    return F.broadcast(per_source) if per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else per_source
-
-
 def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix as documents: one row for each whole repetition, and one with the first ``part`` words for a part."""
     name = fresh(mixed, "cut")["cut"]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import simhash
 from fieldloom.llm.components import components
+from fieldloom.llm.joins import small_side
 from fieldloom.sessions import cut, discard
 
 SHINGLE = 5
@@ -22,8 +23,8 @@ SEED = 42
 #: Texts that agree in all min-hashes of a band are compared: at a similarity of 0.8, all but 0.672 ** 30 = 0.000007 are.
 BANDS, ROWS = 30, 5
 #: One bit of each of so many min-hashes is kept. Two of them differ with half the chance that the min-hashes do: at a
-#: similarity of 0.8, in 51 bits on average (deviation 6.8), and in over 82 with a chance of 0.000005.
-SKETCH, SKETCH_APART = 512, 82
+#: similarity of 0.8, in 51 bits on average (deviation 6.8), and in over 78 with a chance of 0.00004.
+SKETCH, SKETCH_APART = 512, 78
 #: Bits in which fingerprints of five-word shingles differ at most to be compared.
 DISTANCE = 2
 #: All pairs left are compared once they are no more than so many for each entry of a bucket, or after so many rounds.
@@ -132,7 +133,7 @@ def by_fingerprints(nodes: DataFrame) -> DataFrame:
 
 
 def edges(entries: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all near copies among ``nodes`` (words, first, size, fp, bits, degree) that share a key
+    """Links (a, b) that connect all near copies among ``nodes`` (words, first, size, fp, bits, keys, degree) that share a key
     in ``entries`` (key, words).
 
     Fingerprints first; then, while pairs are many, all of a key meet one of them, the one that shares most keys with
@@ -151,13 +152,15 @@ def edges(entries: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
         if not total[0]:
             break
         last = turn == ROUNDS or total[1] <= PAIRS_AN_ENTRY * total[0]
-        left = own.join(live.select("key"), "key").select("key", F.struct("words", "first", "size", "bits", "degree", "c").alias("a"))
+        left = own.join(live.select("key"), "key").select("key", F.struct("words", "first", "size", "bits", "keys", "degree", "c").alias("a"))
+        once = F.lit(True)
         if last:
             right, ordered = left.withColumnRenamed("a", "b"), F.col("a.words") < F.col("b.words")
+            once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("key")  # of all keys that a pair shares
         else:
             rank = F.struct((-F.col("a.degree") if turn == 0 else F.xxhash64(F.lit(turn), "a.words")).alias("r"), F.col("a.words").alias("w"))
             right, ordered = left.groupBy("key").agg(F.min_by("a", rank).alias("b")), F.col("a.words") != F.col("b.words")
-        met = left.join(right, "key").where(ordered & (F.col("a.c") != F.col("b.c")) & may_be_alike("a", "b"))
+        met = left.join(right, "key").where(ordered & (F.col("a.c") != F.col("b.c")) & may_be_alike("a", "b") & once)
         pairs, pairs_path = cut(met.select(F.col("a.words").alias("wa"), F.col("a.first").alias("fa"), F.col("b.words").alias("wb"), F.col("b.first").alias("fb")).distinct(), "pairs")
         following, following_path = cut(found.unionByName(verified(pairs, bodies)), "links")
         for gone in (path, pairs_path):
@@ -181,8 +184,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     keyed = unique.where(F.col("first").isNotNull()).select(F.explode("keys").alias("key"), "words")
     entries, entries_path = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "key"), "shared")
     degrees = entries.groupBy("words").agg(F.sum("n").alias("degree"))
-    nodes, nodes_path = cut(unique.drop("keys").join(degrees, "words"), "compared")
-    bodies, bodies_path = cut(shingled(docs.select("doc_id", "text").join(nodes.select("words", F.col("first").alias("doc_id")), "doc_id")).dropDuplicates(["words"]), "shingles")
+    nodes, nodes_path = cut(unique.join(degrees, "words"), "compared")
+    bodies, bodies_path = cut(shingled(docs.select("doc_id", "text").join(small_side(nodes.select("words", F.col("first").alias("doc_id"))), "doc_id")).dropDuplicates(["words"]), "shingles")
     reached = components(edges(entries.select("key", "words"), nodes, bodies))
     labelled, _ = cut(unique.join(reached.withColumnRenamed("node", "first"), "first", "left").select("words", F.coalesce("component", "first").alias("component_id")), "labels")
     for path in (unique_path, entries_path, nodes_path, bodies_path):
