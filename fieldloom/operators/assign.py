@@ -35,15 +35,16 @@ def binned_objects(objects: DataFrame, size: int = BIN, polygon: str = "polygon"
 def candidates(points: DataFrame, objects: DataFrame, keys: Sequence[str] = PATCH, *, pixel: bool = False, size: int = BIN, patch_size: int = G.PATCH) -> DataFrame:
     """Each point (its columns) with each object (object_idx) of the same ``keys`` that holds it.
 
-    With ``pixel``, the point is its whole pixel, the outline is rounded half to even and clipped to a patch of
-    ``patch_size``, its border included, and points outside of their patch are left out.
+    With ``pixel``, both are taken in their patch's own frame: the point is its whole pixel, the outline is rounded half
+    to even and clipped to the patch, its border included, and points outside of their patch are left out.
     """
-    x, y = (F.floor("x").cast("double"), F.floor("y").cast("double")) if pixel else (F.col("x"), F.col("y"))
+    dx, dy = G.patch_offset(F.col("patch_idx"), size=patch_size) if "patch_idx" in keys else (F.lit(0), F.lit(0))
+    x, y = (F.col("x") - dx).cast("long").cast("double") if pixel else F.col("x"), (F.col("y") - dy).cast("long").cast("double") if pixel else F.col("y")
     placed = points.withColumns({"_px": x, "_py": y})
     if pixel:
         placed = placed.where((F.col("_px") >= 0) & (F.col("_py") >= 0) & (F.col("_px") < patch_size) & (F.col("_py") < patch_size))
     placed = placed.withColumns({"_bx": F.floor(F.col("_px") / size).cast("int"), "_by": F.floor(F.col("_py") / size).cast("int")})
-    slim = objects.select(*keys, "object_idx", (G.rounded(F.col("polygon"), patch_size) if pixel else F.col("polygon")).alias("_poly"))
+    slim = objects.select(*keys, "object_idx", (G.rounded(G.moved(F.col("polygon"), -dx, -dy), patch_size) if pixel else F.col("polygon")).alias("_poly"))
     tiles = binned_objects(slim, size, "_poly")
     near = placed.join(tiles, [*keys, "_bx", "_by"]).where((F.col("_px") >= F.col("_box.x0")) & (F.col("_px") <= F.col("_box.x1")) & (F.col("_py") >= F.col("_box.y0")) & (F.col("_py") <= F.col("_box.y1")))
     inside = G.contains(F.col("_poly"), F.col("_px"), F.col("_py"))

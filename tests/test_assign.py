@@ -87,7 +87,8 @@ def test_drop_list(spark):
 def test_raster_clips_to_the_patch(spark):
     """Outlines are clipped to the patch before they are filled; points outside of it count nowhere."""
     poly = [(1020.0, 1020.0), (1040.0, 1020.0), (1040.0, 1040.0), (1020.0, 1040.0)]
-    objects = spark.createDataFrame([("s", 1, 0, 7, [{"x": x, "y": y} for x, y in poly])], "slide string, fov int, patch_idx int, object_idx long, polygon array<struct<x: double, y: double>>")
-    points = spark.createDataFrame([("s", 1, 0, k, "g", x, y) for k, (x, y) in enumerate([(1021.5, 1022.5), (1023.9, 1023.9), (1030.0, 1030.0), (1019.0, 1022.0)])], "slide string, fov int, patch_idx int, point_id long, target string, x double, y double")
-    assert sorted(r["point_id"] for r in A.assign_points(points, objects, "last", pixel=True).collect()) == [0, 1]
-    assert sorted(r["point_id"] for r in A.assign_points(points, objects, "greedy").collect()) == [0, 1, 2]
+    objects = spark.createDataFrame([("s", 1, p, 7 + p, [{"x": x + 1024 * p, "y": y} for x, y in poly]) for p in (0, 1)], "slide string, fov int, patch_idx int, object_idx long, polygon array<struct<x: double, y: double>>")
+    places = [(1021.5, 1022.5), (1023.9, 1023.9), (1030.0, 1030.0), (1019.0, 1022.0)]
+    points = spark.createDataFrame([("s", 1, p, k + 10 * p, "g", x + 1024 * p, y) for p in (0, 1) for k, (x, y) in enumerate(places)], "slide string, fov int, patch_idx int, point_id long, target string, x double, y double")
+    assert sorted(r["point_id"] for r in A.assign_points(points, objects, "last", pixel=True).collect()) == [0, 1, 10, 11]
+    assert sorted(r["point_id"] for r in A.assign_points(points, objects, "greedy").collect()) == [0, 1, 2, 10, 11, 12]
