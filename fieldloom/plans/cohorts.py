@@ -306,7 +306,7 @@ def nb_de_tubes(spark: SparkSession, d: str) -> DataFrame:
     """Two groups of tubes, morphology class 2 against 1; every other cell stands for a tube of one class."""
     tubes = V.cells(spark, d).withColumn("morphology_class", F.when(F.col("cell") % 3 == 0, -1).otherwise(F.col("group") + 1))
     grouped = tubes.where(F.col("morphology_class").isin(1, 2)).withColumn("group", (F.col("morphology_class") == 2).cast("int"))
-    return D.two_groups(grouped, V.counts(spark, d), min_cells=MIN_SEEN)[0]
+    return D.two_groups(grouped, V.counts(spark, d), min_cells=MIN_SEEN, grid_length=21)[0]
 
 
 @query()

@@ -30,7 +30,7 @@ def two_groups(cells: DataFrame, counts: DataFrame, *, min_cells: int = 100, gri
     return flagged.select("cell_line", F.col("gene").alias("names"), F.col("beta_intercept").alias("beta0"), F.col("beta_group").alias("beta1"), "log2fc", "mean_1", "mean_0", F.col("p").alias("pvals"), F.col("p_adj").alias("pvals_adj"), "significant", "up", "down"), skipped
 
 
-def trend(tubes: DataFrame, counts: DataFrame, *, min_tubes: int = 50, slide: str | None = "slide") -> DataFrame:
+def trend(tubes: DataFrame, counts: DataFrame, *, min_tubes: int = 50, slide: str | None = "slide", grid_length: int = 21) -> DataFrame:
     """Per cell line and gene: effects of the number of nuclei (per deviation) and of their abnormal share.
 
     ``tubes`` (cell, cell_line, n_normal_nuclei, n_abnormal_nuclei, morphology_class, slide); only tubes of class 1 or
@@ -44,7 +44,7 @@ def trend(tubes: DataFrame, counts: DataFrame, *, min_tubes: int = 50, slide: st
     factors = factors.where(F.col("size_factor").isNotNull() & (F.col("size_factor") > 0))
     genes, _ = cut(E.detected_genes(counts, factors, min_tubes, None), "detected")
     design, names = design_table(factors, ["total_nuc_sc", "prop_abn"], slide=slide)
-    fitted = fit_genes(counts, design, genes, names, tested=["total_nuc_sc", "prop_abn"])
+    fitted = fit_genes(counts, design, genes, names, tested=["total_nuc_sc", "prop_abn"], grid_length=grid_length)
     fitted, _ = cut(fitted, "fits")  # read several times below
     for c in ("total_nuc_sc", "prop_abn"):
         fitted = E.adjusted(fitted, ["cell_line"], f"p_{c}", f"fdr_{c}")
