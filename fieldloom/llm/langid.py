@@ -19,7 +19,7 @@ SAMPLE_CHARS = 500
 #: Texts are parsed in blocks of so many symbols side by side, and then across the blocks' borders as if there were none.
 BLOCK = 256
 #: Characters parsed side by side.
-AT_ONCE = 6_000_000
+AT_ONCE = 3_000_000
 
 SPACE, OTHER = 0, 1
 
