@@ -52,10 +52,13 @@ class PieceIds(dict):
         super().__init__()
         self.model, self.letters = model, letters
 
-    def __missing__(self, piece: str) -> bytes:
+    def encoded(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         found = [t.id for t in self.model.tokenize(shown)]
-        out = struct.pack(f"<{len(found)}I", *found)
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.encoded(piece)
         if len(self) < REMEMBERED_WORDS:
             self[piece] = out
         return out
@@ -89,7 +92,10 @@ class WordIds(dict):
         text = word.decode()
         if self.pattern is not None and PLAIN.fullmatch(text):
             text = text.lower()
-            out = self.pieces[text] if text.isascii() and text.isalpha() else b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+            if text.isascii() and text.isalpha():  # remembered as a word, not once more as a piece
+                out = self.pieces.get(text) or self.pieces.encoded(text)
+            else:
+                out = b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
         else:
             out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self) < REMEMBERED_WORDS and len(word) < 64:
