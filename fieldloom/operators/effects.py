@@ -120,10 +120,13 @@ def covariate_summary(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def prediction_surface(coefficients: DataFrame, reference: DataFrame, steps: int = 50) -> DataFrame:
-    """mu = exp(b0 + b1 * total + b2 * prop) along ``steps`` even proportions from 0 to 1.
+    """mu = exp(b0 + b1 * total + b2 * prop) along ``steps`` (at least 2) even proportions over the line's own range.
 
-    ``coefficients``: cell_line, gene, beta0, beta_total, beta_prop; ``reference``: cell_line, total_ref_sc.
+    ``coefficients``: cell_line, gene, beta0, beta_total, beta_prop; ``reference``: cell_line, total_ref_sc, prop_least,
+    prop_most.
     """
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: i / F.lit(float(steps - 1))))
-    at = coefficients.join(reference, "cell_line").withColumn("prop_abn", grid)
-    return at.withColumn("mu", F.exp(F.col("beta0") + F.col("beta_total") * F.col("total_ref_sc") + F.col("beta_prop") * F.col("prop_abn")))
+    place = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_k")
+    at = coefficients.join(reference, "cell_line").select("*", place)
+    at = at.withColumn("prop_abn", F.col("prop_least") + F.col("_k") * (F.col("prop_most") - F.col("prop_least")) / F.lit(float(steps - 1)))
+    at = at.withColumn("mu", F.exp(F.col("beta0") + F.col("beta_total") * F.col("total_ref_sc") + F.col("beta_prop") * F.col("prop_abn")))
+    return at.drop("_k", "prop_least", "prop_most")

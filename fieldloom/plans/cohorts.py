@@ -286,12 +286,14 @@ def stabilised_prop(spark: SparkSession, d: str) -> DataFrame:
     return _tubes(spark, d).select("cell", E.stabilised_share(F.col("n_abnormal_nuclei"), F.col("n_normal_nuclei") + F.col("n_abnormal_nuclei")).alias("prop"))
 
 
-@query("""WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_line ORDER BY p DESC, gene) AS rk FROM v_p) WHERE rk <= 10), r AS (SELECT cell_line, quantile_cont(p, 0.5) AS total_ref_sc FROM v_p GROUP BY cell_line)
-SELECT t.cell_line, t.gene, round(i / 49.0, 9) AS prop_abn, round(exp(p + p / 2 * total_ref_sc - p * (i / 49.0)), 6) AS mu FROM t JOIN r ON t.cell_line = r.cell_line CROSS JOIN (SELECT unnest(range(50)) AS i)""")
+@query("""WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_line ORDER BY p DESC, gene) AS rk FROM v_p) WHERE rk <= 10), r AS (SELECT cell_line, quantile_cont(p, 0.5) AS total_ref_sc, min(p) AS least, max(p) AS most FROM v_p GROUP BY cell_line),
+g AS (SELECT t.cell_line, t.gene, p, total_ref_sc, least + i * (most - least) / 49.0 AS prop FROM t JOIN r ON t.cell_line = r.cell_line CROSS JOIN (SELECT unnest(range(50)) AS i))
+SELECT cell_line, gene, round(prop, 9) AS prop_abn, round(exp(p + p / 2 * total_ref_sc - p * prop), 6) AS mu FROM g""")
 def pred_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions over each line's own range, from stand-in coefficients; :func:`nb_trend_grid` has fitted ones."""
     top = E.top_effects(V.pvalues(spark, d), 10, "cell_line", "p")
     coefficients = top.select("cell_line", "gene", F.col("p").alias("beta0"), (F.col("p") / 2).alias("beta_total"), (-F.col("p")).alias("beta_prop"))
-    reference = V.pvalues(spark, d).groupBy("cell_line").agg(F.percentile("p", F.lit(0.5)).alias("total_ref_sc"))
+    reference = V.pvalues(spark, d).groupBy("cell_line").agg(F.percentile("p", F.lit(0.5)).alias("total_ref_sc"), F.min("p").alias("prop_least"), F.max("p").alias("prop_most"))
     return rounded(E.prediction_surface(coefficients, reference), "prop_abn", places=9).select("cell_line", "gene", "prop_abn", F.round("mu", 6).alias("mu"))
 
 
@@ -309,11 +311,22 @@ def nb_de_tubes(spark: SparkSession, d: str) -> DataFrame:
     return D.two_groups(grouped, V.counts(spark, d), min_cells=MIN_SEEN, grid_length=21)[0]
 
 
+def _nuclei(spark: SparkSession, d: str) -> DataFrame:
+    tubes = V.cells(spark, d).withColumns({"n_normal_nuclei": F.when(F.col("group") == 0, 1 + F.col("cell") % 5).otherwise(0), "n_abnormal_nuclei": F.when(F.col("group") == 1, 1 + F.col("cell") % 4).otherwise(0)})
+    return C.morphology_class(tubes)
+
+
 @query()
 def nb_trend(spark: SparkSession, d: str) -> DataFrame:
     """Regression on the number of nuclei and their abnormal share, with slides."""
-    tubes = V.cells(spark, d).withColumns({"n_normal_nuclei": F.when(F.col("group") == 0, 1 + F.col("cell") % 5).otherwise(0), "n_abnormal_nuclei": F.when(F.col("group") == 1, 1 + F.col("cell") % 4).otherwise(0)})
-    return D.trend(C.morphology_class(tubes), V.counts(spark, d), min_tubes=MIN_SEEN)
+    return D.trend(_nuclei(spark, d), V.counts(spark, d), min_tubes=MIN_SEEN)[0]
+
+
+@query()
+def nb_trend_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Means that the fitted trend predicts for each line's 50 genes with the largest effect of the abnormal share."""
+    result, _, tested = D.trend(_nuclei(spark, d), V.counts(spark, d), min_tubes=MIN_SEEN)
+    return D.trend_predictions(result, tested)
 
 
 # names and files

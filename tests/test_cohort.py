@@ -118,6 +118,43 @@ def test_null_p_values_spread(spark):
     assert len(p) == 30 and 0.25 < p.mean() < 0.75 and (p < 0.01).mean() < 0.1
 
 
+def test_trend_with_guards_and_predictions(spark):
+    rng = np.random.default_rng(3)
+    n = 240
+    abnormal = np.arange(n) % 2
+    nuclei = 1 + rng.integers(0, 5, n)
+    share = (abnormal * nuclei + 0.5) / (nuclei + 1)
+    depth = rng.uniform(0.6, 1.6, n)
+    entries = []
+    for g in range(10):
+        mu = 10 * depth * np.exp(1.2 * share * (g < 2))
+        entries += [(int(c), f"g{g}", int(v)) for c, v in enumerate(rng.negative_binomial(6, 6 / (6 + mu))) if v]
+    tubes = [(c, "L", int(nuclei[c] * (1 - abnormal[c])), int(nuclei[c] * abnormal[c]), int(1 + abnormal[c]), 9.0) for c in range(n)]
+    tubes += [(1000, "mixed", 1, 1, -1, 9.0), (1001, "bare", 0, 0, 1, 9.0), (1002, "silent", 1, 0, 1, 9.0), (1003, "rare", 1, 0, 1, 9.0), (1004, "small", 1, 0, 1, 1.0), (1005, None, 1, 0, 1, 9.0)]
+    counts = spark.createDataFrame([*entries, (1003, "g0", 2), (1004, "g0", 2)], "cell long, gene string, n int")
+    table = spark.createDataFrame(tubes, "cell long, cell_line string, n_normal_nuclei int, n_abnormal_nuclei int, morphology_class int, area double")
+    result, skipped, tested = D.trend(table, counts, min_tubes=50, min_area=5.0, slide=None)
+    assert {tuple(r) for r in skipped.collect()} == {
+        ("mixed", "no tube of class 1 or 2"),
+        ("bare", "no tube with nuclei"),
+        ("silent", "no counts"),
+        ("rare", "no gene passes"),
+        ("small", "no tube is large enough"),
+    }
+    rows = {r["gene"]: r for r in result.collect()}
+    assert len(rows) == 10 and {r["cell_line"] for r in rows.values()} == {"L"}
+    base = np.mean([rows[f"g{g}"]["beta_prop_abn"] for g in range(2, 10)])
+    assert all(rows[f"g{g}"]["beta_prop_abn"] - base == pytest.approx(1.2, abs=0.4) and rows[f"g{g}"]["fdr_prop_abn"] < 0.05 for g in range(2))
+    grid = D.trend_predictions(result, tested, top=3, steps=5, reference="mean").orderBy("rank", "prop_abn").collect()
+    assert len(grid) == 15 and {r["gene"] for r in grid} >= {"g0", "g1"}
+    for r in grid:
+        own = rows[r["gene"]]
+        assert r["mu"] == pytest.approx(math.exp(own["beta_intercept"] + own["beta_prop_abn"] * r["prop_abn"]))
+    assert [r["prop_abn"] for r in grid[:5]] == pytest.approx(np.linspace(share.min(), share.max(), 5))
+    with pytest.raises(ValueError, match="median or mean"):
+        D.trend_predictions(result, tested, reference="mode")
+
+
 def test_slide_term(spark):
     cells = spark.createDataFrame([(1, "a", 1.0, "s1"), (2, "a", 1.0, " "), (3, "a", 2.0, None)], "cell long, cell_line string, size_factor double, slide string")
     assert B.design_table(cells, [], slide="slide")[1] == ["intercept", "slide_s1"]

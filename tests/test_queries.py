@@ -11,7 +11,7 @@ from fieldloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-SLOW = {"nb_de", "nb_de_tubes", "nb_trend"}
+SLOW = {"nb_de", "nb_de_tubes", "nb_trend", "nb_trend_grid"}
 
 
 @pytest.fixture(scope="module")
