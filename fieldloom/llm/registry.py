@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import ann, embeddings, htmltext, langid, lines, mixing, packing, passages, sharding, simhash
+from fieldloom.llm import alignment, ann, embeddings, htmltext, langid, lines, mixing, packing, passages, sharding, simhash, urlfilter, whitening
 from fieldloom.sessions import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,9 @@ def queries() -> dict[str, Query]:
         simhash.op8_simhash,
         sharding.op9_sharding,
         htmltext.op10_html,
+        alignment.op11_alignment,
+        urlfilter.op12_urls,
+        whitening.op13_whitening,
     )
     return {f.__name__: _shipped(f) for f in found}
 
