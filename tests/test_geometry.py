@@ -105,3 +105,54 @@ def test_areas_of_stacks():
     rng = np.random.default_rng(4)
     a, b = rng.random((40, 6, 2)), rng.random((40, 4, 2))
     assert np.allclose(K.intersection_areas(a, b), [K.intersection_area(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def crossed(*corners):
+    return np.array(corners, dtype=np.float64)
+
+
+def test_largest_part_of_crossed_outlines():
+    """Bow-tie, pinched, touching and doubled outlines against parts found by hand."""
+    same = crossed((0, 0), (10, 0), (10, 10), (5, 5), (0, 10))
+    assert K.largest_part(same) is same or (K.largest_part(same) == same).all()
+    for outline, part in (
+        (crossed((0, 0), (8, 8), (8, 0), (0, 2)), [(8, 0), (8, 8), (1.6, 1.6)]),  # lobes of unequal size
+        (crossed((0, 0), (2, 2), (8, 2), (8, -2), (2, -2), (0, 0), (-1, 1), (-1, -1)), [(0, 0), (2, -2), (8, -2), (8, 2), (2, 2)]),  # meets itself in a vertex
+        (crossed((0, 0), (4, 0), (4, 4), (1, 0), (0, 4)), [(4, 0), (4, 4), (1, 0)]),  # a vertex on an edge
+        (crossed((0, 0), (4, 0), (8, 0), (4, 0), (4, 4), (0, 4)), [(0, 0), (4, 0), (4, 4), (0, 4)]),  # a spike there and back
+        (crossed((0, 0), (0, 0), (4, 0), (4, 4), (4, 4), (0, 4)), [(0, 0), (4, 0), (4, 4), (0, 4)]),
+    ):
+        found = K.largest_part(outline)
+        assert found[np.lexsort(found.T)] == pytest.approx(np.array(part)[np.lexsort(np.array(part, dtype=float).T)])
+    assert len(K.largest_part(crossed((0, 0), (4, 0), (8, 0)))) in (0, 3)  # no area
+    assert len(K.largest_part(crossed((0, 0), (4, 0), (0, 0), (4, 0)))) == 0
+
+
+def test_parts_of_random_outlines():
+    """However an outline crosses itself, its parts have the area that scan lines find inside, even-odd."""
+    rng = np.random.default_rng(0)
+    for n in (5, 12, 40):
+        for _ in range(5):
+            outline = rng.uniform(0, 10, (n, 2))
+            lengths = [sum(hit[1::2] - hit[::2]) for y in np.linspace(0, 10, 4001)[1:-1] + 1e-7 if len(hit := K.crossings(outline, y))]
+            assert sum(a for a, _ in K.enclosed_areas(outline)) == pytest.approx(sum(lengths) * 10 / 4000, rel=0.01, abs=0.02)
+
+
+def test_long_outline_stays():
+    rng = np.random.default_rng(1)
+    angle = np.sort(rng.uniform(0, 2 * np.pi, 5000))
+    outline = np.c_[np.cos(angle), np.sin(angle)] * rng.uniform(50, 51, (5000, 1))
+    assert K.largest_part(outline) is not None and len(K.largest_part(outline)) == 5000
+
+
+def test_widths_of_crossed_outlines():
+    """Widths are those of the larger lobe alone."""
+    lobe = crossed((8, 8), (1.6, 1.6), (8, 0))
+    whole = crossed((0, 0), (8, 8), (8, 0), (0, 2))
+    part = K.largest_part(whole)
+    assert K.width_samples(whole) == pytest.approx(K.width_samples(part))
+    assert K.width_samples(part) == pytest.approx(K.width_samples(np.roll(lobe, -[tuple(np.round(p, 9)) for p in lobe].index(tuple(np.round(part[0], 9))), axis=0)))
+    assert K.width_samples(crossed((0, 0), (4, 0), (0, 0), (4, 0))) == [0.0]
+    box = crossed((0, 0), (8, 0), (8, 2), (0, 2))
+    pinched = crossed((0, 0), (8, 0), (8, 2), (0, 2), (0, 0), (-1, -1), (-1, 0))  # a small lobe hangs at a corner
+    assert K.width_samples(pinched) == pytest.approx(K.width_samples(box))
