@@ -308,7 +308,7 @@ def nb_de_tubes(spark: SparkSession, d: str) -> DataFrame:
     """Two groups of tubes, morphology class 2 against 1; every other cell stands for a tube of one class."""
     tubes = V.cells(spark, d).withColumn("morphology_class", F.when(F.col("cell") % 3 == 0, -1).otherwise(F.col("group") + 1))
     grouped = tubes.where(F.col("morphology_class").isin(1, 2)).withColumn("group", (F.col("morphology_class") == 2).cast("int"))
-    return D.two_groups(grouped, V.counts(spark, d), min_cells=MIN_SEEN, grid_length=21)[0]
+    return D.two_groups(grouped, V.counts(spark, d), min_cells=MIN_SEEN, dispersions=D.TUBES)[0]
 
 
 def _nuclei(spark: SparkSession, d: str) -> DataFrame:
@@ -338,11 +338,22 @@ def natural_sort(spark: SparkSession, d: str) -> DataFrame:
     return placed(names, I.natural_key(F.col("p_name")))
 
 
-@query("""SELECT substr(md5(c_custkey::VARCHAR), 1, 20) || '.tif' AS name, CASE WHEN s_suppkey % 2 = 1 THEN substr(md5(s_suppkey::VARCHAR), 1, 20) || '.txt' WHEN s_suppkey % 2 = 0 THEN substr(md5(s_suppkey::VARCHAR), 1, 10) || 'z' || substr(md5(s_suppkey::VARCHAR), 12, 9) || '.txt' END AS match,
-CASE s_suppkey % 2 WHEN 1 THEN 1.0 WHEN 0 THEN 0.95 END::DOUBLE AS score, CASE s_suppkey % 2 WHEN 1 THEN 'exact' WHEN 0 THEN 'fuzzy' ELSE 'none' END AS mode FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey""")
+#: A name without a match begins with so many characters of a candidate; all its others are in no candidate, so that twice
+#: these over both lengths is the best ratio that it can have.
+_BEGINS = "4 + c_custkey % 7"
+
+
+@query(f"""WITH c AS (SELECT *, {_BEGINS} AS k, c_custkey > (SELECT max(s_suppkey) FROM supplier) AS apart, 1 + c_custkey % (SELECT max(s_suppkey) FROM supplier) AS near FROM customer)
+SELECT CASE WHEN apart THEN substr(md5(near::VARCHAR), 1, k) || substr(translate(md5(c_custkey::VARCHAR), '0123456789abcdef', 'ghijklmnopqrstuv'), 1, 20 - k) ELSE substr(md5(c_custkey::VARCHAR), 1, 20) END || '.tif' AS name, CASE WHEN s_suppkey % 2 = 1 THEN substr(md5(s_suppkey::VARCHAR), 1, 20) || '.txt' WHEN s_suppkey % 2 = 0 THEN substr(md5(s_suppkey::VARCHAR), 1, 10) || 'z' || substr(md5(s_suppkey::VARCHAR), 12, 9) || '.txt' END AS match,
+CASE WHEN apart THEN 2.0::DOUBLE * k / 40 WHEN s_suppkey % 2 = 1 THEN 1.0 ELSE 0.95 END::DOUBLE AS score, CASE WHEN apart THEN 'none' WHEN s_suppkey % 2 = 1 THEN 'exact' ELSE 'fuzzy' END AS mode FROM c LEFT JOIN supplier ON c_custkey = s_suppkey""")
 def name_match(spark: SparkSession, d: str) -> DataFrame:
-    """Digests as names, every other one with a letter changed: exact stems, close ones, none."""
-    left = V.table(spark, d, "customer").select(F.concat(F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 20), F.lit(".tif")).alias("name"))
+    """Digests as names, every other one with a letter changed: exact stems, close ones, and the best ratio of the rest."""
+    most = V.table(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0]
+    digest = F.md5(F.col("c_custkey").cast("string"))
+    k = F.expr(_BEGINS).cast("int")
+    other = F.translate(digest, "0123456789abcdef", "ghijklmnopqrstuv")
+    apart = F.concat(F.substr(F.md5((1 + F.col("c_custkey") % most).cast("string")), F.lit(1), k), F.substr(other, F.lit(1), 20 - k))
+    left = V.table(spark, d, "customer").select(F.concat(F.when(F.col("c_custkey") > most, apart).otherwise(F.substring(digest, 1, 20)), F.lit(".tif")).alias("name"))
     stem = F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 20)
     changed = F.concat(F.substring(stem, 1, 10), F.lit("z"), F.substring(stem, 12, 9))
     right = V.table(spark, d, "supplier").select(F.concat(F.when(F.col("s_suppkey") % 2 == 1, stem).otherwise(changed), F.lit(".txt")).alias("name"))

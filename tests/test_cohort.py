@@ -201,5 +201,26 @@ def test_names_against_all_pairs(spark):
         for x in left:
             scores = {y: difflib.SequenceMatcher(None, y, x).ratio() for y in right}
             best = max(scores.values())
-            want = (x, 1.0, "exact") if x in right else (min(y for y in right if scores[y] == best), best, "fuzzy") if best > threshold else (None, None, "none")
+            want = (x, 1.0, "exact") if x in right else (min(y for y in right if scores[y] == best), best, "fuzzy") if best > threshold else (None, best, "none")
             assert got[x] == want
+
+
+def test_best_ratios_against_all_pairs(spark):
+    """300 x 300 names: the best ratio of each, 0 where nothing is alike, without comparing all pairs."""
+    import difflib
+    import random
+
+    from fieldloom.operators import matching as N
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    parts = [word() for _ in range(60)]
+    name = lambda: "_".join(rng.choice(parts) for _ in range(3)) + str(rng.randint(0, 99))
+    left = list(dict.fromkeys([*(name() for _ in range(296)), "##", "!", "", "é"]))
+    right = list(dict.fromkeys(name() for _ in range(300)))
+    a = spark.createDataFrame([(f"{x}.tif", x) for x in left], "name string, stem string")
+    b = spark.createDataFrame([(x,) for x in right], "_stem string")
+    got = {r["name"][:-4]: r["best"] for r in N.best_ratios(a, b).collect()}
+    assert len(got) == len(left)
+    for x in left:
+        assert got[x] == max((difflib.SequenceMatcher(None, y, x).ratio() for y in right), default=0.0), x
