@@ -105,21 +105,30 @@ def principal_angle(poly: Column) -> Column:
     return F.atan2(2 * s["xy"], s["xx"] - s["yy"]) / 2
 
 
+def back_edges(poly: Column) -> Column:
+    """Each point (j) with the next one (i): array<struct<ix, iy, jx, jy>>, as the crossing test takes them."""
+    return F.zip_with(shifted(poly), poly, lambda i, j: F.struct(i["x"].alias("ix"), i["y"].alias("iy"), j["x"].alias("jx"), j["y"].alias("jy")))
+
+
+def crossed(e: Column, x: Column, y: Column) -> Column:
+    """Whether the ray from the point to the right crosses an edge of :func:`back_edges`; half-open along edges."""
+    return ((e["iy"] > y) != (e["jy"] > y)) & (x < (e["jx"] - e["ix"]) * (y - e["iy"]) / (e["jy"] - e["iy"] + LEVEL) + e["ix"])
+
+
 def contains(poly: Column, x: Column, y: Column) -> Column:
     """Even-odd test by edges crossed to the right of the point; half-open along edges."""
-    back = F.zip_with(shifted(poly), poly, lambda i, j: F.struct(i["x"].alias("ix"), i["y"].alias("iy"), j["x"].alias("jx"), j["y"].alias("jy")))
-    crossed = F.filter(back, lambda e: ((e["iy"] > y) != (e["jy"] > y)) & (x < (e["jx"] - e["ix"]) * (y - e["iy"]) / (e["jy"] - e["iy"] + LEVEL) + e["ix"]))
-    return F.size(crossed) % 2 == 1
+    return F.size(F.filter(back_edges(poly), lambda e: crossed(e, x, y))) % 2 == 1
 
 
-def touches(poly: Column, x: Column, y: Column) -> Column:
-    """Whether the point lies on the outline itself."""
+def on_edge_of(e: Column, x: Column, y: Column) -> Column:
+    """Whether the point lies on an edge of :func:`back_edges` itself."""
+    cross = (e["ix"] - e["jx"]) * (y - e["jy"]) - (e["iy"] - e["jy"]) * (x - e["jx"])
+    return (cross == 0) & (x >= F.least(e["ix"], e["jx"])) & (x <= F.greatest(e["ix"], e["jx"])) & (y >= F.least(e["iy"], e["jy"])) & (y <= F.greatest(e["iy"], e["jy"]))
 
-    def on(e: Column) -> Column:
-        cross = (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
-        return (cross == 0) & (x >= F.least(e["ax"], e["bx"])) & (x <= F.greatest(e["ax"], e["bx"])) & (y >= F.least(e["ay"], e["by"])) & (y <= F.greatest(e["ay"], e["by"]))
 
-    return F.exists(edges(poly), on)
+def touches(poly: Column, x: Column, y: Column) -> Column:
+    """Whether the point lies on the outline itself."""
+    return F.exists(back_edges(poly), lambda e: on_edge_of(e, x, y))
 
 
 def rounded(poly: Column, size: int | None = None) -> Column:

@@ -1,7 +1,8 @@
 """Points to objects, objects to objects: spatial joins by equal bins, then exact tests.
 
-A point lies in one bin, an outline in all the bins its box meets. The equi-join on field, patch and bin is what
-shuffles; the box and the crossing test are residual conditions of the same join.
+A point lies in one bin, an outline in the bins it meets or covers. The equi-join on field, patch and bin is what
+shuffles; the box and the crossing test are residual conditions of the same join. No bin gets a whole outline: for points
+it gets the edges near it and what all the others come to, for outlines their boxes, on a coarser grid for large ones.
 """
 
 from __future__ import annotations
@@ -25,11 +26,40 @@ def bins(low: Column, high: Column, size: int) -> Column:
     return F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int"))
 
 
-def binned_objects(objects: DataFrame, size: int = BIN, polygon: str = "polygon") -> DataFrame:
-    """Objects once for each bin (_bx, _by) that their box (_box) meets; empty outlines meet none."""
-    boxed = objects.where(F.size(polygon) > 0).withColumn("_box", G.bounding_box(F.col(polygon)))
-    across = boxed.withColumn("_bx", F.explode(bins(F.col("_box.x0"), F.col("_box.x1"), size)))
-    return across.withColumn("_by", F.explode(bins(F.col("_box.y0"), F.col("_box.y1"), size)))
+def edge_tiles(objects: DataFrame, size: int = BIN, polygon: str = "polygon") -> DataFrame:
+    """Objects, without the outline, once for each bin (_bx, _by) that may hold a point of theirs.
+
+    The crossing test counts the edges that a point's ray to the right meets. For points of one bin, edges above, below
+    and left of it never count. Of those wholly to the right only the heights between which they run matter: the parity
+    of all that do is that of the ends above the point, and an end that two such edges share cancels out. So a bin has
+    ``_near``, the edges within its reach, ``_far``, the heights within its band of the ends that don't cancel, and
+    ``_odd``, the parity of the ends above its band. A bin with none of the three lies outside and has no row.
+    """
+    rows = objects.where(F.size(polygon) > 0).withColumns({"_box": G.bounding_box(F.col(polygon)), "_edges": G.back_edges(F.col(polygon))}).drop(polygon)
+    rows = rows.withColumn("_by", F.explode(bins(F.col("_box.y0"), F.col("_box.y1"), size)))
+    low, high = F.col("_by") * F.lit(float(size)), (F.col("_by") + 1) * F.lit(float(size))
+    band = F.filter("_edges", lambda e: (F.greatest(e["iy"], e["jy"]) >= low) & (F.least(e["iy"], e["jy"]) <= high))
+    rows = rows.withColumn("_edges", band).withColumn("_bx", F.explode(bins(F.col("_box.x0"), F.col("_box.x1"), size)))
+    left, right = F.col("_bx") * F.lit(float(size)), (F.col("_bx") + 1) * F.lit(float(size))
+
+    def beyond(e: Column) -> Column:
+        """To the right of all the bin's points, with room for rounding; level edges are left to the test itself."""
+        return (F.least(e["ix"], e["jx"]) > right + 1e-3 + 1e-5 * F.abs(e["ix"] - e["jx"])) & (F.abs(e["iy"] - e["jy"]) >= 1e-6)
+
+    def before(e: Column) -> Column:
+        return (F.greatest(e["ix"], e["jx"]) < left - 1e-3 - 1e-5 * F.abs(e["ix"] - e["jx"])) & (F.abs(e["iy"] - e["jy"]) >= 1e-6)
+
+    edges = F.col("_edges")  # an end inside the band has both its edges in it, one after the other
+    ends = F.zip_with(edges, G.shifted(edges), lambda e, after: F.when((e["iy"] > low) & (e["iy"] < high) & (beyond(e) != beyond(after)), e["iy"]))
+    above = F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(beyond(e), (e["iy"] >= high).cast("int") + (e["jy"] >= high).cast("int")).otherwise(0))
+    tiled = rows.withColumns({"_near": F.filter(edges, lambda e: ~beyond(e) & ~before(e)), "_far": F.filter(ends, lambda v: v.isNotNull()), "_odd": above % 2 == 1}).drop("_edges")
+    return tiled.where((F.size("_near") > 0) | (F.size("_far") > 0) | F.col("_odd"))
+
+
+def in_tile(x: Column, y: Column) -> Column:
+    """Whether a point of the bin lies in the object of :func:`edge_tiles`."""
+    met = F.size(F.filter("_near", lambda e: G.crossed(e, x, y))) + F.size(F.filter("_far", lambda v: v > y)) + F.col("_odd").cast("int")
+    return met % 2 == 1
 
 
 def candidates(points: DataFrame, objects: DataFrame, keys: Sequence[str] = PATCH, *, pixel: bool = False, size: int = BIN, patch_size: int = G.PATCH) -> DataFrame:
@@ -45,11 +75,11 @@ def candidates(points: DataFrame, objects: DataFrame, keys: Sequence[str] = PATC
         placed = placed.where((F.col("_px") >= 0) & (F.col("_py") >= 0) & (F.col("_px") < patch_size) & (F.col("_py") < patch_size))
     placed = placed.withColumns({"_bx": F.floor(F.col("_px") / size).cast("int"), "_by": F.floor(F.col("_py") / size).cast("int")})
     slim = objects.select(*keys, "object_idx", (G.rounded(G.moved(F.col("polygon"), -dx, -dy), patch_size) if pixel else F.col("polygon")).alias("_poly"))
-    tiles = binned_objects(slim, size, "_poly")
+    tiles = edge_tiles(slim, size, "_poly")
     near = placed.join(tiles, [*keys, "_bx", "_by"]).where((F.col("_px") >= F.col("_box.x0")) & (F.col("_px") <= F.col("_box.x1")) & (F.col("_py") >= F.col("_box.y0")) & (F.col("_py") <= F.col("_box.y1")))
-    inside = G.contains(F.col("_poly"), F.col("_px"), F.col("_py"))
+    inside = in_tile(F.col("_px"), F.col("_py"))
     if pixel:
-        inside = inside | G.touches(F.col("_poly"), F.col("_px"), F.col("_py"))
+        inside = inside | F.exists("_near", lambda e: G.on_edge_of(e, F.col("_px"), F.col("_py")))
     return near.where(inside).select(*points.columns, "object_idx", "_bx", "_by")
 
 
@@ -100,31 +130,56 @@ def gene_index(panel: DataFrame, points: DataFrame, objects: DataFrame, keys: Se
 
 
 def overlapping_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str] = FIELD, size: int = 2 * BIN) -> DataFrame:
-    """(keys, and of both sides idx, area, poly and is_box; box_area) of objects whose boxes overlap, each pair once.
+    """(keys, and of both sides idx, area, is_box and _box; box_area) of objects whose boxes overlap, each pair once.
 
     ``box_area`` is the boxes' intersection: no less than the outlines', and cheap enough to decide most pairs by. An
-    outline as large as its box ``is_box``. A pair shares several bins; it counts in the one that holds the lower left
-    corner of the boxes' intersection. Areas are taken once an object, before the join.
+    outline as large as its box ``is_box``. Small boxes meet on a grid of ``size``, large ones meet each other and small
+    ones on one eight times as coarse, so that no box is copied to thousands of bins. A pair shares several bins; it
+    counts in the one that holds the lower left corner of the boxes' intersection.
     """
-
-    def side(objects: DataFrame, name: str) -> DataFrame:
-        area = G.area(F.col("polygon"))
-        own = objects.select(*keys, F.col("object_idx").alias(f"{name}_idx"), F.col("polygon").alias(f"{name}_poly"), area.alias(f"{name}_area"), (F.abs(area - G.box_area(F.col("polygon"))) <= 1e-12 * area).alias(f"{name}_is_box"))
-        return binned_objects(own, size, f"{name}_poly").withColumnRenamed("_box", f"_{name}box")
-
-    met = side(a, "a").join(side(b, "b"), [*keys, "_bx", "_by"])
+    coarse = 8 * size
+
+    def side(objects: DataFrame, name: str, other: str) -> DataFrame:
+        poly = F.col("polygon")
+        area, box = G.area(poly), F.col(f"_{name}box")
+        own = objects.where(F.size("polygon") > 0).select(*keys, F.col("object_idx").alias(f"{name}_idx"), area.alias(f"{name}_area"), (F.abs(area - G.box_area(poly)) <= 1e-12 * area).alias(f"{name}_is_box"), G.bounding_box(poly).alias(f"_{name}box"))
+        large = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"]) > 4 * size
+        # 0: small with small; the side's own name: large of this side with all of the other
+        meets = F.when(large, F.array(F.lit(name), *([F.lit(other)] if name == "b" else []))).otherwise(F.array(F.lit("0"), F.lit(other)))
+        own = own.withColumn("_meet", F.explode(meets))
+        grid = F.when(F.col("_meet") == "0", size).otherwise(coarse)
+        return own.withColumn("_bx", F.explode(F.sequence(F.floor(box["x0"] / grid), F.floor(box["x1"] / grid)))).withColumn("_by", F.explode(F.sequence(F.floor(box["y0"] / grid), F.floor(box["y1"] / grid))))
+
+    met = side(a, "a", "b").join(side(b, "b", "a"), [*keys, "_meet", "_bx", "_by"])
     x0, y0 = F.greatest("_abox.x0", "_bbox.x0"), F.greatest("_abox.y0", "_bbox.y0")
     across, down = F.least("_abox.x1", "_bbox.x1") - x0, F.least("_abox.y1", "_bbox.y1") - y0
     boxes = (across > 0) & (down > 0)
-    here = (F.floor(x0 / size) == F.col("_bx")) & (F.floor(y0 / size) == F.col("_by"))
-    both = [f"{name}_{c}" for name in "ab" for c in ("idx", "area", "poly", "is_box")]
+    grid = F.when(F.col("_meet") == "0", size).otherwise(coarse)
+    here = (F.floor(x0 / grid) == F.col("_bx")) & (F.floor(y0 / grid) == F.col("_by"))
+    both = [c for name in "ab" for c in (f"{name}_idx", f"{name}_area", f"{name}_is_box", f"_{name}box")]
     return met.where(boxes & here).select(*keys, *both, (across * down).alias("box_area"))
 
 
-def shared_area() -> Column:
-    """Area shared by the outlines of :func:`overlapping_pairs`: that of their boxes, if both are boxes, else the kernel's."""
+def with_shared_area(pairs: DataFrame, a: DataFrame, b: DataFrame, keys: Sequence[str] = FIELD) -> DataFrame:
+    """``pairs`` of :func:`overlapping_pairs` with ``shared``, the area inside both outlines.
+
+    Boxes share that of their boxes' intersection. Only outlines that aren't boxes are fetched, once for each pair that
+    is left, and given to the kernel.
+    """
+
+    def fetched(rows: DataFrame, objects: DataFrame, name: str) -> DataFrame:
+        area = G.area(F.col("polygon"))
+        curved = objects.where(F.abs(area - G.box_area(F.col("polygon"))) > 1e-12 * area)
+        return rows.join(curved.select(*keys, F.col("object_idx").alias(f"{name}_idx"), F.col("polygon").alias(f"_{name}poly")), [*keys, f"{name}_idx"], "left")
+
+    def outline(name: str) -> Column:
+        box = F.col(f"_{name}box")
+        return F.coalesce(F.col(f"_{name}poly"), G.polygon((box["x0"], box["y0"]), (box["x1"], box["y0"]), (box["x1"], box["y1"]), (box["x0"], box["y1"])))
+
+    whole = fetched(fetched(pairs, a, "a"), b, "b")
     boxes = F.col("a_is_box") & F.col("b_is_box")
-    return F.when(boxes, F.col("box_area")).otherwise(overlap_area(F.when(~boxes, F.col("a_poly")), F.when(~boxes, F.col("b_poly"))))
+    area = F.when(boxes, F.col("box_area")).otherwise(overlap_area(F.when(~boxes, outline("a")), F.when(~boxes, outline("b"))))
+    return whole.withColumn("shared", area).drop("_apoly", "_bpoly")
 
 
 def link_objects(nuclei: DataFrame, myotubes: DataFrame, threshold: float = 0.8, keys: Sequence[str] = FIELD) -> DataFrame:
@@ -134,7 +189,7 @@ def link_objects(nuclei: DataFrame, myotubes: DataFrame, threshold: float = 0.8,
     link. Outlines are filled even-odd, so that crossed ones have a defined area.
     """
     pairs = overlapping_pairs(nuclei, myotubes, keys).where((F.col("a_area") > 0) & (F.col("box_area") > (threshold - 1e-9) * F.col("a_area")))
-    shares = pairs.withColumn("overlap_frac", shared_area() / F.col("a_area")).where(F.col("overlap_frac") > threshold)
+    shares = with_shared_area(pairs, nuclei, myotubes, keys).withColumn("overlap_frac", F.col("shared") / F.col("a_area")).where(F.col("overlap_frac") > threshold)
     best = shares.groupBy(*keys, F.col("a_idx").alias("nuc_idx")).agg(F.max(F.struct("overlap_frac", (-F.col("b_idx")).alias("m"))).alias("_best"))
     return best.select(*keys, "nuc_idx", (-F.col("_best.m")).alias("myo_idx"), F.col("_best.overlap_frac").alias("overlap_frac"))
 

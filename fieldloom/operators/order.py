@@ -1,7 +1,9 @@
-"""Places in one order over a whole table, which no single task has to sort."""
+"""Places in one order over a whole table or within each key, which no single task has to sort."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,10 +17,26 @@ def placed(df: DataFrame, *order: Column, name: str = "place", start: int = 1) -
     Rows are dealt to ranges of the order, numbered within their range, and offset by the ranges before it. The ranges
     are written first: they depend on a sample that another run would draw anew.
     """
-    keys = [f"_order{k}" for k in range(len(order))]
-    ranged = df.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).withColumn("_range", F.spark_partition_id())
-    ranged, _ = cut(ranged, "ranges")
-    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    offsets = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
-    return ranged.withColumn("_inner", inner).join(F.broadcast(offsets), "_range").select(*df.columns, (F.col("_before") + F.col("_inner") - 1 + start).cast("long").alias(name))
+    return placed_within(df, [], *order, name=name, start=start)
+
+
+def placed_within(df: DataFrame, keys: Sequence[str], *order: Column, name: str = "place", start: int = 1, before: Column | None = None) -> DataFrame:
+    """``df`` with each row's place among the rows of its keys, gapless from ``start``, by ``order``.
+
+    A key may hold nearly all rows: rows are dealt to ranges of keys and order, so a large key takes several ranges and a
+    range several small keys. Nulls are a key like any other. With ``before`` (whole numbers) the place is ``start`` and
+    the sum of it over the rows ahead, a running sum. Rows equal in all of ``order`` get places in any order; many of
+    them lie in one range unless the last of ``order`` tells them apart.
+    """
+    at = [f"_key{k}" for k in range(len(keys))]
+    by = [f"_order{k}" for k in range(len(order))]
+    step = {"_step": F.lit(1) if before is None else before}
+    own = df.withColumns({a: F.col(k) for a, k in zip(at, keys, strict=True)} | dict(zip(by, order, strict=True)) | step)
+    ranged, _ = cut(own.repartitionByRange(*at, *by).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(*at, "_range").agg(F.sum("_step").alias("_in"))  # a row a range and key
+    ahead = F.sum("_in").over(Window.partitionBy(*at).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*(F.col(a).alias(f"{a}_") for a in at), F.col("_range").alias("_range_"), F.coalesce(ahead, F.lit(0)).alias("_before"))
+    inner = F.sum("_step").over(Window.partitionBy("_range", *at).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    joined = ranged.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(offsets, [F.col("_range") == F.col("_range_"), *(F.col(a).eqNullSafe(F.col(f"{a}_")) for a in at)])
+    kept = [c for c in df.columns if c != name]
+    return joined.select(*kept, (F.col("_before") + F.col("_inner") + start).cast("long").alias(name))

@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from fieldloom.functions import geometry as G
 from fieldloom.functions.kernels import mean_width, width_segments
-from fieldloom.operators.assign import overlapping_pairs, shared_area
+from fieldloom.operators.assign import overlapping_pairs, with_shared_area
+from fieldloom.sessions import cut
 
 
 def morphology(objects: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def contained_pairs(objects: DataFrame, threshold: float = 0.9, file: str = "ima
     """(file, large_idx, small_idx): strictly smaller outlines of which at least the threshold lies in a larger one."""
     met = overlapping_pairs(objects, objects, [file])
     likely = met.where((F.col("a_area") > 0) & (F.col("a_area") < F.col("b_area")) & (F.col("box_area") >= (threshold - 1e-9) * F.col("a_area")))
-    inner = likely.where(shared_area() / F.col("a_area") >= threshold)
+    inner = with_shared_area(likely, objects, objects, [file]).where(F.col("shared") / F.col("a_area") >= threshold)
     return inner.select(file, F.col("b_idx").alias("large_idx"), F.col("a_idx").alias("small_idx"))
 
 
@@ -112,12 +113,11 @@ def removals(objects: DataFrame, *, threshold: float = 0.9, many: int = 3, file:
     An outline with ``many`` or more others inside goes itself, unless it is its file's largest; otherwise the ones
     inside go.
     """
-    pairs = contained_pairs(objects, threshold, file)
-    inner = pairs.groupBy(file, "large_idx").agg(F.count("*").alias("n"), F.collect_set("small_idx").alias("inside"))
-    top = largest_per_file(objects, file).select(file, F.col("object_idx").alias("large_idx"), F.lit(True).alias("top"))
-    ruled = inner.join(top, [file, "large_idx"], "left")
-    gone = F.when((F.col("n") >= many) & F.col("top").isNull(), F.array("large_idx")).otherwise(F.col("inside"))
-    return ruled.select(file, F.explode(gone).alias("object_idx")).distinct()
+    pairs, _ = cut(contained_pairs(objects, threshold, file), "contained")
+    top = largest_per_file(objects, file).select(file, F.col("object_idx").alias("large_idx"))
+    crowded = pairs.groupBy(file, "large_idx").agg(F.count("*").alias("n")).where(F.col("n") >= many).select(file, "large_idx").join(top, [file, "large_idx"], "left_anti")
+    inner = pairs.join(crowded, [file, "large_idx"], "left_anti").select(file, F.col("small_idx").alias("object_idx"))
+    return inner.unionByName(crowded.select(file, F.col("large_idx").alias("object_idx"))).distinct()
 
 
 def deduplicated(objects: DataFrame, *, threshold: float = 0.9, many: int = 3, file: str = "image_name") -> DataFrame:

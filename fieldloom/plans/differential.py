@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators import effects as E
-from fieldloom.operators.negbin import design_table, fit_genes
+from fieldloom.operators.negbin import Dispersions, design_table, fit_genes
 from fieldloom.sessions import cut
 
 
-def two_groups(cells: DataFrame, counts: DataFrame, *, min_cells: int = 100, grid_length: int = 11) -> tuple[DataFrame, DataFrame]:
+#: Nuclei: one common curve for a line, on a short grid. Tubes and trends: the defaults, a curve that follows abundance.
+NUCLEI = Dispersions(length=11, low=-6.0, high=6.0, trended=False)
+TUBES = Dispersions()
+
+
+def two_groups(cells: DataFrame, counts: DataFrame, *, min_cells: int = 100, dispersions: Dispersions = NUCLEI) -> tuple[DataFrame, DataFrame]:
     """Group 1 against 0 by cell line: the result and the skipped lines with their reasons.
 
     ``cells`` (cell, cell_line, group), ``counts`` (cell, gene, n). Genes seen in enough cells of either group are kept,
@@ -22,7 +27,7 @@ def two_groups(cells: DataFrame, counts: DataFrame, *, min_cells: int = 100, gri
     skipped = E.skipped_lines(cells, genes, factors)
     tested = factors.join(skipped, "cell_line", "left_anti")
     design, names = design_table(tested, ["group"])
-    fitted = fit_genes(counts, design, genes.join(skipped, "cell_line", "left_anti"), names, tested=["group"], grid_length=grid_length)
+    fitted = fit_genes(counts, design, genes.join(skipped, "cell_line", "left_anti"), names, tested=["group"], dispersions=dispersions)
     fitted, _ = cut(fitted, "fits")  # read several times below
     means = E.group_means(counts, tested, genes)
     done = E.adjusted(fitted.join(means, ["cell_line", "gene"]).withColumnRenamed("p_group", "p"), ["cell_line"])
@@ -30,7 +35,7 @@ def two_groups(cells: DataFrame, counts: DataFrame, *, min_cells: int = 100, gri
     return flagged.select("cell_line", F.col("gene").alias("names"), F.col("beta_intercept").alias("beta0"), F.col("beta_group").alias("beta1"), "log2fc", "mean_1", "mean_0", F.col("p").alias("pvals"), F.col("p_adj").alias("pvals_adj"), "significant", "up", "down"), skipped
 
 
-def trend(tubes: DataFrame, counts: DataFrame, *, min_tubes: int = 50, min_area: float | None = None, slide: str | None = "slide", grid_length: int = 21) -> tuple[DataFrame, DataFrame, DataFrame]:
+def trend(tubes: DataFrame, counts: DataFrame, *, min_tubes: int = 50, min_area: float | None = None, slide: str | None = "slide", dispersions: Dispersions = TUBES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per cell line and gene: effects of the number of nuclei (per deviation) and of their abnormal share.
 
     ``tubes`` (cell, cell_line, n_normal_nuclei, n_abnormal_nuclei, morphology_class, slide; area if ``min_area`` is
@@ -54,7 +59,7 @@ def trend(tubes: DataFrame, counts: DataFrame, *, min_tubes: int = 50, min_area:
     skipped = seen.select("cell_line", reason.alias("reason")).where(F.col("reason").isNotNull())
     tested = factors.join(skipped, "cell_line", "left_anti")
     design, names = design_table(tested, ["total_nuc_sc", "prop_abn"], slide=slide)
-    fitted = fit_genes(counts, design, genes, names, tested=["total_nuc_sc", "prop_abn"], grid_length=grid_length)
+    fitted = fit_genes(counts, design, genes, names, tested=["total_nuc_sc", "prop_abn"], dispersions=dispersions)
     fitted, _ = cut(fitted, "fits")  # read several times below
     for c in ("total_nuc_sc", "prop_abn"):
         fitted = E.adjusted(fitted, ["cell_line"], f"p_{c}", f"fdr_{c}")

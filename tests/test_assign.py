@@ -92,3 +92,63 @@ def test_raster_clips_to_the_patch(spark):
     points = spark.createDataFrame([("s", 1, p, k + 10 * p, "g", x + 1024 * p, y) for p in (0, 1) for k, (x, y) in enumerate(places)], "slide string, fov int, patch_idx int, point_id long, target string, x double, y double")
     assert sorted(r["point_id"] for r in A.assign_points(points, objects, "last", pixel=True).collect()) == [0, 1, 10, 11]
     assert sorted(r["point_id"] for r in A.assign_points(points, objects, "greedy").collect()) == [0, 1, 2, 10, 11, 12]
+
+
+def test_tiles_as_the_whole_outline(spark):
+    """Crossed, concave and long outlines: the edges of a point's bin and the carried parity say what all edges say, for
+    points on the grid's lines, on vertices and anywhere."""
+    import math
+    import random
+
+    from fieldloom.functions import geometry as G
+
+    rng = random.Random(4)
+    long = [(round(400 + (300 + 40 * math.sin(40 * t)) * math.cos(t), 2), round(400 + (300 + 40 * math.sin(40 * t)) * math.sin(t), 2)) for t in (2 * math.pi * k / 2000 for k in range(2000))]
+    outlines = [long, [(0, 0), (640, 0), (640, 640), (0, 640)], [(64, 64), (128, 64), (128, 128), (64, 128)], [(5, 5)], [(5, 5), (50, 50)]]
+    outlines += [[(rng.randint(-100, 700), rng.randint(-100, 700)) for _ in range(n)] for n in (3, 5, 8, 20)]
+    schema = f"slide string, fov int, object_idx long, polygon {POLYGON.simpleString()}"
+    objects = spark.createDataFrame([("S", 0, k, [{"x": float(x), "y": float(y)} for x, y in p]) for k, p in enumerate(outlines)], schema)
+    at = [(rng.uniform(-150, 800), rng.uniform(-150, 800)) for _ in range(600)] + [(rng.randrange(-128, 800, 64), rng.randrange(-128, 800, 64)) for _ in range(100)]
+    at += [(rng.randint(-110, 710), rng.randint(-110, 710)) for _ in range(200)] + [p for o in outlines[1:] for p in o]
+    points = spark.createDataFrame([("S", 0, k, float(x), float(y)) for k, (x, y) in enumerate(at)], "slide string, fov int, point_id long, x double, y double")
+    want = {(r[0], r[1]) for r in points.join(objects, ["slide", "fov"]).where(G.contains(F.col("polygon"), F.col("x"), F.col("y"))).select("point_id", "object_idx").collect()}
+    for size in (64, 50):
+        got = {(r[0], r[1]) for r in A.candidates(points, objects, ("slide", "fov"), size=size).select("point_id", "object_idx").collect()}
+        assert got == want
+    assert len(want) > 500
+    tiles = A.edge_tiles(objects.where("object_idx = 0"), 64, "polygon")
+    most = tiles.agg(F.max(F.size("_near") + F.size("_far")).alias("n")).first()["n"]
+    assert most < 130  # of 2,000 edges
+
+
+def test_pixels_on_borders(spark):
+    """The pixel rule counts points on an outline's border, also on a bin's line."""
+    objects = spark.createDataFrame([("S", 0, 0, 1, box(10, 64, 128, 200))], f"slide string, fov int, patch_idx int, object_idx long, polygon {POLYGON.simpleString()}")
+    at = [(10, 64), (128, 200), (128, 100), (64, 64), (64, 200), (129, 100), (9, 100), (70, 201)]
+    points = spark.createDataFrame([("S", 0, 0, k, float(x), float(y)) for k, (x, y) in enumerate(at)], "slide string, fov int, patch_idx int, point_id long, x double, y double")
+    assert sorted(r[0] for r in A.candidates(points, objects, pixel=True).select("point_id").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_large_and_small_boxes_meet_once(spark):
+    """Boxes of all sizes: each overlapping pair once, and a wide one isn't copied to all fine bins."""
+    import random
+
+    rng = random.Random(8)
+    boxes = [(x := rng.uniform(0, 4000), y := rng.uniform(0, 4000), x + rng.choice([5, 60, 400, 900, 4000]), y + rng.choice([5, 60, 400, 900, 4000])) for _ in range(120)]
+    boxes += [(128, 128, 256, 256), (0, 0, 128, 128), (256, 0, 1024, 128), (0, 0, 4256, 4256)]
+    objects = spark.createDataFrame([("S", 0, k, box(*b)) for k, b in enumerate(boxes)], f"slide string, fov int, object_idx long, polygon {POLYGON.simpleString()}")
+    pairs = A.overlapping_pairs(objects, objects)
+    got = [(r["a_idx"], r["b_idx"]) for r in pairs.collect()]
+    want = {(i, j) for i, p in enumerate(boxes) for j, q in enumerate(boxes) if min(p[2], q[2]) > max(p[0], q[0]) and min(p[3], q[3]) > max(p[1], q[1])}
+    assert len(got) == len(set(got)) and set(got) == want
+    areas = A.with_shared_area(pairs, objects, objects).select("shared", "box_area").collect()
+    assert len(areas) == len(want) and all(r["shared"] == r["box_area"] for r in areas)
+
+
+def test_shared_area_fetches_curved_outlines(spark):
+    """A triangle with a box and with another triangle, both ways."""
+    schema = f"slide string, fov int, object_idx long, polygon {POLYGON.simpleString()}"
+    rows = [("S", 0, 1, [{"x": 0.0, "y": 0.0}, {"x": 8.0, "y": 0.0}, {"x": 0.0, "y": 8.0}]), ("S", 0, 2, box(0, 0, 4, 4)), ("S", 0, 3, [{"x": 0.0, "y": 0.0}, {"x": 8.0, "y": 0.0}, {"x": 8.0, "y": 8.0}])]
+    objects = spark.createDataFrame(rows, schema)
+    got = {(r["a_idx"], r["b_idx"]): r["shared"] for r in A.with_shared_area(A.overlapping_pairs(objects, objects), objects, objects).collect()}
+    assert got == pytest.approx({(1, 1): 32, (1, 2): 16, (2, 1): 16, (1, 3): 16, (3, 1): 16, (2, 2): 16, (2, 3): 8, (3, 2): 8, (3, 3): 32})

@@ -83,11 +83,6 @@ def test_log_gamma():
     assert B.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-9, abs=1e-9)
 
 
-def test_likelihood_parts():
-    y, mu = np.array([0.0, 3, 7]), np.array([1.0, 2, 5])
-    assert B.fixed_part(y, 0.4) + B.moving_part(y, mu, 0.4) == pytest.approx(B.nb_log_likelihood(y, mu, 0.4))
-
-
 def simulated(spark, effect: float, n: int = 160, genes: int = 12, seed: int = 1):
     rng = np.random.default_rng(seed)
     group = np.arange(n) % 2
