@@ -66,8 +66,20 @@ def perimeter(poly: Column) -> Column:
     return F.when(F.size(poly) >= 2, total).otherwise(F.lit(0.0))
 
 
+#: Outlines of so many points at most have all their pairs compared; longer ones go by their hull.
+FEW_POINTS = 32
+
+
 def major_axis(poly: Column) -> Column:
-    """Largest distance between two points; 0 under two."""
+    """Largest distance between two points; 0 under two. Of a long outline only its convex hull is walked round."""
+    from fieldloom.functions.kernels import hull_diameter
+
+    long = F.size(poly) > FEW_POINTS
+    return F.when(long, hull_diameter(F.when(long, poly))).otherwise(largest_distance(F.when(~long, poly)))
+
+
+def largest_distance(poly: Column) -> Column:
+    """Over all pairs of points; 0 under two."""
     far = F.transform(poly, lambda p: F.array_max(F.transform(poly, lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]))))
     return F.coalesce(F.array_max(far), F.lit(0.0))
 

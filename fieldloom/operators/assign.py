@@ -11,10 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldloom.functions import geometry as G
 from fieldloom.functions.kernels import overlap_area
+from fieldloom.operators.order import placed, placed_within
 
 BIN = 64
 RULES = ("greedy", "shared", "null", "random", "last")
@@ -104,8 +104,8 @@ def assign_points(points: DataFrame, objects: DataFrame, rule: str = "greedy", *
         return by.agg(F.count("*").alias("_n"), F.min("object_idx").alias("object_idx"), *kept).where(F.col("_n") == 1).select(*points.columns, "object_idx")
     sets = by.agg(F.sort_array(F.collect_list("object_idx")).alias("_objects"), *kept)
     single = sets.where(F.size("_objects") == 1).withColumn("object_idx", F.col("_objects")[0])
-    turn = F.row_number().over(Window.partitionBy(*keys, "_objects").orderBy(F.xxhash64(F.lit(seed), F.col(point)), F.col(point))) - 1
-    dealt = sets.where(F.size("_objects") > 1).withColumn("object_idx", F.element_at("_objects", (turn % F.size("_objects") + 1).cast("int")))
+    several = placed_within(sets.where(F.size("_objects") > 1), [*keys, "_objects"], F.xxhash64(F.lit(seed), F.col(point)), F.col(point), name="_turn", start=0)
+    dealt = several.withColumn("object_idx", F.element_at("_objects", (F.col("_turn") % F.size("_objects") + 1).cast("int"))).drop("_turn")
     return single.unionByName(dealt).select(*points.columns, "object_idx", F.col("_objects").alias("objects"))
 
 
@@ -126,7 +126,7 @@ def gene_index(panel: DataFrame, points: DataFrame, objects: DataFrame, keys: Se
     seen = points.join(objects.select(*keys).distinct(), list(keys), "left_semi").select(F.col("target").alias("gene")).distinct()
     extra = seen.join(panel, "gene", "left_anti").select("gene", F.lit(None).cast("long").alias("pos"))
     every = panel.groupBy("gene").agg(F.min("pos").cast("long").alias("pos")).unionByName(extra)
-    return every.select("gene", (F.row_number().over(Window.orderBy(F.col("pos").asc_nulls_last(), "gene")) - 1).cast("long").alias("gene_idx"))
+    return placed(every, F.col("pos").isNull(), F.col("pos"), F.col("gene"), name="gene_idx", start=0).select("gene", "gene_idx")
 
 
 def overlapping_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str] = FIELD, size: int = 2 * BIN) -> DataFrame:

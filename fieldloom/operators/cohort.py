@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.functions import identifiers as I
+from fieldloom.operators.order import placed, placed_within, quantiles
 
 CONTROL_GENES = r"(?i)SystemControl|Negative"
 
@@ -123,14 +124,17 @@ def frequency(df: DataFrame, column: str) -> DataFrame:
 
 def five_numbers(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, deviation, and the exact five-number summary."""
-    q = [F.percentile(column, F.lit(p)).alias(name) for name, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))]
-    return df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.min(column).cast("double").alias("least"), *q, F.max(column).cast("double").alias("most"))
+    plain = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.min(column).cast("double").alias("least"), F.max(column).cast("double").alias("most"))
+    q = quantiles(df, by, F.col(column), {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    joined = plain.join(q, list(by), "left") if by else plain.join(F.broadcast(q), F.lit(True), "left")  # a row on both sides
+    return joined.select(*by, "n", "mean", "sd", "least", "q25", "median", "q75", "most")
 
 
 def unique_names(df: DataFrame, name: str, order: Sequence[str], separator: str = ".") -> DataFrame:
     """``df`` with repeated names told apart by a number: a, a.1, a.2."""
-    at = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    return df.withColumn(name, F.when(at > 0, F.concat_ws(separator, name, at.cast("string"))).otherwise(F.col(name)))
+    at = F.col("_repeat")
+    own = placed_within(df, [name], *(F.col(c) for c in order), name="_repeat", start=0)
+    return own.withColumn(name, F.when(at > 0, F.concat_ws(separator, name, at.cast("string"))).otherwise(F.col(name))).drop("_repeat")
 
 
 def tagged_union(tables: dict[str, DataFrame], prefix: str | None = None) -> DataFrame:
@@ -147,9 +151,7 @@ def tagged_union(tables: dict[str, DataFrame], prefix: str | None = None) -> Dat
 
 def on_gene_union(counts: DataFrame) -> DataFrame:
     """Counts with gene_idx in the union of all their genes, by name."""
-    genes = counts.select("gene").distinct()
-    index = genes.withColumn("gene_idx", (F.row_number().over(Window.orderBy("gene")) - 1).cast("long"))
-    return counts.join(index, "gene")
+    return counts.join(placed(counts.select("gene").distinct(), F.col("gene"), name="gene_idx", start=0), "gene")
 
 
 def common_dimensions(tables: Sequence[DataFrame], column: str) -> bool:

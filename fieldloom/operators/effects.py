@@ -9,7 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldloom.operators.order import placed_within, quantiles
+from fieldloom.sessions import cut
+
 EPS = 1e-6
+#: Different p-values that share a window.
+P_VALUES_A_BIN = 8_192
 
 
 def log2_ratio(a: Column, b: Column, eps: float = EPS) -> Column:
@@ -55,8 +60,10 @@ def size_factors(cells: DataFrame, counts: DataFrame, genes: DataFrame | None =
     entries = counts.join(cells.select("cell", "cell_line"), "cell")
     entries = entries.join(genes, ["cell_line", "gene"], "left_semi") if genes is not None else entries
     totals = cells.join(entries.groupBy("cell").agg(F.sum("n").alias("total")), "cell", "left").withColumn("total", F.coalesce("total", F.lit(0)).cast("long"))
-    line = totals.where(F.col("total") > 0).groupBy("cell_line").agg(F.percentile("total", F.lit(0.5)).alias("_median"), F.min("total").alias("_least"))
-    return totals.join(line, "cell_line").withColumn("size_factor", F.when(F.col("total") > 0, F.col("total") / F.col("_median")).otherwise(F.col("_least") / F.col("_median") * 1e-3)).drop("_median", "_least")
+    totals, _ = cut(totals, "totals")
+    seen = totals.where(F.col("total") > 0)
+    least = seen.groupBy("cell_line").agg(F.min("total").alias("_least"))
+    return totals.join(least, "cell_line").join(quantiles(seen, ["cell_line"], F.col("total"), {"_median": 0.5}), "cell_line").withColumn("size_factor", F.when(F.col("total") > 0, F.col("total") / F.col("_median")).otherwise(F.col("_least") / F.col("_median") * 1e-3)).drop("_median", "_least")
 
 
 def group_means(counts: DataFrame, factors: DataFrame, genes: DataFrame, eps: float = EPS) -> DataFrame:
@@ -68,24 +75,20 @@ def group_means(counts: DataFrame, factors: DataFrame, genes: DataFrame, eps: fl
     return means.withColumn("log2fc", log2_ratio(F.col("mean_1"), F.col("mean_0"), eps)).drop("_sf0", "_sf1")
 
 
-def adjusted(df: DataFrame, by: list[str], p: str = "p", out: str = "p_adj", bins: int = 1024) -> DataFrame:
+def adjusted(df: DataFrame, by: list[str], p: str = "p", out: str = "p_adj", width: int = P_VALUES_A_BIN) -> DataFrame:
     """``df`` with Benjamini-Hochberg adjusted p-values in each group; nulls stay null and don't count.
 
-    Equal p-values are one row with a count until the end: they share the rank of the last of them. Ranks and the running
-    minimum from above are made within bins of p and carried over a small table of the bins, so that no task sorts a
-    whole group, however many of its values are equal.
+    Equal p-values are one row with a count until the end: they share the rank of the last of them. Ranks are places in
+    the group's order. The running minimum from above is made within bins of ``width`` ranks and carried over a small
+    table of the bins, so that no task sorts a whole group, wherever its values crowd and however many are equal.
     """
-    at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.col(p) * bins).cast("int")))
-    known = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p"), at.alias("_bin")).agg(F.count("*").alias("_times"))
-    sizes = known.groupBy(*by, "_bin").agg(F.sum("_times").alias("_in"))
-    upward = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*by, "_bin", F.coalesce(F.sum("_in").over(upward), F.lit(0)).alias("_below"), F.sum("_in").over(Window.partitionBy(*by)).alias("_n"))
-    own = Window.partitionBy(*by, "_bin")
-    ranked = known.join(sizes, [*by, "_bin"]).withColumn("_rank", F.sum("_times").over(own.orderBy("_p")) + F.col("_below"))
-    raw = ranked.withColumn("_q", F.col("_p") * F.col("_n") / F.col("_rank"))
+    known = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count("*").alias("_times"))
+    ranked, _ = cut(placed_within(known, by, F.col("_p"), name="_before", start=0, before=F.col("_times")), "ranked")
+    sizes = ranked.groupBy(*by).agg(F.sum("_times").alias("_n"))
+    raw = ranked.join(sizes, by).withColumns({"_q": F.col("_p") * F.col("_n") / (F.col("_before") + F.col("_times")), "_bin": F.floor(F.col("_before") / width)})
     downward = Window.partitionBy(*by).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     above = raw.groupBy(*by, "_bin").agg(F.min("_q").alias("_least")).select(*by, "_bin", F.min("_least").over(downward).alias("_above"))
-    inside = F.min("_q").over(own.orderBy(F.desc("_p")))
+    inside = F.min("_q").over(Window.partitionBy(*by, "_bin").orderBy(F.desc("_p")))
     values = raw.withColumn("_inside", inside).join(above, [*by, "_bin"]).select(*by, F.col("_p").alias(p), F.least(F.lit(1.0), "_inside", F.coalesce("_above", F.lit(1.0))).alias("_adjusted"))
     kept = [c for c in df.columns if c != out]
     done = df.where(F.col(p).isNotNull()).join(values, [*by, p]).select(*kept, F.col("_adjusted").alias(out))
@@ -116,7 +119,9 @@ def skipped_lines(cells: DataFrame, genes: DataFrame, factors: DataFrame) -> Dat
 
 
 def covariate_summary(df: DataFrame, by: str, value: str) -> DataFrame:
-    return df.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).cast("double").alias("least"), F.max(value).cast("double").alias("most"))
+    """Per group mean, sd, exact median, least and most of a value."""
+    plain = df.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).cast("double").alias("least"), F.max(value).cast("double").alias("most"))
+    return plain.join(quantiles(df, [by], F.col(value), {"median": 0.5}), by, "left").select(by, "mean", "sd", "median", "least", "most")
 
 
 def prediction_surface(coefficients: DataFrame, reference: DataFrame, steps: int = 50) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions import geometry as G
+from fieldloom.functions.kernels import mean_width
+
 FIELD = ("slide", "fov")
 #: A tube of so many nuclei is fused.
 FUSED_FROM = 2
@@ -25,6 +28,26 @@ def field_indices(nuclei: DataFrame, tubes: DataFrame, links: DataFrame, keys: S
     return both.withColumn("differentiation_index", F.when(F.col("n_nuclei") > 0, F.col("n_in_myotubes") / F.col("n_nuclei")).otherwise(F.lit(0.0)))
 
 
+def object_rows(tubes: DataFrame, links: DataFrame, keys: Sequence[str] = FIELD) -> DataFrame:
+    """A row a tube: keys, object_id, width (mean across its main axis), area, n_nuclei. Outlines of under three points
+    have a width and an area of 0."""
+    counted = nuclei_per_tube(tubes, links, keys)
+    return counted.select(*keys, F.col("object_idx").alias("object_id"), mean_width(F.col("polygon")).alias("width"), G.area(F.col("polygon")).alias("area"), "n_nuclei")
+
+
+def field_rows(nuclei: DataFrame, tubes: DataFrame, links: DataFrame, keys: Sequence[str] = FIELD) -> DataFrame:
+    """A row a field: total_myotubes, total_nuclei, nuclei_in_myotubes, differentiation_index, and n_nuclei_0, n_nuclei_1 and so
+    on, how many of its tubes have so many nuclei, up to the most that any tube has. Outlines of under three points don't count."""
+    whole = [df.where(F.size("polygon") >= 3) for df in (nuclei, tubes)]
+    indices = field_indices(whole[0], whole[1], links, keys)
+    counted = nuclei_per_tube(whole[1], links, keys)
+    most = counted.agg(F.max("n_nuclei").alias("m")).first()["m"]
+    ks = list(range(0, (most if most is not None else -1) + 1))
+    each = counted.groupBy(*keys).agg(F.count("*").alias("_tubes"), *(F.count_if(F.col("n_nuclei") == k).alias(f"n_nuclei_{k}") for k in ks))
+    named = indices.select(*keys, F.col("n_myotubes").alias("total_myotubes"), F.col("n_nuclei").alias("total_nuclei"), F.col("n_in_myotubes").alias("nuclei_in_myotubes"), "differentiation_index")
+    return named.join(each.drop("_tubes"), list(keys), "left").na.fill(0)
+
+
 def nuclei_histogram(counted: DataFrame, keys: Sequence[str] = FIELD) -> DataFrame:
     """Per field, how many tubes have k nuclei, for k from 0 to the most that any tube of any field has."""
     n = counted.groupBy(*keys, F.col("n_nuclei").alias("k")).agg(F.count("*").alias("n_tubes"))

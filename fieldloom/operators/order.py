@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,3 +40,30 @@ def placed_within(df: DataFrame, keys: Sequence[str], *order: Column, name: str
     joined = ranged.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(offsets, [F.col("_range") == F.col("_range_"), *(F.col(a).eqNullSafe(F.col(f"{a}_")) for a in at)])
     kept = [c for c in df.columns if c != name]
     return joined.select(*kept, (F.col("_before") + F.col("_inner") + start).cast("long").alias(name))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: Column, shares: Mapping[str, float]) -> DataFrame:
+    """Per key the exact quantiles of ``value`` (nulls don't count), by name: interpolated between the two values next to
+    the place, as ``percentile`` does. Keys that are null or have no value are left out.
+
+    Equal values are one row with a count; their places come from :func:`placed_within`, so that no task holds all the
+    different values of a key.
+    """
+    by = list(keys) or ["_all"]
+    own = df if keys else df.withColumn("_all", F.lit(0))
+    known = own.select(*by, value.cast("double").alias("_v")).where(" and ".join(f"`{k}` is not null" for k in [*by, "_v"]))
+    rows = placed_within(known.groupBy(*by, "_v").agg(F.count("*").alias("_n")), by, F.col("_v"), name="_at", start=0, before=F.col("_n"))
+    rows, _ = cut(rows, "places")
+    sizes = rows.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    joined = rows.join(sizes, by)
+    found = {}
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col("_total") - 1)
+        for end, at in (("low", F.floor(place)), ("high", F.ceil(place))):
+            found[f"_{end}_{name}"] = F.max(F.when((F.col("_at") <= at) & (at < F.col("_at") + F.col("_n")), F.col("_v")))
+    ends = joined.groupBy(*by).agg(F.first("_total").alias("_total"), *(c.alias(n) for n, c in found.items()))
+    out = []
+    for name, share in shares.items():
+        place, low, high = F.lit(float(share)) * (F.col("_total") - 1), F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        out.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high).alias(name))
+    return ends.select(*keys, *out)

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldloom.functions import geometry as G
 from fieldloom.functions.kernels import mean_width, width_segments
 from fieldloom.operators.assign import overlapping_pairs, with_shared_area
+from fieldloom.operators.order import placed_within
 from fieldloom.sessions import cut
 
 
@@ -33,8 +33,7 @@ def segments(objects: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def numbered(objects: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """``objects`` with a number from 0 in each group, in the given order."""
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return objects.withColumn(name, at.cast("long"))
+    return placed_within(objects, by, *(F.col(c) for c in order), name=name, start=0)
 
 
 def size_filter(objects: DataFrame, least: float) -> DataFrame:
@@ -88,9 +87,8 @@ def packed(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def offsets(objects: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """Where each outline's points begin in a packed list of its group's: points_before and n_points."""
-    n = F.size("polygon").cast("long")
-    before = F.sum(n).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return objects.withColumns({"n_points": n, "points_before": F.coalesce(before, F.lit(0)).cast("long")})
+    sized = objects.withColumn("n_points", F.size("polygon").cast("long"))
+    return placed_within(sized, by, F.col(order), name="points_before", start=0, before=F.col("n_points"))
 
 
 def contained_pairs(objects: DataFrame, threshold: float = 0.9, file: str = "image_name") -> DataFrame:

