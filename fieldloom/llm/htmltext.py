@@ -30,6 +30,10 @@ MARKS = frozenset(
 )
 #: In an article's paragraphs, headings and lists only these; other marks are common words for what an article has.
 STRONG_MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsored".split())
+#: Lists and tables of an article go by these; other marks only where they are mostly links.
+COMMENT_MARKS = frozenset("comment comments commentlist disqus respond reply replies".split())
+LISTS = frozenset("ul ol table dl".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: These too, where they don't stand in an article.
 OUTER_MARKS = frozenset("header topbar top head".split())
 CONTAINERS = frozenset("html body main article section div td table tbody tr center font blockquote".split())
@@ -65,6 +69,8 @@ class Element:
     inside: bool  # in an article or main element
     links: int = 0
     linked: bool = False  # in a link
+    weak: int = 0  # the outermost element around it, or itself, that stands in an article and goes by a common word only
+    listed: bool = False  # a list or table of an article with such a word
 
 
 @dataclass(slots=True)
@@ -74,21 +80,28 @@ class Page:
     texts: list[tuple[int, str, bool]] = field(default_factory=list)
 
 
-def named_out(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element's name or marks say that it isn't part of the article."""
+STAYS, WEAK, LISTED, OUT = range(4)
+
+
+def named_out(tag: str, attributes: str, inside: bool) -> int:
+    """What an element's name or marks say: it is the article's, or not; or WEAK, a box of an article with a word that
+    texts have too, or LISTED, a list or table with one."""
     if tag in ASIDE or (tag == "header" and not inside):
-        return True
+        return OUT
     if len(attributes) < 4:
-        return False
+        return STAYS
+    says = STAYS
     for name, value in MARKUP.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
+            return OUT
         if name in ("class", "id", "role") and tag not in ("html", "body", "main"):
             found = set(WORDS.findall(value))
-            if found & (MARKS if not inside or tag in BOXES or tag in ("ul", "ol", "table", "dl") else STRONG_MARKS) or (not inside and tag != "article" and found & OUTER_MARKS):
-                return True
-    return False
+            if found & STRONG_MARKS or (not inside and (found & MARKS or (tag != "article" and found & OUTER_MARKS))) or (tag in LISTS and found & COMMENT_MARKS):
+                return OUT
+            if found & MARKS:
+                says = max(says, WEAK if tag in BOXES else LISTED if tag in LISTS else STAYS)
+    return says
 
 
 def parse(source: str) -> Page:
@@ -158,7 +171,9 @@ def parse(source: str) -> Page:
         inside = parent.inside or tag in ("article", "main")
         kind = CLASS.search(m[3])
         path = paths.setdefault((parent.path, tag, " ".join(sorted(kind[1].strip("\"'").lower().split())) if kind else ""), len(paths) + 1)
-        page.elements.append(Element(tag, stack[-1], path, parent.out or named_out(tag, m[3], parent.inside), inside, int(tag == "a"), parent.linked or tag == "a"))
+        says = named_out(tag, m[3], parent.inside)
+        weak = parent.weak or (len(page.elements) if says == WEAK else 0)
+        page.elements.append(Element(tag, stack[-1], path, parent.out or says == OUT, inside, int(tag == "a"), parent.linked or tag == "a", weak, says == LISTED))
         stack.append(len(page.elements) - 1)
         standing[tag] += 1
     text(len(source))
@@ -201,7 +216,7 @@ def main_text(source: str | None) -> str:
         return ""
     page = parse(source)
     elements = page.elements
-    kept = [(k, t, b) for k, t, b in page.texts if not elements[k].out]
+    kept = without_weak(elements, [(k, t, b) for k, t, b in page.texts if not elements[k].out])
     if not kept:
         return ""
     nodes = [(elements[k].path, t) for k, t, _ in kept]
@@ -223,7 +238,8 @@ def main_text(source: str | None) -> str:
             sums[e.parent] += sums[k]
         titled[e.parent] = titled[e.parent] or titled[k]
         piece[e.parent] = piece[e.parent] or piece[k]
-    menu = [e.tag in ("ul", "ol", "div", "table", "section", "p", "dl") and links[k] >= 3 and linked[k] > LINKED * length[k] for k, e in enumerate(elements)]
+    kinds = ("ul", "ol", "div", "section"), ("ul", "ol", "div", "table", "section", "p", "dl")  # in an article a paragraph or table may be all links
+    menu = [((e.tag in kinds[not e.inside] and links[k] >= 3) or (e.listed and links[k] > 0)) and linked[k] > LINKED * length[k] for k, e in enumerate(elements)]
     tops = {k for k, e in enumerate(elements) if e.tag in ("article", "main") and selected[k] and not elements[e.parent].inside}
     gone: set[int] = set()
     if not tops or sum(selected[k] for k in tops) < DOMINANT * selected[0]:
@@ -236,6 +252,22 @@ def main_text(source: str | None) -> str:
     return " ".join("".join(("\n" if starts else "") + t for k, t, starts in kept if shown[k]).split())
 
 
+def without_weak(elements: list[Element], texts: list[tuple[int, str, bool]]) -> list[tuple[int, str, bool]]:
+    """Texts without those in boxes of an article that go by a common word. Where nothing but headings would be left of an
+    article or main, its boxes stay: the word names what the article is about."""
+    if not any(elements[k].weak for k, _, _ in texts):
+        return texts
+    article = [0] * len(elements)
+    for k, e in enumerate(elements):
+        if k:
+            article[k] = article[e.parent] or (k if e.tag in ("article", "main") else 0)
+    heading = [False] * len(elements)
+    for k, e in enumerate(elements):
+        heading[k] = e.tag in HEADINGS or (k > 0 and heading[e.parent])
+    written = {article[k] for k, t, _ in texts if not elements[k].weak and not heading[k] and not t.isspace()}
+    return [x for x in texts if not elements[x[0]].weak or article[x[0]] not in written]
+
+
 def container(elements: list[Element], children: dict[int, list[int]], selected: list[int], titled: list[bool], piece: list[bool]) -> tuple[int, set[int]]:
     """The innermost element around the text on content paths, and the boxes in it that aren't the article's.
 
@@ -266,9 +298,9 @@ def container(elements: list[Element], children: dict[int, list[int]], selected:
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (html, more) with text and n_chars (code points). Null or empty html: the empty text.
 
-    Each page stands alone: no shuffle. Columns named text or n_chars are replaced, html is dropped, others stay.
+    Each page stands alone: no shuffle. Columns named text or n_chars, whatever the case, are replaced, html is dropped, others stay.
     """
-    plain = pages.select(*(c for c in pages.columns if c not in ("text", "n_chars", "html")), "html")
+    plain = pages.select(*(c for c in pages.columns if c.lower() not in ("text", "n_chars", "html")), "html")
     names = [*plain.columns[:-1], "text", "n_chars"]
 
     def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

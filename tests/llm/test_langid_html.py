@@ -138,6 +138,12 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var t = "<p>no</p>
 @pytest.mark.parametrize(
     ("page", "want"),
     [
+        ("<article><div class='social history'><p>One, two, and three.</p></div></article>", "One, two, and three."),
+        ("<article><h1>Title</h1><section id='comment-on-policy'><p>One, two, and three.</p></section></article>", "Title One, two, and three."),
+        ("<article><p>Body, of text. And more.</p><div class='comments'><p>" + "A longer comment, really. " * 9 + "</p></div></article>", "Body, of text. And more."),
+        ("<article><p>Body, of text.</p><p><a href=a>One</a>, <a href=b>two</a> and <a href=c>three</a></p></article>", "Body, of text. One, two and three"),
+        ("<article><p>Body, of text.</p><table class='related data'><tr><td>1<td>2</table><ol class=share><li>A share of all.</ol></article>", "Body, of text. 1 2 A share of all."),
+        ("<article><p>Body, of text.</p><ul class=share><li><a href=a>Tell</a><li><a href=b>Mail</a></ul><ol class='commentlist'><li>No, never.</ol></article>", "Body, of text."),
         (PAGE, "Title & more Hello bigworld, this is text. Short. Second line, here item one, okay item two c1 c2 a < b é"),
         (None, ""),
         ("", ""),
@@ -165,6 +171,8 @@ def test_main_text(page, want):
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 6), (None, "u", "<p>A</p>", 7), (1, "u", PAGE, 8)], "page_id long, url string, html string, n_chars int").withColumn("extra", F.lit(1))
     rows = htmltext.extract(pages).collect()
+    odd = htmltext.extract(pages.withColumnRenamed("n_chars", "N_Chars").withColumn("TEXT", F.lit("x")))
+    assert odd.columns == ["page_id", "url", "extra", "text", "n_chars"] and odd.count() == 4
     assert len(rows) == 4 and htmltext.extract(pages).columns == ["page_id", "url", "extra", "text", "n_chars"]
     assert all(r["n_chars"] == len(r["text"]) for r in rows) and htmltext.extract(pages.limit(0)).count() == 0
 
