@@ -18,9 +18,12 @@ NEAREST = 5
 QUERY_EVERY = 50
 TABLES = 16
 PROBES = 8
-#: A table's hash joins so many rotations' axes that its buckets hold about so many vectors, but two at most: the driver
-#: gets a count for each bucket.
-LOAD, MAX_ROTATIONS = 2048, 2
+#: A table's hash may join so many rotations' axes that its buckets hold about so many vectors, but two at most and not
+#: more than so many buckets: the driver gets a count for each bucket that has vectors.
+LOAD, MAX_ROTATIONS, MAX_BUCKETS = 2048, 2, 1 << 18
+#: Joined rotations are taken only where so large a share of the nearest of a sample of queries is found, by comparing that
+#: sample with all vectors; so many queries at most are in it.
+RECALL, SAMPLE_QUERIES = 0.95, 256
 SEED = 11
 #: Vectors, and queries, that meet in one group at most on average.
 BLOCK = 2048
@@ -37,9 +40,27 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def rotations_for(n: int, dim: int) -> int:
-    """Rotations joined in a table's hash: more axes to choose from as vectors get more."""
+    """Rotations that a table's hash may join: more axes to choose from as vectors get more."""
     width = 1 << max(0, dim - 1).bit_length()
-    return min(MAX_ROTATIONS, max(1, round(math.log(max(1, n / LOAD), 2 * width))))
+    most = max(r for r in range(1, MAX_ROTATIONS + 1) if r == 1 or (2 * width) ** r <= MAX_BUCKETS)
+    return min(most, max(1, round(math.log(max(1, n / LOAD), 2 * width))))
+
+
+def forms(n: int, dim: int, tables: int, probes: int, seed: int) -> Iterator[tuple[Hasher, int]]:
+    """Hashes and probes to try, the one with fewest candidates first, the last one with one rotation."""
+    for rotations in range(rotations_for(n, dim), 0, -1):
+        hasher = Hasher(dim, tables, seed, rotations)
+        for more in (1, 4) if rotations > 1 else (1,):
+            yield hasher, min(more * probes * rotations**3, hasher.buckets)
+
+
+def sampled_recall(index: DataFrame, sample: DataFrame, truth: DataFrame, hasher: Hasher, kind: str, probes: int, k: int) -> float:
+    """Share of the ``truth`` (q, rep, score: the k nearest of each of ``sample``) that the hash finds, or what is as near."""
+    least = truth.groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    found = candidates(index, sample, hasher, kind, probes, k).where(F.col("q") != F.col("rep")).join(least, "q").where(F.col("score") >= F.col("least") - 1e-12)
+    got = found.groupBy("q").agg(F.count("*").alias("got")).join(least, "q", "right")
+    share = got.agg(F.sum(F.least(F.coalesce("got", F.lit(0)), "n")).alias("got"), F.sum("n").alias("n")).first()
+    return share["got"] / share["n"] if share["n"] else 1.0
 
 
 class Hasher:
@@ -112,18 +133,16 @@ def hashed(vectors: DataFrame, hasher: Hasher | Everything, kind: str, probes: i
 
 
 def bucket_counts(vectors: DataFrame, hasher: Hasher | Everything, kind: str, probes: int) -> dict[tuple[int, int], int]:
-    """Vectors in each bucket of each table; the driver gets one count a bucket at most."""
+    """Vectors in each bucket of each table that has any."""
     shared = vectors.sparkSession.sparkContext.broadcast(hasher)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = shared.value
-        n = np.zeros((h.tables, h.buckets), dtype=np.int64)
         for batch in batches:
             rows = unit(matrix(batch.column(0), kind))
-            for t in range(h.tables):
-                n[t] += np.bincount(h.nearest(rows, t, probes).ravel(), minlength=h.buckets) if len(rows) else 0
-        t, b = np.nonzero(n)
-        yield pa.record_batch([pa.array(t), pa.array(b), pa.array(n[t, b])], names=["t", "bucket", "n"])
+            for t in range(h.tables if len(rows) else 0):
+                b, n = np.unique(h.nearest(rows, t, probes), return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(b), t)), pa.array(b), pa.array(n)], names=["t", "bucket", "n"])
 
     sums = vectors.select("vec").mapInArrow(count, "t long, bucket long, n long").groupBy("t", "bucket").agg(F.sum("n").alias("n"))
     return {(r["t"], r["bucket"]): r["n"] for r in sums.collect()}
@@ -163,12 +182,27 @@ def candidates(index: DataFrame, questions: DataFrame, hasher: Hasher | Everythi
     return found.groupBy("q", "rep").agg(F.max("score").alias("score"))
 
 
+def form_for(index: DataFrame, questions: DataFrame, n: int, dim: int, tables: int, probes: int, seed: int, kind: str, k: int) -> tuple[Hasher, int]:
+    """The first of :func:`forms` with the recall wanted; one rotation, which finds far neighbours too, isn't measured."""
+    every = list(forms(n, dim, tables, probes, seed))
+    if len(every) > 1:
+        sample, _ = cut(questions.orderBy(F.xxhash64(F.lit(seed), "id")).limit(SAMPLE_QUERIES), "sample")
+        near = candidates(index, sample, Everything(), kind, 1, k + 1).where(F.col("q") != F.col("rep"))
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))
+        truth, _ = cut(near.withColumn("r", rank).where(F.col("r") <= k).drop("r"), "truth")
+        for hasher, own in every[:-1]:
+            if sampled_recall(index, sample, truth, hasher, kind, own, k + 1) >= RECALL:
+                return hasher, own
+    return every[-1]
+
+
 def nearest(df: DataFrame, query: Column, *, key: str = "vec_id", column: str = "embedding", k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each row of ``df`` where ``query`` holds, not itself.
 
     Vectors null, zero or with null or non-finite components take no part. Each table's hash is the nearest signed axis
-    of a pseudo-rotated unit vector, of two for large tables; a query looks into the ``probes`` nearest buckets of every
-    table. All vectors in a bucket are candidates, however many: buckets are dealt in blocks by their counts, and a group
+    of a pseudo-rotated unit vector; a query looks into the ``probes`` nearest buckets of every table. For large tables
+    it may be that of two joined, with more probes, if these find ``RECALL`` of what a sample of the queries has nearest
+    among all vectors; else it is one. All vectors in a bucket are candidates, however many: buckets are dealt in blocks by their counts, and a group
     holds one block of vectors and one of queries. Scores are cosines in double precision, ties go to the smaller id.
     Equal vectors are searched once, with the k + 1 smallest ids kept for each, which is as many as any query can ask
     for. Queries that found fewer than k are compared with all vectors. No vectors give none. Of rows that share an id,
@@ -182,8 +216,7 @@ def nearest(df: DataFrame, query: Column, *, key: str = "vec_id", column: str =
     index, _ = cut(vectors.join(classes.select(F.col("rep").alias("id")), "id"), "index")
     questions = index.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     n = index.count()
-    hasher = Hasher(dim, tables, seed, rotations_for(n, dim))
-    probes = min(probes * hasher.signs.shape[1] ** 3, hasher.buckets)
+    hasher, probes = form_for(index, questions, n, dim, tables, probes, seed, kind, k)
 
     def placed(once: DataFrame) -> DataFrame:
         few = once.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("rank") <= k + 1).drop("rank")

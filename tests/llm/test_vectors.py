@@ -111,21 +111,40 @@ def test_huge_and_tiny_components(spark):
     assert found == {50: 3, 2: 4, 3: 3, 4: 0, 5: 3, 6: 1}  # 2 and 6: 0.903
 
 
-def test_joined_rotations(vectors, table, monkeypatch):
-    """Two rotations a table, as for large tables, and none that finds too few: each query still has its five."""
+def recall(got, near, ids, every: int) -> float:
+    """Of the true five of each query, whatever their cosine, the share found."""
+    found: dict[int, set] = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    queries = [k for k, i in enumerate(ids) if i % every == 0]
+    true = [(k, j) for k in queries for j in np.argsort(-near[k])[:5]]
+    return sum(ids[j] in found[ids[k]] for k, j in true) / len(true)
+
+
+def test_joined_rotations_only_with_their_recall(spark, monkeypatch):
+    """Two rotations forced: with neighbours near and far the recall holds, and where they don't reach it one is taken."""
     monkeypatch.setattr(ann, "rotations_for", lambda n, dim: 2)
-    good, _ = vectors
-    ids = [i for i, _ in good]
-    near = cosines(good)
-    np.fill_diagonal(near, -9)
-    got: dict[int, set] = {}
-    for r in ann.nearest(table, table["vec_id"] % 10 == 0).collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    queries = [k for k, i in enumerate(ids) if i % 10 == 0]
-    assert all(len(v) == 5 for v in got.values()) and len(got) == len(queries)
-    close = [(k, j) for k in queries for j in np.argsort(-near[k])[:5] if near[k][j] > 0.8]
-    assert sum(ids[j] in got[ids[k]] for k, j in close) >= 0.9 * len(close)
+    rng = np.random.default_rng(5)
+    far = rng.normal(size=(1500, 32))
+    near = np.repeat(rng.normal(size=(250, 32)), 6, axis=0) + 0.15 * rng.normal(size=(1500, 32))
+    chosen = {}
+    plain = ann.form_for
+
+    def noted(*args):
+        chosen[name] = plain(*args)
+        return chosen[name]
+
+    monkeypatch.setattr(ann, "form_for", noted)
+    for name, rows in (("far", far), ("near", near), ("none will do", far)):
+        monkeypatch.setattr(ann, "RECALL", 1.01 if name == "none will do" else 0.95)
+        df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+        scaled = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+        cosine = scaled @ scaled.T
+        np.fill_diagonal(cosine, -9)
+        assert recall(ann.nearest(df, df["vec_id"] % 10 == 0).collect(), cosine, list(range(1500)), 10) >= 0.93
+    assert chosen["near"][0].signs.shape[1] == 2 and chosen["none will do"][0].signs.shape[1] == 1
 
 
 def test_rotations_follow_the_table():
     assert [ann.rotations_for(n, 64) for n in (0, 1000, 100_000, 10**7, 10**12)] == [1, 1, 1, 2, 2]
+    assert ann.rotations_for(10**9, 1024) == 1  # of which the driver would get too many counts
