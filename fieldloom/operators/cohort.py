@@ -50,8 +50,10 @@ def classifier_table(raw: DataFrame, slide: str) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The first row of each key, with all columns."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") == 1).drop("_rn")
+    """The first row of each key, with all columns, by rising ``order`` (nulls first). Parts of a key are reduced before they
+    meet."""
+    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(*order))
+    return df.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(first.alias("_first")).select("_first.*")
 
 
 def merge_classes(cells: DataFrame, classifier: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -89,6 +89,19 @@ def pip_raster(spark: SparkSession, d: str) -> DataFrame:
     return A.count_matrix(A.assign_points(V.points(spark, d), V.nuclei_boxes(spark, d), "last", pixel=True)).drop("slide")
 
 
+@query("""WITH c AS (SELECT object_idx, fov, patch_idx, k, least(1023, greatest(0, round_even(x - (patch_idx % 4) * 1024 - 60.25, 0))) AS x, least(1023, greatest(0, round_even(y - (patch_idx // 4) * 1024 - 50.5, 0))) AS y FROM v_vertex),
+e AS (SELECT i.object_idx, i.fov, i.patch_idx, i.x AS ix, i.y AS iy, j.x AS jx, j.y AS jy FROM c i JOIN c j ON i.object_idx = j.object_idx AND j.k = (i.k + 5) % 6),
+t AS (SELECT *, floor(x) - (patch_idx % 4) * 1024 AS px, floor(y) - (patch_idx // 4) * 1024 AS py FROM v_tx),
+h AS (SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.l_suppkey, t.l_quantity, t.l_shipdate, t.target, t.fov, t.patch_idx, e.object_idx FROM t JOIN e ON t.fov = e.fov AND t.patch_idx = e.patch_idx GROUP BY ALL
+  HAVING count(*) FILTER (WHERE (iy > py) <> (jy > py) AND px < (jx - ix) * (py - iy) / (jy - iy + 1e-12) + ix) % 2 = 1
+  OR bool_or((ix - jx) * (py - jy) = (iy - jy) * (px - jx) AND px BETWEEN least(ix, jx) AND greatest(ix, jx) AND py BETWEEN least(iy, jy) AND greatest(iy, jy)))
+SELECT fov, patch_idx, object_idx, target AS gene, count(*) AS n FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, target, fov, patch_idx, max(object_idx) AS object_idx FROM h GROUP BY ALL) GROUP BY ALL""")
+def pip_raster_clipped(spark: SparkSession, d: str) -> DataFrame:
+    """The raster rule on hexagons of which many cross their patch's border, with corners between pixels."""
+    shifted = V.nuclei(spark, d).withColumn("polygon", G.moved(F.col("polygon"), F.lit(-60.25), F.lit(-50.5)))
+    return A.count_matrix(A.assign_points(V.points(spark, d), shifted, "last", pixel=True)).drop("slide")
+
+
 @query(f"SELECT fov, patch_idx, object_idx, target AS gene, count(*) AS n FROM (SELECT fov, patch_idx, target, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, max(object_idx) AS object_idx FROM ({BOX_HITS}) GROUP BY ALL) GROUP BY ALL")
 def pip_painted_then_greedy(spark: SparkSession, d: str) -> DataFrame:
     """On boxes with whole corners every point that is inside is painted, so the fallback adds none."""

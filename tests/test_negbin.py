@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.operators import negbin as B
 from fieldloom.plans import differential as D
@@ -96,25 +98,16 @@ def test_fit_as_in_memory(spark, chunk, block):
         assert r["best"] + fixed == pytest.approx(best, abs=1e-7)
 
 
-def test_results_do_not_depend_on_the_cut(spark):
-    y, x, offset = simulated(90, np.linspace(1, 20, 9), 0.4, 5)
-    how = B.Dispersions(length=7, low=-6, high=6)
-    rows = [{r["gene"]: r for r in B.fit_genes(*tables(spark, y, x, offset), ["intercept", "group"], tested=["group"], dispersions=how, chunk=c, block=b).collect()} for c, b in ((16, 2), (4096, 64))]
-    assert rows[0].keys() == rows[1].keys() and len(rows[0]) == 9
-    for g in rows[0]:
-        for c in ("dispersion", "common_dispersion", "beta_intercept", "beta_group", "p_group"):
-            assert rows[0][g][c] == pytest.approx(rows[1][g][c], rel=1e-6, abs=1e-9)
-
-
 def test_one_curve_as_in_memory(spark):
-    """Without a trend, each gene's curve moves towards the line's mean curve by the given weight."""
+    """Without a trend, each gene's curve moves towards the line's mean curve by the given weight, however cells and genes
+    are cut."""
     y, x, offset = simulated(50, [2, 3, 9, 12, 4, 6], 0.5, 8)
     grid = B.dispersion_grid(11, -6, 6)
     curves = np.array([plain_curve(v.astype(float), x, offset, grid) for v in y])
     common = curves.mean(axis=0)
     want = B.peaks(grid, curves + 20 / (50 - 2) * common)
     how = B.Dispersions(length=11, low=-6, high=6, trended=False, prior_df=20.0)
-    got = B.fit_genes(*tables(spark, y, x, offset), ["intercept", "group"], tested=["group"], dispersions=how).orderBy("gene").collect()
+    got = B.fit_genes(*tables(spark, y, x, offset), ["intercept", "group"], tested=["group"], dispersions=how, chunk=16, block=4).orderBy("gene").collect()
     assert [r["dispersion"] for r in got] == pytest.approx(want, rel=1e-5)
     assert [r["common_dispersion"] for r in got] == pytest.approx([B.peaks(grid, common[None])[0]] * 6, rel=1e-5)
     for r, v in zip(got, y, strict=True):
@@ -143,13 +136,15 @@ def test_prior_weight_follows_the_spread(spark):
     """Genes that share a dispersion get a far heavier prior than genes whose dispersions differ."""
     rng = np.random.default_rng(6)
     means = rng.uniform(5, 50, 80)
-    df = {}
-    for name, truth in (("same", np.full(80, 0.3)), ("spread", 0.3 * np.exp(rng.normal(0, 1.0, 80)))):
-        y, x, offset = simulated(40, means, truth, 9)
-        how = B.Dispersions(length=11, low=-6, high=6, trended=False)
-        rows = B.fit_genes(*tables(spark, y, x, offset), ["intercept", "group"], tested=["group"], dispersions=how).collect()
-        df[name] = {r["prior_df"] for r in rows}
-        assert len(df[name]) == 1
+    lines = []
+    for k, (name, truth) in enumerate((("same", np.full(80, 0.3)), ("spread", 0.3 * np.exp(rng.normal(0, 1.0, 80))))):
+        counts, design, genes = tables(spark, *simulated(40, means, truth, 9), line=name)
+        lines.append((counts.withColumn("cell", F.col("cell") + 1000 * k), design.withColumn("cell", F.col("cell") + 1000 * k), genes))
+    both = [a.unionByName(b) for a, b in zip(*lines, strict=True)]
+    how = B.Dispersions(length=11, low=-6, high=6, trended=False)
+    rows = B.fit_genes(*both, ["intercept", "group"], tested=["group"], dispersions=how).collect()
+    df = {name: {r["prior_df"] for r in rows if r["cell_line"] == name} for name in ("same", "spread")}
+    assert all(len(v) == 1 for v in df.values()) and len(rows) == 160
     assert min(df["same"]) > 40 > 12 > max(df["spread"]) > 1
 
 
@@ -193,6 +188,23 @@ def test_slides_of_a_line(spark):
     assert got["a"]["beta_slide_s3"] == 0 and got["a"]["p_slide_s3"] == 1 and got["b"]["p_slide_s3"] < 1e-6 and got["b"]["beta_slide_s2"] == 0
 
 
+def test_stand_in_slice(spark):
+    """The registered tests' own steps on two cell lines and a few genes."""
+    from fieldloom.plans import standins as V
+    from fieldloom.plans.cohorts import MIN_SEEN
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    cells = V.cells(spark, d).where("cell_line in ('BUILDING', 'MACHINERY')")
+    counts = V.counts(spark, d).where("gene like 'G10%'")
+    result, skipped = D.two_groups(cells, counts, min_cells=MIN_SEEN)
+    rows = result.collect()
+    assert {r["cell_line"] for r in rows} == {"BUILDING", "MACHINERY"} and not skipped.collect()
+    assert all(0 <= r["pvals"] <= r["pvals_adj"] <= 1 and math.isfinite(r["beta1"]) for r in rows)
+    assert all(abs(r["beta1"] / math.log(2) - r["log2fc"]) < 1.5 for r in rows)  # alike, as offsets aren't weights
+
+
 def test_empty(spark):
     counts, design, genes = (t.limit(0) for t in tables(spark, np.array([[1, 2]]), np.ones((2, 1)), np.zeros(2)))
     assert B.fit_genes(counts, design, genes, ["intercept"], tested=[]).collect() == []
