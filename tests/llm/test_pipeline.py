@@ -77,7 +77,7 @@ def test_language_id_labels_what_stays(spark, empty):
 
 def test_registry():
     names = list(registry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(names)
 
 
