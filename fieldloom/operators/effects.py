@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.operators.order import placed_within, quantiles
-from fieldloom.sessions import cut
+from fieldloom.sessions import cut, owning
 
 EPS = 1e-6
 #: Different p-values that share a window.
@@ -51,6 +51,7 @@ def detected_genes(counts: DataFrame, cells: DataFrame, least: int, group: str |
     return seen.groupBy("cell_line", "gene").agg(F.greatest(*n).alias("_n") if len(n) > 1 else n[0].alias("_n")).where(F.col("_n") >= least).select("cell_line", "gene")
 
 
+@owning
 def size_factors(cells: DataFrame, counts: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     """``cells`` (cell, cell_line) with total and size_factor: the total by the median of the line's totals above 0.
 
@@ -75,6 +76,7 @@ def group_means(counts: DataFrame, factors: DataFrame, genes: DataFrame, eps: fl
     return means.withColumn("log2fc", log2_ratio(F.col("mean_1"), F.col("mean_0"), eps)).drop("_sf0", "_sf1")
 
 
+@owning
 def adjusted(df: DataFrame, by: list[str], p: str = "p", out: str = "p_adj", width: int = P_VALUES_A_BIN) -> DataFrame:
     """``df`` with Benjamini-Hochberg adjusted p-values in each group; nulls stay null and don't count.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldloom.operators.order import placed_within
-from fieldloom.sessions import cut, discard
+from fieldloom.sessions import cut, discard, owning
 
 #: log2 of the dispersion over that of the grid's middle.
 GRID_RANGE = (-10.0, 10.0)
@@ -158,12 +158,12 @@ class Unit:
 
     def evaluate(self, column: np.ndarray, beta: np.ndarray, dispersion: np.ndarray) -> np.ndarray:
         """A row a problem: moving part of the log-likelihood, score, upper triangles of the expected and of the observed
-        information, and how many counts of 0 have a mean below 0.0001."""
+        information."""
         p = self.x.shape[1]
         upper = np.triu_indices(p)
         squares = self.x[:, upper[0]] * self.x[:, upper[1]]
         n = len(upper[0])
-        out = np.empty((len(column), 2 + p + 2 * n))
+        out = np.empty((len(column), 1 + p + 2 * n))
         for low in range(0, len(column), TOGETHER):
             own = slice(low, low + TOGETHER)
             y, d = self.y[:, column[own]], dispersion[own]
@@ -174,8 +174,21 @@ class Unit:
             out[own, 0] = (y * (eta + np.log(d) - rest)).sum(axis=0) - rest.sum(axis=0) / d
             out[own, 1 : 1 + p] = ((y - mu) / v).T @ self.x
             out[own, 1 + p : 1 + p + n] = (mu / v).T @ squares
-            out[own, 1 + p + n : -1] = ((1 + d * y) * mu / (v * v)).T @ squares
-            out[own, -1] = ((y == 0) & (mu < 1e-4)).sum(axis=0)
+            out[own, 1 + p + n :] = ((1 + d * y) * mu / (v * v)).T @ squares
+        return out
+
+    def spread(self, column: np.ndarray, beta: np.ndarray, dispersion: np.ndarray) -> np.ndarray:
+        """A row a problem: moving part of the log-likelihood where every mean is the count itself, and the upper triangle
+        of the design's squares over the cells that tell something: not those with a count of 0 and a mean below 0.0001."""
+        upper = np.triu_indices(self.x.shape[1])
+        squares = self.x[:, upper[0]] * self.x[:, upper[1]]
+        out = np.empty((len(column), 1 + len(upper[0])))
+        for low in range(0, len(column), TOGETHER):
+            own = slice(low, low + TOGETHER)
+            y = self.y[:, column[own]]
+            telling = (y > 0) | (np.clip(self.x @ beta[own].T + self.offset[:, None], -30, 30) >= math.log(1e-4))
+            out[own, 0] = saturated(y, dispersion[own])
+            out[own, 1:] = telling.T.astype(np.float64) @ squares
         return out
 
 
@@ -244,20 +257,20 @@ def solved(information: np.ndarray, score: np.ndarray, free: np.ndarray) -> np.n
     return np.linalg.solve(held, np.where(free, score, 0.0)[:, :, None])[:, :, 0]
 
 
-STATE = "cell_line string, g long, k int, d double, free int, beta array<double>, step array<double>, size double, best double, information array<double>, zeros double, done boolean"
+STATE = "cell_line string, g long, k int, d double, free int, beta array<double>, step array<double>, size double, best double, information array<double>, done boolean"
 
 
 def fit(units: DataFrame, problems: DataFrame, width: int, block: int = BLOCK_GENES, rounds: int = MAX_ROUNDS) -> DataFrame:
     """Coefficients of every problem by Newton's steps, halved while the log-likelihood falls; it is concave.
 
     ``problems``: cell_line, g, k (its number within the gene), d, free (bit b: coefficient b is fitted, else kept),
-    beta to start from. The result (written) adds best, the moving part of the log-likelihood, information and zeros.
+    beta to start from. The result (written) adds best, the moving part of the log-likelihood, and information.
     """
     spark = units.sparkSession
     upper = np.triu_indices(width)
-    names = ["ll", *(f"s{b}" for b in range(width)), *(f"i{b}" for b in range(len(upper[0]))), *(f"o{b}" for b in range(len(upper[0]))), "zeros"]
+    names = ["ll", *(f"s{b}" for b in range(width)), *(f"i{b}" for b in range(len(upper[0]))), *(f"o{b}" for b in range(len(upper[0])))]
     nothing = F.array_repeat(F.lit(0.0), width)
-    begun = problems.select("cell_line", "g", "k", "d", "free", "beta", nothing.alias("step"), F.lit(1.0).alias("size"), F.lit(-math.inf).alias("best"), F.array_repeat(F.lit(0.0), width * width).alias("information"), F.lit(0.0).alias("zeros"), F.lit(False).alias("done"))
+    begun = problems.select("cell_line", "g", "k", "d", "free", "beta", nothing.alias("step"), F.lit(1.0).alias("size"), F.lit(-math.inf).alias("best"), F.array_repeat(F.lit(0.0), width * width).alias("information"), F.lit(False).alias("done"))
 
     def written(state: DataFrame) -> tuple[DataFrame, str, int]:
         seen = Observation()
@@ -268,7 +281,7 @@ def fit(units: DataFrame, problems: DataFrame, width: int, block: int = BLOCK_GE
         for batch in batches:
             column = {n: batch.column(n) for n in batch.schema.names}
             beta, step, information = (doubles(column[c], w) for c, w in (("beta", width), ("step", width), ("information", width * width)))
-            size, best, zeros = (column[c].to_numpy() for c in ("size", "best", "zeros"))
+            size, best = (column[c].to_numpy() for c in ("size", "best"))
             done = column["done"].to_numpy(zero_copy_only=False)
             free = (column["free"].to_numpy()[:, None] >> np.arange(width)) & 1 == 1
             reached = column["ll"].to_numpy(zero_copy_only=False)
@@ -287,7 +300,6 @@ def fit(units: DataFrame, problems: DataFrame, width: int, block: int = BLOCK_GE
             beta = np.where(better[:, None], to, beta)
             best = np.where(better, reached, best)
             information = np.where(better[:, None], full.reshape(len(to), -1), information)
-            zeros = np.where(better, column["zeros_"].to_numpy(zero_copy_only=False), zeros)
             near = (np.abs(size[:, None] * step).max(axis=1, initial=0.0) < 1e-4) | (gain < 1e-10 + slack)  # the error left is of the square
             done = done | (stands & ~better) | (better & near & (gain < 1e-8 + 10 * slack))
             go = better & ~done
@@ -296,8 +308,8 @@ def fit(units: DataFrame, problems: DataFrame, width: int, block: int = BLOCK_GE
                 step[go] = solved(seen[go], score[go], free[go])
             size = np.where(go, 1.0, np.where(done, size, size / 2))
             yield pa.record_batch(
-                [*(column[c] for c in ("cell_line", "g", "k", "d", "free")), as_lists(beta), as_lists(step), pa.array(size), pa.array(best), as_lists(information), pa.array(zeros), pa.array(done)],
-                names=["cell_line", "g", "k", "d", "free", "beta", "step", "size", "best", "information", "zeros", "done"],
+                [*(column[c] for c in ("cell_line", "g", "k", "d", "free")), as_lists(beta), as_lists(step), pa.array(size), pa.array(best), as_lists(information), pa.array(done)],
+                names=["cell_line", "g", "k", "d", "free", "beta", "step", "size", "best", "information", "done"],
             )
 
     state, path, many = written(begun)
@@ -305,7 +317,7 @@ def fit(units: DataFrame, problems: DataFrame, width: int, block: int = BLOCK_GE
     while many and len(finished) < rounds:
         open_ones = state.where(~F.col("done"))
         asked = open_ones.withColumn("beta", F.zip_with("beta", F.transform("step", lambda s: s * F.col("size")), lambda b, s: b + s))
-        sums = summed(units, asked, names, lambda unit, q: unit.evaluate(q["g"] % block, q["beta"], q["d"]), width, block, many).withColumnRenamed("zeros", "zeros_")
+        sums = summed(units, asked, names, lambda unit, q: unit.evaluate(q["g"] % block, q["beta"], q["d"]), width, block, many)
         held = F.broadcast(open_ones) if many <= BROADCAST_PROBLEMS else open_ones
         state, path, many = written(sums.join(held, ["cell_line", "g", "k"]).mapInArrow(advance, STATE))
         rounds_written.append(path)
@@ -361,6 +373,7 @@ def span_of(n: Column) -> Column:
     return F.ceil(F.when(n <= 50, n).otherwise(n * (0.25 + 0.75 * F.sqrt(F.lit(50.0) / n)))).cast("int")
 
 
+@owning
 def trend_curves(curves: DataFrame, length: int, genes: int = TREND_GENES) -> DataFrame:
     """(cell_line, g, common): for each gene the mean curve of the genes of like abundance, nearest ones weighing most
     (tricube over as many as :func:`span_of` says). ``curves``: cell_line, g, abundance, curve.
@@ -392,6 +405,7 @@ def trend_curves(curves: DataFrame, length: int, genes: int = TREND_GENES) -> Da
     return spread.select("cell_line", "g", "abundance", "curve", "_r", "_span", "_range").groupBy("cell_line", "_range").applyInArrow(smooth, "cell_line string, g long, common array<double>")
 
 
+@owning
 def prior_weights(genes: DataFrame) -> DataFrame:
     """(cell_line, prior_df): degrees of freedom of the common curve, infinite where the genes don't differ more than by
     chance. ``genes``: cell_line, abundance, deviance, df (residual).
@@ -437,6 +451,7 @@ def prior_weights(genes: DataFrame) -> DataFrame:
     return left_over.mapInArrow(weigh, "cell_line string, prior_df double")
 
 
+@owning
 def fit_genes(counts: DataFrame, design: DataFrame, genes: DataFrame, names: Sequence[str], *, tested: Sequence[str], dispersions: Dispersions | None = None, chunk: int = CHUNK_CELLS, block: int = BLOCK_GENES) -> DataFrame:
     """Per cell line and gene: dispersion, common_dispersion (at the line's or the trend's curve), prior_df, beta_<name>
     for each column, and p_<name> for each tested one.
@@ -478,9 +493,11 @@ def fit_genes(counts: DataFrame, design: DataFrame, genes: DataFrame, names: Seq
     warm = shared.select("cell_line", "g", "d", near.alias("k")).join(profile.select("cell_line", "g", "k", "beta"), ["cell_line", "g", "k"])
     if how.prior_df is None:
         at_common = fit(units, warm.select("cell_line", "g", F.lit(0).alias("k"), "d", F.lit(every).alias("free"), "beta"), width, block)
-        full = summed(units, at_common.select("cell_line", "g", "k", "d", "beta"), ["best_possible"], lambda unit, q: saturated(unit.y[:, q["g"] % block], q["d"])[:, None], width, block)
-        joined = at_common.join(full, ["cell_line", "g", "k"]).join(sums.select("cell_line", "g", "abundance", "cells"), ["cell_line", "g"])
-        known = joined.select("cell_line", "g", "abundance", F.greatest(2 * (F.col("best_possible") - F.col("best")), F.lit(0.0)).alias("deviance"), F.greatest(F.col("cells") - F.col("zeros") - width, F.lit(0.0)).alias("df"))
+        triangle = [f"x{b}" for b in range(width * (width + 1) // 2)]
+        full = summed(units, at_common.select("cell_line", "g", "k", "d", "beta"), ["best_possible", *triangle], lambda unit, q: unit.spread(q["g"] % block, q["beta"], q["d"]), width, block)
+        full = residual_freedom(full, triangle, width)
+        joined = at_common.join(full, ["cell_line", "g", "k"]).join(sums.select("cell_line", "g", "abundance"), ["cell_line", "g"])
+        known = joined.select("cell_line", "g", "abundance", F.greatest(2 * (F.col("best_possible") - F.col("best")), F.lit(0.0)).alias("deviance"), "df")
         known, _ = cut(known, "deviances")
         weights = prior_weights(known)
     else:
@@ -520,6 +537,27 @@ def fit_genes(counts: DataFrame, design: DataFrame, genes: DataFrame, names: Seq
     return gains.mapInArrow(chances, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in gains.schema.fields))
 
 
+def residual_freedom(full: DataFrame, triangle: Sequence[str], width: int) -> DataFrame:
+    """(cell_line, g, k, best_possible, df): the cells that tell something, less the rank of the design over them.
+
+    A level of which a gene has no count fits its cells at 0: they and its column tell nothing. ``triangle``: the
+    design's squares summed over the other cells, the first being that of the intercept, their number.
+    """
+    upper = np.triu_indices(width)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            squares = np.zeros((batch.num_rows, width, width))
+            for name, i, j in zip(triangle, *upper, strict=True):
+                squares[:, i, j] = squares[:, j, i] = batch.column(name).to_numpy()
+            scale = np.sqrt(np.maximum(np.einsum("kii->ki", squares), 1e-300))
+            rank = np.linalg.matrix_rank(squares / (scale[:, :, None] * scale[:, None, :]), tol=1e-9, hermitian=True)
+            df = np.maximum(squares[:, 0, 0] - rank, 0.0)
+            yield pa.record_batch([*(batch.column(c) for c in ("cell_line", "g", "k", "best_possible")), pa.array(df)], names=["cell_line", "g", "k", "best_possible", "df"])
+
+    return full.mapInArrow(ranked, "cell_line string, g long, k int, best_possible double, df double")
+
+
 def saturated(y: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Moving part of each column's log-likelihood where every mean is the count itself."""
     out = np.zeros(y.shape[1])

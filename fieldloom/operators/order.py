@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.sessions import cut
+from fieldloom.sessions import cut, owning
 
 
 def placed(df: DataFrame, *order: Column, name: str = "place", start: int = 1) -> DataFrame:
@@ -42,6 +42,7 @@ def placed_within(df: DataFrame, keys: Sequence[str], *order: Column, name: str
     return joined.select(*kept, (F.col("_before") + F.col("_inner") + start).cast("long").alias(name))
 
 
+@owning
 def quantiles(df: DataFrame, keys: Sequence[str], value: Column, shares: Mapping[str, float]) -> DataFrame:
     """Per key the exact quantiles of ``value`` (nulls don't count), by name: interpolated between the two values next to
     the place, as ``percentile`` does. Keys that are null or have no value are left out.

@@ -11,7 +11,7 @@ from fieldloom.functions import geometry as G
 from fieldloom.functions.kernels import mean_width, width_segments
 from fieldloom.operators.assign import overlapping_pairs, with_shared_area
 from fieldloom.operators.order import placed_within
-from fieldloom.sessions import cut
+from fieldloom.sessions import cut, owning
 
 
 def morphology(objects: DataFrame) -> DataFrame:
@@ -105,6 +105,7 @@ def largest_per_file(objects: DataFrame, file: str = "image_name") -> DataFrame:
     return best.select(file, (-F.col("_b.i")).alias("object_idx"))
 
 
+@owning
 def removals(objects: DataFrame, *, threshold: float = 0.9, many: int = 3, file: str = "image_name") -> DataFrame:
     """(file, object_idx) of outlines that go, in one pass.
 

@@ -13,7 +13,7 @@ from fieldloom.operators import matching as N
 from fieldloom.operators import measure as M
 from fieldloom.plans import differential as D
 from fieldloom.plans import standins as V
-from fieldloom.sessions import cut
+from fieldloom.sessions import cut, owning
 from fieldloom.sources import files as S
 
 #: Thresholds scaled to the stand-in tables, so that both sides of each filter hold something.
@@ -229,6 +229,7 @@ def size_factors(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH l AS (SELECT cell_line, sum(size_factor) FILTER (WHERE "group" = 0) AS s0, sum(size_factor) FILTER (WHERE "group" = 1) AS s1 FROM v_factor GROUP BY cell_line),
 s AS (SELECT f.cell_line, k.gene, CAST(sum(CASE WHEN f."group" = 0 THEN k.n ELSE 0 END) AS BIGINT) AS sum_0, CAST(sum(CASE WHEN f."group" = 1 THEN k.n ELSE 0 END) AS BIGINT) AS sum_1 FROM v_counts k JOIN v_factor f ON k.cell = f.cell JOIN v_detected d ON d.cell_line = f.cell_line AND d.gene = k.gene GROUP BY ALL)
 SELECT s.cell_line, gene, sum_0, sum_1, round(sum_0 / s0, 6) AS mean_0, round(sum_1 / s1, 6) AS mean_1, round(log2((sum_1 / s1 + 1e-6) / (sum_0 / s0 + 1e-6)), 6) AS log2fc FROM s JOIN l ON s.cell_line = l.cell_line""")
+@owning
 def de_means_lfc(spark: SparkSession, d: str) -> DataFrame:
     factors, _ = cut(_factors(spark, d), "factors")
     return rounded(E.group_means(V.counts(spark, d), factors, _detected(spark, d)), "mean_0", "mean_1", "log2fc").select("cell_line", "gene", "sum_0", "sum_1", "mean_0", "mean_1", "log2fc")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import effects as E
 from fieldloom.operators.negbin import Dispersions, design_table, fit_genes
-from fieldloom.sessions import cut
+from fieldloom.sessions import cut, owning
 
 
 #: Nuclei: one common curve for a line, on a short grid. Tubes and trends: the defaults, a curve that follows abundance.
@@ -15,6 +15,7 @@ NUCLEI = Dispersions(length=11, low=-6.0, high=6.0, trended=False)
 TUBES = Dispersions()
 
 
+@owning
 def two_groups(cells: DataFrame, counts: DataFrame, *, min_cells: int = 100, dispersions: Dispersions = NUCLEI) -> tuple[DataFrame, DataFrame]:
     """Group 1 against 0 by cell line: the result and the skipped lines with their reasons.
 
@@ -35,6 +36,7 @@ def two_groups(cells: DataFrame, counts: DataFrame, *, min_cells: int = 100, dis
     return flagged.select("cell_line", F.col("gene").alias("names"), F.col("beta_intercept").alias("beta0"), F.col("beta_group").alias("beta1"), "log2fc", "mean_1", "mean_0", F.col("p").alias("pvals"), F.col("p_adj").alias("pvals_adj"), "significant", "up", "down"), skipped
 
 
+@owning
 def trend(tubes: DataFrame, counts: DataFrame, *, min_tubes: int = 50, min_area: float | None = None, slide: str | None = "slide", dispersions: Dispersions = TUBES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per cell line and gene: effects of the number of nuclei (per deviation) and of their abnormal share.
 

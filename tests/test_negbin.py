@@ -213,3 +213,19 @@ def test_empty(spark):
 def test_conditions_differ_by_test():
     assert (D.NUCLEI.length, D.NUCLEI.low, D.NUCLEI.high, D.NUCLEI.trended, D.NUCLEI.prior_df) == (11, -6.0, 6.0, False, None)
     assert (D.TUBES.length, D.TUBES.low, D.TUBES.high, D.TUBES.trended, D.TUBES.prior_df) == (21, -10.0, 10.0, True, None)
+
+
+def test_residual_freedom_by_rank(spark):
+    # twelve cells on three slides; gene 0 is seen on all, gene 1 not on the third, gene 2 on the first only, gene 3 nowhere
+    slide = np.arange(12) // 4
+    x = np.column_stack([np.ones(12), slide == 1, slide == 2]).astype(float)
+    y = np.zeros((12, 4))
+    y[:, 0], y[:8, 1], y[:4, 2] = 3, 2, 5
+    beta = np.array([[1.0, 0.0, 0.0], [0.7, 0.0, -25.0], [1.6, -25.0, -25.0], [-25.0, 0.0, 0.0]])
+    found = B.Unit(y, x, np.zeros(12)).spread(np.arange(4), beta, np.full(4, 0.1))
+    assert np.allclose(found[:, 0], B.saturated(y, np.full(4, 0.1)))
+    names = [f"x{b}" for b in range(6)]
+    rows = [("L", g, 0, *(float(v) for v in found[g])) for g in range(4)]
+    full = spark.createDataFrame(rows, "cell_line string, g long, k int, best_possible double, " + ", ".join(f"{n} double" for n in names))
+    got = {r["g"]: r["df"] for r in B.residual_freedom(full, names, 3).collect()}
+    assert got == {0: 12 - 3, 1: 8 - 2, 2: 4 - 1, 3: 0}
