@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.llm.vectors import equal_classes, exact_cosines, matrix, unit, usable
-from fieldloom.sessions import cut
+from fieldloom.sessions import cut, owning
 
 NEAREST = 5
 QUERY_EVERY = 50
@@ -196,6 +196,7 @@ def form_for(index: DataFrame, questions: DataFrame, n: int, dim: int, tables: i
     return every[-1]
 
 
+@owning
 def nearest(df: DataFrame, query: Column, *, key: str = "vec_id", column: str = "embedding", k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each row of ``df`` where ``query`` holds, not itself.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
 from fieldloom.llm.vectors import equal_classes, exact_cosines, matrix, unit, usable
-from fieldloom.sessions import cut
+from fieldloom.sessions import cut, owning
 
 COSINE = 0.9
 #: Cells are fitted on so many distinct vectors at most.
@@ -121,6 +121,7 @@ def linked(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, c
     return out
 
 
+@owning
 def near_vectors(df: DataFrame, *, key: str = "vec_id", column: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``df``, by links between vectors of at least ``cosine``.
 
@@ -199,3 +200,24 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``embeddings``: vec_id, n_links, component_id, kept."""
     found = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+OP3_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL
+), known AS (
+  SELECT * FROM vectors WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM known a JOIN known b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reached AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), least AS (
+  SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+), counted AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN counted USING (vec_id) LEFT JOIN least USING (vec_id)
+"""

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from fieldloom.llm.joins import small_side
 from fieldloom.llm.names import fresh
 from fieldloom.llm.ranking import buckets_for
-from fieldloom.sessions import cut
+from fieldloom.sessions import cut, owning
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -45,6 +45,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return per.select("source", "source_size", "target", F.least(F.floor(F.col("target") + 0.5).cast("long"), "cap").alias("quota"))
 
 
+@owning
 def mix(docs: DataFrame, *, buckets: int | None = None, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, source, more) with size, source_size, target, repeats, part and taken.
 
@@ -90,7 +91,7 @@ def mix(docs: DataFrame, *, buckets: int | None = None, weights: tuple[int, ...]
     repeats = F.col(own["whole"]) + F.coalesce(full, F.lit(False)).cast("long")
     part = F.when(full, F.lit(0).cast("long")).otherwise(part)
     added = {"size": size, "source_size": F.col(own["source_size"]), "target": F.col(own["target"]), "repeats": repeats, "part": part, "taken": repeats * size + part}
-    return placed.select(*(F.col(c) for c in docs.columns if c not in added), *(c.alias(name) for name, c in added.items()))
+    return placed.select(*(F.col(c) for c in docs.columns if c.lower() not in added), *(c.alias(name) for name, c in added.items()))
 
 
 def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:

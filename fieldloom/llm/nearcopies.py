@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm import simhash
 from fieldloom.llm.components import components
 from fieldloom.llm.joins import small_side
-from fieldloom.sessions import cut, discard
+from fieldloom.sessions import cut, discard, owning
 
 SHINGLE = 5
 #: Texts are near copies from this share of common shingles on (of all that either has), as a fraction.
@@ -171,6 +171,7 @@ def edges(entries: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
     return found
 
 
+@owning
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable by links, itself included) of each row of ``docs``.
 

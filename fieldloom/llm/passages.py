@@ -244,3 +244,27 @@ def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``: doc_id, n_words, n_removed, kept_sha256."""
     found = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256"))
+
+
+#: Windows are compared by a digest of their words; a word goes if one that starts up to 49 words before it goes.
+OP2_SQL = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place, len(words) AS n FROM split
+), windows AS (
+  SELECT doc_id, place, n, word,
+         CASE WHEN place + 50 <= n THEN md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS digest
+  FROM placed
+), least AS (
+  SELECT digest, min(doc_id) AS least FROM windows WHERE digest IS NOT NULL GROUP BY digest
+), judged AS (
+  SELECT w.doc_id, w.place, w.word,
+         coalesce(max(CASE WHEN w.doc_id > l.least THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY w.place ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM windows w LEFT JOIN least l USING (digest)
+), told AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY place) FILTER (WHERE gone = 0), '') AS kept FROM judged GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN told USING (doc_id)
+"""

@@ -41,4 +41,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.OP1_SQL, "op6_mixing": mixing.OP6_SQL}
+    return {"op1_line_dedup": lines.OP1_SQL, "op2_passages": passages.OP2_SQL, "op3_embeddings": embeddings.OP3_SQL, "op6_mixing": mixing.OP6_SQL}

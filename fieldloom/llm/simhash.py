@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
-from fieldloom.sessions import cut, discard
+from fieldloom.sessions import cut, discard, owning
 
 BITS = 64
 SHINGLE = 3
@@ -219,13 +219,14 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return half_way_links(found.select("fp", "id").distinct(), distance)
 
 
+@owning
 def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable by links, itself included) of each row of ``docs``.
 
     Documents link if their fingerprints differ in at most ``distance`` bits. A null or wordless text has fingerprint
     zero and links like any other. Rows with one doc_id each give a row. A null doc_id gives a row too, and never is a
     component_id unless no other doc_id has its fingerprint. No rows give none. Extra columns are not read. Equal
-    fingerprints are one node; only distinct ones are searched.
+    fingerprints are one node; only distinct ones are searched. doc_id is a whole number, and component_id a long.
     """
     prints, _ = cut(fingerprints(docs, words=words, seed=seed), "fingerprints")
     nodes, nodes_path = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")

@@ -1,0 +1,60 @@
+"""SQL of operators against their results where copies and links are many, and the tables that operators leave."""
+
+from __future__ import annotations
+
+import os
+
+import duckdb
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from fieldloom import sessions
+from fieldloom.llm import ann, embeddings, mixing, nearcopies, passages, simhash
+
+
+def vectors(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 16))
+    rows = [(7 * k + 1, [float(np.float32(x)) for x in base[k % 30] + 0.1 * (k // 30) * rng.normal(size=16)]) for k in range(120)]
+    rows += [(1000 + k, rows[3][1]) for k in range(9)]
+    rows += [(2001, None), (2003, [0.0] * 16), (2005, [1.0, None] + [0.0] * 14), (2007, [float("nan")] + [1.0] * 15), (2009, [float("inf")] + [1.0] * 15), (2011, [])]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+
+
+def test_sql_of_embeddings(spark, tmp_path):
+    _, df = vectors(spark)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = [tuple(r) for r in embeddings.op3_embeddings(spark, str(tmp_path)).orderBy("vec_id").select("vec_id", "n_links", "component_id", "kept").collect()]
+    want = con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({embeddings.OP3_SQL}) ORDER BY vec_id").fetchall()
+    assert got == want and sum(r[1] for r in got) > 150 and sum(r[2] != r[0] for r in got) > 40
+
+
+def test_sql_of_passages(spark, docs, rows, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    got = [tuple(r) for r in passages.op2_passages(spark, str(tmp_path)).select(names).orderBy("doc_id").collect()]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({passages.OP2_SQL}) ORDER BY doc_id").fetchall()
+    assert got == want and len(got) == len(rows) and sum(r[2] for r in got) > 300
+    assert len(pd.unique(pd.Series([r[3] for r in got]))) > 20
+
+
+def test_only_tables_that_are_read_stay(spark, docs):
+    folder = sessions.shared_dir(spark).removeprefix("file:")
+    _, df = vectors(spark)
+    for operator, most in (
+        (lambda: embeddings.near_vectors(df), 3),
+        (lambda: ann.nearest(df, F.col("vec_id") % 7 == 1), 6),
+        (lambda: simhash.near_duplicates(docs), 2),
+        (lambda: nearcopies.near_copies(docs), 2),
+        (lambda: mixing.mix(docs), 1),
+    ):
+        before = set(os.listdir(folder))
+        result = operator()
+        left = [t for t in set(os.listdir(folder)) - before if t.startswith("fieldloom-")]
+        assert len(left) <= most and all(t in sessions.tables_read(result) for t in left), left
+        assert result.count() > 0

@@ -276,7 +276,7 @@ def test_shards_edges(spark):
 def test_clashing_names(spark, docs):
     """Columns named like working or added columns: no crash, none of the caller's values changed, none doubled."""
     taken = ["lost", "rank", "key", "order", "weight", "bucket", "inner", "offset", "tie", "out", "edge", "piece", "whole", "target", "cut", "words", "fp", "n"]
-    odd = docs.where("doc_id <= 34").select("doc_id", "text", "source", *(F.concat(F.lit(k), F.col("doc_id")).alias(f"_{c}") for c in taken for k in [c]), F.lit("x").alias("slot"), F.lit("y").alias("size"), F.lit("z").alias("Shard"))
+    odd = docs.where("doc_id <= 34").select("doc_id", "text", "source", *(F.concat(F.lit(k), F.col("doc_id")).alias(f"_{c}") for c in taken for k in [c]), F.lit("x").alias("slot"), F.lit("y").alias("Size"), F.lit("t").alias("TAKEN"), F.lit("z").alias("Shard"))
 
     def check(out, *added, n=12):
         assert len({c.lower() for c in out.columns}) == len(out.columns) and set(added) <= set(out.columns)
