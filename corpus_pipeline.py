@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import langid, lines, mixing, nearcopies, packing
 from fieldloom.llm.joins import small_side
-from fieldloom.sessions import cut, discard, shared_dir, ship
+from fieldloom.sessions import cut, discard, owning, shared_dir, ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The expression has no equal in SQL: a fitted classifier, fingerprints and a tokenizer.
@@ -76,15 +76,22 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ]
 
 
+@owning
+def written(spark: SparkSession, stage: Callable[[SparkSession, DataFrame, str], DataFrame], docs: DataFrame, sf_dir: str, path: str) -> DataFrame:
+    """A stage's result, written and read again; the working tables of the stage go."""
+    stage(spark, docs, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared folder and read again; the one before goes then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        path = f"{base}/{k}-{name}"
+        docs = written(spark, stage, docs, sf_dir, path)
         if before:
             discard(spark, before)
-        before = f"{base}/{k}-{name}"
+        before = path
     return docs
