@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations, islice, repeat
 
@@ -106,29 +105,37 @@ def mask_of(bits: Iterable[int]) -> int:
     return int(np.array([sum(1 << b for b in bits)], dtype="<u8").view("<i8")[0])
 
 
-def candidate_estimates(same: dict[int, float], n: int, both: np.ndarray, groups: list[list[int]], distance: int) -> np.ndarray:
-    """Estimated candidate pairs for each group and threshold from -1 (unused: none) to ``distance``.
+def row_estimates(same: dict[int, tuple[float, int]], n: int, both: np.ndarray, groups: list[list[int]], distance: int) -> np.ndarray:
+    """Estimated rows made for each group and threshold from -1 (unused: none) to ``distance``.
 
-    ``same`` has the pairs that agree in a whole group, counted over all fingerprints; wider thresholds grow from it as
-    they would if bits agreed independently with the chance their share of ones gives. Probes count as candidates.
+    These are the probes, as many as if bits took their rarer values independently; those that share a key; and, for
+    each of the latter, distance + 1 in the second pigeonhole. Pairs aren't made, so a crowd counts by its rows. ``same``
+    has the pairs and the rows that agree in a whole group, counted over all fingerprints; pairs of wider thresholds
+    grow from it as they would if bits agreed independently with the chance their share of ones gives, and bound the
+    rows that share a key.
     """
     p = np.diag(both) / max(1, n)
+    rare = np.minimum(p, 1 - p)
     agree = p * p + (1 - p) * (1 - p)
     out = np.zeros((len(groups), distance + 2))
     for g, bits in enumerate(groups):
         within = np.zeros(distance + 1)  # chance of exactly t differing bits
         within[0] = 1.0
+        probes = within.copy()  # ways to choose exactly t bits of rarer values
         for b in bits:
+            probes[1:] += probes[:-1] * rare[b]
             within[1:] = within[1:] * agree[b] + within[:-1] * (1 - agree[b])
             within[0] *= agree[b]
         for t in range(distance + 1):
-            probes = sum(math.comb(len(bits), k) for k in range(t + 1))
-            out[g, t + 1] = same.get(g, 0.0) * within[: t + 1].sum() / max(within[0], 1e-300) + n * probes
+            pairs, rows = same.get(g, (0.0, 0))
+            made = n * probes[: t + 1].sum()
+            shared = min(2 * pairs * within[: t + 1].sum() / max(within[0], 1e-300), made) if t else rows
+            out[g, t + 1] = made + (distance + 2) * shared
     return out
 
 
 def allocate(estimates: np.ndarray, distance: int) -> tuple[float, list[int]]:
-    """A threshold per group, -1 for an unused one, of the least estimated candidates in sum; that sum goes before.
+    """A threshold per group, -1 for an unused one, of the least ``estimates`` in sum; that sum goes before.
 
     With thresholds t_i that sum up to distance - groups + 1, two fingerprints at most ``distance`` apart differ in at
     most t_i bits in some group i: if all differed in t_i + 1 or more, they would differ in distance + 1 or more.
@@ -146,47 +153,63 @@ def allocate(estimates: np.ndarray, distance: int) -> tuple[float, list[int]]:
     return best[need]
 
 
-def shared_pairs(fps: DataFrame, groups: list[list[int]]) -> dict[int, float]:
-    """For each group, the pairs of fingerprints that agree in all of its bits; one pass, sums per key."""
+def shared_whole(fps: DataFrame, groups: list[list[int]]) -> dict[int, tuple[float, int]]:
+    """For each group, the pairs of fingerprints that agree in all of its bits, and the fingerprints in such pairs; one
+    pass, sums per key. Groups without any are left out."""
     keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(mask_of(bits))) for bits in groups))).alias("g", "key")
     per = fps.select(keys).groupBy("g", "key").agg(F.count("*").alias("n"))
-    pairs = per.groupBy("g").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs"))
-    return {r["g"]: r["pairs"] for r in pairs.collect()}
+    found = per.where(F.col("n") > 1).groupBy("g").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows"))
+    return {r["g"]: (r["pairs"], r["rows"]) for r in found.collect()}
 
 
 def search_plan(fps: DataFrame, distance: int) -> tuple[list[tuple[list[int], int]], int, np.ndarray]:
-    """The groups to probe with their thresholds, of the least estimated candidates over all numbers of groups from 2
+    """The groups to probe with their thresholds, of the least estimated rows over all numbers of groups from 2
     (or 1, for distance 0) to distance + 1; so groups get wider as fingerprints get more. Also the bit statistics."""
     n, both = bit_statistics(fps)
     options = [correlated_groups(n, both, m) for m in range(min(2, distance + 1), distance + 2)]
-    same = shared_pairs(fps, [bits for groups in options for bits in groups])
+    same = shared_whole(fps, [bits for groups in options for bits in groups])
     plans, low = [], 0
     for groups in options:
-        own = {g: same.get(low + g, 0.0) for g in range(len(groups))}
+        own = {g: same[low + g] for g in range(len(groups)) if low + g in same}
         low += len(groups)
-        cost, thresholds = allocate(candidate_estimates(own, n, both, groups, distance), distance)
+        cost, thresholds = allocate(row_estimates(own, n, both, groups, distance), distance)
         plans.append((cost, [(bits, t) for bits, t in zip(groups, thresholds, strict=True) if t >= 0]))
     return min(plans, key=lambda x: x[0])[1], n, both
 
 
-def probe_keys(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(fp, id, g, key): each probed group's bits in the fingerprint, and those with up to a threshold flipped."""
-    probes = [(g, mask_of(bits), mask_of(flip)) for g, (bits, most) in enumerate(plan) for k in range(most + 1) for flip in combinations(bits, k)]
-    own = F.array(*(F.struct(F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(m)).bitwiseXOR(F.lit(f)).alias("key")) for g, m, f in probes))
-    return fps.select("fp", "id", F.explode(own).alias("x")).select("fp", "id", "x.g", "x.key")
+def probe_keys(fps: DataFrame, plan: list[tuple[list[int], int]], common: int) -> DataFrame:
+    """(fp, id, g, key, flips, left): each probed group's bits in the fingerprint, and those with up to a threshold
+    flipped, of the bits whose value isn't that in ``common``; so many are flipped, and so many more might be.
+
+    Where two fingerprints differ, just one has the value in ``common``. If each flips those in which it hasn't, both
+    get one key, and their flips together are the bits in which they differ. With the commoner values in ``common``, a
+    fingerprint in a crowd around one value has few bits to flip.
+    """
+    probes = [(g, mask_of(bits), mask_of(flip), k, most - k) for g, (bits, most) in enumerate(plan) for k in range(most + 1) for flip in combinations(bits, k)]
+    rare = F.col("fp").bitwiseXOR(F.lit(common))
+    keys = (
+        F.when(
+            rare.bitwiseAND(F.lit(f)) == f,
+            F.struct(F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(m)).bitwiseXOR(F.lit(f)).alias("key"), F.lit(k).alias("flips"), F.lit(left).alias("left")),
+        )
+        for g, m, f, k, left in probes
+    )
+    return fps.select("fp", "id", F.explode(F.array_compact(F.array(*keys))).alias("x")).select("fp", "id", "x.*")
 
 
 def rest_keys(shared: DataFrame, plan: list[tuple[list[int], int]], n: int, both: np.ndarray, distance: int) -> DataFrame:
-    """(fp, id, g, key, r, rest): a second pigeonhole within each key, over the bits outside its group in distance + 1
+    """``shared`` with r and rest: a second pigeonhole within each key, over the bits outside its group in distance + 1
     groups, so that one of them agrees as a whole."""
     outside = [correlated_groups(n, both, distance + 1, [b for b in range(BITS) if b not in set(bits)]) for bits, _ in plan]
     masks = F.element_at(F.array(*(F.array(*(F.lit(mask_of(b)) for b in own)) for own in outside)), F.col("g") + 1)
-    return shared.select("fp", "id", "g", "key", F.posexplode(masks).alias("r", "mask")).select("fp", "id", "g", "key", "r", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
+    return shared.select("*", F.posexplode(masks).alias("r", "mask")).withColumn("rest", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask")
 
 
 def sharing(keyed: DataFrame, *by: str) -> DataFrame:
-    """The rows whose key ``by`` another row has too."""
-    return keyed.join(keyed.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n"), list(by))
+    """The rows whose key ``by`` another row has too, and whose flips some row of that key leaves room for. A key has
+    one row on the right, so no more rows come out than go in."""
+    per = keyed.groupBy(*by).agg(F.count("*").alias("n"), F.max("left").alias("most")).where(F.col("n") > 1).drop("n")
+    return keyed.join(per, list(by)).where(F.col("flips") <= F.col("most")).drop("most")
 
 
 def half_way_links(fps: DataFrame, distance: int) -> DataFrame:
@@ -214,7 +237,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     pairs of a key's members.
     """
     plan, n, both = search_plan(fps, distance)
-    shared, _ = cut(sharing(probe_keys(fps, plan), "g", "key"), "probes")
+    common = mask_of(np.flatnonzero(2 * np.diag(both) > n).tolist())
+    shared, _ = cut(sharing(probe_keys(fps, plan, common), "g", "key"), "probes")
     found = sharing(rest_keys(shared, plan, n, both, distance), "g", "key", "r", "rest")
     return half_way_links(found.select("fp", "id").distinct(), distance)
 

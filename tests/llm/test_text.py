@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -157,6 +158,47 @@ def test_simhash_crowd(spark):
     assert {v: got.get(v, v) for v in values} == want
 
 
+def crowd_of(spark, crowd: int, others: int):
+    """Values of 14 bits around one centre, and others by chance."""
+    rng = np.random.default_rng(4)
+    centre = int(rng.integers(1 << 62))
+    values = sorted({centre ^ (int(v) << 20) for v in rng.permutation(1 << 14)[:crowd]} | {int(v) for v in rng.integers(0, 1 << 62, others)})
+    return values, spark.createDataFrame([(v, v) for v in values], "fp long, id long")
+
+
+def test_simhash_crowd_rows(spark, monkeypatch):
+    """A crowd takes no more than its rows: it doesn't make all fingerprints probe with flipped bits."""
+    rows = []
+
+    def counting(df, name):
+        rows.append(df.count())
+        raise InterruptedError
+
+    monkeypatch.setattr(simhash, "cut", counting)
+    for crowd in (600, 1200):
+        values, fps = crowd_of(spark, crowd, 3000)
+        with pytest.raises(InterruptedError):
+            simhash.links(fps)
+        assert crowd <= rows[-1] <= 3 * len(values), (crowd, rows)
+    assert rows[1] <= 2.2 * rows[0]
+
+
+@pytest.mark.parametrize("plan", [[(range(0, 32), 1), (range(32, 64), 0)], [(range(0, 21), 2)]])
+def test_simhash_flips(spark, monkeypatch, plan):
+    """Any plan's probes find all links, a fingerprint flips only its rarer values, and flips alone don't share a key."""
+    values, fps = crowd_of(spark, 150, 150)
+    plan = [(list(bits), most) for bits, most in plan]
+    n, both = simhash.bit_statistics(fps)
+    common = simhash.mask_of(np.flatnonzero(2 * np.diag(both) > n).tolist())
+    probes = simhash.probe_keys(fps, plan, common).collect()
+    assert len(probes) < 0.6 * n * sum(math.comb(len(bits), k) for bits, most in plan for k in range(most + 1))
+    kept = simhash.sharing(spark.createDataFrame([(1, 0, 9, 1, 0), (2, 0, 9, 1, 0), (3, 0, 8, 1, 0), (4, 0, 8, 0, 1)], "id long, g int, key long, flips int, left int"), "g", "key")
+    assert sorted(r["id"] for r in kept.collect()) == [3, 4]
+    monkeypatch.setattr(simhash, "search_plan", lambda fps, distance: (plan, n, both))
+    got = {r["node"]: r["component"] for r in components.components(simhash.links(fps)).collect()}
+    assert {v: got.get(v, v) for v in values} == reachable(values, lambda a, b: (a ^ b).bit_count() <= 2)
+
+
 def test_simhash_edges(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (2, None), (7, " ")], "doc_id long, text string")
