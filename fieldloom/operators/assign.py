@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geometry as G
 from fieldloom.functions.kernels import overlap_area
 from fieldloom.operators.order import placed, placed_within
+from fieldloom.sessions import spread
 
 BIN = 64
 RULES = ("greedy", "shared", "null", "random", "last")
@@ -129,6 +130,19 @@ def gene_index(panel: DataFrame, points: DataFrame, objects: DataFrame, keys: Se
     return placed(every, F.col("pos").isNull(), F.col("pos"), F.col("gene"), name="gene_idx", start=0).select("gene", "gene_idx")
 
 
+def measured(objects: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, object_idx, polygon, area, box, is_box) of outlines with points, or ``objects`` if they have these already.
+
+    Outlines are dealt out before they are measured. Each is measured once: no filter on a measure passes the generator.
+    """
+    if "is_box" in objects.columns:
+        return objects
+    own = spread(objects.where(F.size("polygon") > 0).select(*keys, "object_idx", "polygon"))
+    rows = own.select(*keys, "object_idx", "polygon", F.inline(F.array(F.struct(G.area(F.col("polygon")).alias("area"), G.bounding_box(F.col("polygon")).alias("box")))))
+    extent = (F.col("box.x1") - F.col("box.x0")) * (F.col("box.y1") - F.col("box.y0"))
+    return rows.withColumn("is_box", F.abs(F.col("area") - extent) <= 1e-12 * F.col("area"))
+
+
 def overlapping_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str] = FIELD, size: int = 2 * BIN) -> DataFrame:
     """(keys, and of both sides idx, area, is_box and _box; box_area) of objects whose boxes overlap, each pair once.
 
@@ -140,9 +154,8 @@ def overlapping_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str] = FIELD, s
     coarse = 8 * size
 
     def side(objects: DataFrame, name: str, other: str) -> DataFrame:
-        poly = F.col("polygon")
-        area, box = G.area(poly), F.col(f"_{name}box")
-        own = objects.where(F.size("polygon") > 0).select(*keys, F.col("object_idx").alias(f"{name}_idx"), area.alias(f"{name}_area"), (F.abs(area - G.box_area(poly)) <= 1e-12 * area).alias(f"{name}_is_box"), G.bounding_box(poly).alias(f"_{name}box"))
+        box = F.col(f"_{name}box")
+        own = measured(objects, keys).select(*keys, F.col("object_idx").alias(f"{name}_idx"), F.col("area").alias(f"{name}_area"), F.col("is_box").alias(f"{name}_is_box"), F.col("box").alias(f"_{name}box"))
         large = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"]) > 4 * size
         # 0: small with small; the side's own name: large of this side with all of the other
         meets = F.when(large, F.array(F.lit(name), *([F.lit(other)] if name == "b" else []))).otherwise(F.array(F.lit("0"), F.lit(other)))
@@ -168,8 +181,7 @@ def with_shared_area(pairs: DataFrame, a: DataFrame, b: DataFrame, keys: Sequenc
     """
 
     def fetched(rows: DataFrame, objects: DataFrame, name: str) -> DataFrame:
-        area = G.area(F.col("polygon"))
-        curved = objects.where(F.abs(area - G.box_area(F.col("polygon"))) > 1e-12 * area)
+        curved = measured(objects, keys).where("not is_box")
         return rows.join(curved.select(*keys, F.col("object_idx").alias(f"{name}_idx"), F.col("polygon").alias(f"_{name}poly")), [*keys, f"{name}_idx"], "left")
 
     def outline(name: str) -> Column:
@@ -182,14 +194,29 @@ def with_shared_area(pairs: DataFrame, a: DataFrame, b: DataFrame, keys: Sequenc
     return whole.withColumn("shared", area).drop("_apoly", "_bpoly")
 
 
+def shared_pairs(a: DataFrame, b: DataFrame, likely: Column, keys: Sequence[str] = FIELD) -> DataFrame:
+    """The ``likely`` of :func:`overlapping_pairs` with ``shared``. Pairs of two boxes, which are all they need, pass no
+    further join; the others are few or none where most outlines are boxes."""
+    a, b = measured(a, keys), measured(b, keys)
+    plain = overlapping_pairs(a.where("is_box"), b.where("is_box"), keys).where(likely).withColumn("shared", F.col("box_area"))
+    rest = overlapping_pairs(a.where("not is_box"), b, keys).unionByName(overlapping_pairs(a.where("is_box"), b.where("not is_box"), keys)).where(likely)
+    return plain.unionByName(with_shared_area(rest, a, b, keys))
+
+
+def drawn_once(objects: DataFrame, keys: Sequence[str] = FIELD) -> DataFrame:
+    """(keys, polygon, object_idx): outlines of the same points within ``keys`` once, with the lowest index."""
+    return objects.groupBy(*keys, "polygon").agg(F.min("object_idx").alias("object_idx"))
+
+
 def link_objects(nuclei: DataFrame, myotubes: DataFrame, threshold: float = 0.8, keys: Sequence[str] = FIELD) -> DataFrame:
     """(keys, nuc_idx, myo_idx, overlap_frac): each nucleus with the myotube that covers most of it.
 
     The share of the nucleus' area must exceed the threshold; ties go to the lowest index. Nuclei without area have no
-    link. Outlines are filled even-odd, so that crossed ones have a defined area.
+    link. Outlines are filled even-odd, so that crossed ones have a defined area. Of tubes drawn alike only the lowest
+    index can win, so each outline is compared once, however many tubes have it.
     """
-    pairs = overlapping_pairs(nuclei, myotubes, keys).where((F.col("a_area") > 0) & (F.col("box_area") > (threshold - 1e-9) * F.col("a_area")))
-    shares = with_shared_area(pairs, nuclei, myotubes, keys).withColumn("overlap_frac", F.col("shared") / F.col("a_area")).where(F.col("overlap_frac") > threshold)
+    likely = (F.col("a_area") > 0) & (F.col("box_area") > (threshold - 1e-9) * F.col("a_area"))
+    shares = shared_pairs(nuclei, drawn_once(myotubes, keys), likely, keys).withColumn("overlap_frac", F.col("shared") / F.col("a_area")).where(F.col("overlap_frac") > threshold)
     best = shares.groupBy(*keys, F.col("a_idx").alias("nuc_idx")).agg(F.max(F.struct("overlap_frac", (-F.col("b_idx")).alias("m"))).alias("_best"))
     return best.select(*keys, "nuc_idx", (-F.col("_best.m")).alias("myo_idx"), F.col("_best.overlap_frac").alias("overlap_frac"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
+from fieldloom.sessions import spread
 
 POINT_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
 
@@ -24,7 +25,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hexagon(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").selectExpr(
+    c = spread(table(spark, d, "customer")).selectExpr(
         "c_custkey", "c_nationkey", "'S' as slide", "cast(c_nationkey % 5 as int) as fov", "cast(c_custkey % 16 as int) as patch_idx", "c_custkey as object_idx", "c_mktsegment as cell_line",
         "cast((c_custkey * 7919) % 880 + 72 as double) as cx", "cast((c_custkey * 104729) % 880 + 72 as double) as cy", "cast(30 + c_custkey % 41 as double) as w", "cast(24 + c_custkey % 29 as double) as h",
     )
@@ -57,7 +58,7 @@ def myotubes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nested_squares(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").selectExpr(
+    p = spread(table(spark, d, "part")).selectExpr(
         "p_partkey as object_idx", "cast(p_partkey % 40 as int) as image_name", "p_partkey div 40 as line_no", "p_size", "cast((p_partkey * 211) % 700 + 160 as double) as cx", "cast((p_partkey * 367) % 700 + 160 as double) as cy", "cast(4 + p_size * 3 as double) as r"
     )
     cx, cy, r = F.col("cx"), F.col("cy"), F.col("r")

@@ -31,6 +31,11 @@ def ship(spark: SparkSession) -> None:
         env.setdefault(name, os.environ.get(name, value))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt to as many partitions as a shuffle has, which nothing merges again: rows of few bytes and much work lie in few files."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; one of our own only in local mode, where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)

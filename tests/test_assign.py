@@ -152,3 +152,22 @@ def test_shared_area_fetches_curved_outlines(spark):
     objects = spark.createDataFrame(rows, schema)
     got = {(r["a_idx"], r["b_idx"]): r["shared"] for r in A.with_shared_area(A.overlapping_pairs(objects, objects), objects, objects).collect()}
     assert got == pytest.approx({(1, 1): 32, (1, 2): 16, (2, 1): 16, (1, 3): 16, (3, 1): 16, (2, 2): 16, (2, 3): 8, (3, 2): 8, (3, 3): 32})
+
+
+def test_tubes_drawn_alike_meet_once(spark, monkeypatch):
+    """A nucleus meets an outline once, however many tubes have it, and boxes pass no join for their outlines."""
+    schema = f"slide string, fov int, patch_idx int, object_idx long, polygon {POLYGON.simpleString()}"
+    nuclei = spark.createDataFrame([("S", 0, 0, k, box(10 * k, 0, 10 * k + 10, 10)) for k in range(3)] + [("S", 0, 0, 3, [{"x": float(x), "y": float(y)} for x, y in ((31, 1), (39, 1), (35, 9))])], schema)
+    tubes = spark.createDataFrame([("S", 0, 3, 100 - k, box(0, 0, 100, 10)) for k in range(50)] + [("S", 1, 3, 7, box(0, 0, 100, 10))], schema)
+    met, fetched, own, joined = [], [], A.overlapping_pairs, A.with_shared_area
+
+    def counted(*args, **kw):
+        pairs = own(*args, **kw)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(A, "overlapping_pairs", counted)
+    monkeypatch.setattr(A, "with_shared_area", lambda pairs, *rest: (fetched.append(pairs.count()), joined(pairs, *rest))[1])
+    links = {r["nuc_idx"]: (r["myo_idx"], r["overlap_frac"]) for r in A.link_objects(nuclei, tubes).collect()}
+    assert links == {k: (51, pytest.approx(1.0)) for k in range(4)}
+    assert sum(met) == 4 and sum(fetched) == 1
