@@ -171,3 +171,76 @@ def test_tubes_drawn_alike_meet_once(spark, monkeypatch):
     links = {r["nuc_idx"]: (r["myo_idx"], r["overlap_frac"]) for r in A.link_objects(nuclei, tubes).collect()}
     assert links == {k: (51, pytest.approx(1.0)) for k in range(4)}
     assert sum(met) == 4 and sum(fetched) == 1
+
+
+def test_rules_over_many_layers(spark, monkeypatch):
+    """Each rule under 70 layers of outlines, some drawn twice, against all pairs; none but ``shared`` makes a row a pair."""
+    import random
+
+    rng = random.Random(2)
+    outlines = [[(rng.randint(-20, 220), rng.randint(-20, 220)) for _ in range(rng.choice((3, 4, 6, 9)))] for _ in range(60)]
+    outlines += [outlines[k] for k in range(0, 20, 2)] + [[], [(3, 3)]]
+    schema = f"slide string, fov int, patch_idx int, object_idx long, polygon {POLYGON.simpleString()}"
+    objects = spark.createDataFrame([("S", 0, k % 2, 7 * k % 73, [{"x": float(x) + 1024 * (k % 2), "y": float(y)} for x, y in p]) for k, p in enumerate(outlines)] + [("S", None, 0, 99, box(0, 0, 9, 9))], schema)
+    at = [(rng.choice((rng.uniform(-30, 230), rng.randint(-30, 230))), rng.choice((rng.uniform(-30, 230), rng.randint(-30, 230)))) for _ in range(400)]
+    points = spark.createDataFrame([("S", 0, k % 2, (k, str(k)), "g", float(x) + 1024 * (k % 2), float(y)) for k, (x, y) in enumerate(at)] + [("S", None, 0, (900, None), "g", 1.0, 1.0)], "slide string, fov int, patch_idx int, point_id struct<a: long, b: string>, target string, x double, y double")
+
+    def held(pixel):
+        out = {}
+        for r in A.candidates(points, objects, pixel=pixel).collect():
+            out.setdefault(r["point_id"]["a"], []).append(r["object_idx"])
+        return out
+
+    exact, pixels = held(False), held(True)
+    assert max(map(len, exact.values())) > 15
+    monkeypatch.setattr(A, "candidates", lambda *a, **k: pytest.fail("a row for each pair"))
+    rows = points.unionByName(points.where("point_id.a < 5"))  # some are there twice
+
+    def got(rule, **kw):
+        found = A.assign_points(rows, objects, rule, **kw).collect()
+        assert len({r["point_id"]["a"] for r in found}) == len(found) and all(r["target"] == "g" for r in found)
+        return {r["point_id"]["a"]: r["objects"] if rule == "random" else r["object_idx"] for r in found}
+
+    assert got("greedy") == {k: min(v) for k, v in exact.items()}
+    assert got("last", pixel=True) == {k: max(v) for k, v in pixels.items()}
+    assert got("null") == {k: v[0] for k, v in exact.items() if len(v) == 1}
+    assert got("random") == {k: sorted(v) for k, v in exact.items()}
+    painted = {r["point_id"]["a"]: r["object_idx"] for r in A.assign_painted(rows, objects).collect()}
+    assert painted == {k: min(v) for k, v in exact.items()} | {k: max(v) for k, v in pixels.items()}
+
+
+@pytest.mark.parametrize("rule", ["first", "only", "all", "try"])
+def test_search_goes_on_across_batches(monkeypatch, rule):
+    """A bin's tiles and points may come in any number of batches; a point that has its object is tested no further."""
+    import pyarrow as pa
+
+    from fieldloom.functions import search as S
+
+    def tile(b, k, x0, x1):
+        edges = [{"ix": x1, "iy": 8.0, "jx": x1, "jy": 0.0}, {"ix": x0, "iy": 0.0, "jx": x0, "jy": 8.0}]
+        return {"b": b, "object_idx": k, "_box": {"x0": x0, "y0": 0.0, "x1": x1, "y1": 8.0}, "_near": edges, "_far": [], "_odd": False, "_px": None, "_py": None, "p": None}
+
+    def point(b, p, x):
+        return {"b": b, "object_idx": None, "_box": None, "_near": None, "_far": None, "_odd": None, "_px": x, "_py": 4.0, "p": p}
+
+    rows = [tile("u", k, float(k % 3), 90.0) for k in range(40)] + [point("u", k, k / 2) for k in range(30)]
+    rows += [point("v", 0, 1.0)] + [tile("w", 7, 0.0, 5.0)] + [point("w", k // 2, 4.0 + k // 2) for k in range(6)]
+    f, i = pa.float64(), pa.int64()
+    near = pa.list_(pa.struct([(c, f) for c in ("ix", "iy", "jx", "jy")]))
+    schema = pa.schema([("b", pa.string()), ("object_idx", i), ("_box", pa.struct([(c, f) for c in ("x0", "y0", "x1", "y1")])), ("_near", near), ("_far", pa.list_(f)), ("_odd", pa.bool_()), ("_px", f), ("_py", f), ("p", i)])
+    tested, hold = [], S.Tiles.hold
+    monkeypatch.setattr(S.Tiles, "hold", lambda self, x, y, t, border: (tested.append(len(t)), hold(self, x, y, t, border))[1])
+    found = []
+    for size, pairs in ((1000, 10**6), (3, 5), (1, 1)):
+        monkeypatch.setattr(S, "ROWS", size)
+        monkeypatch.setattr(S, "PAIRS", pairs)
+        tested.clear()
+        batches = [pa.RecordBatch.from_pylist(rows[k : k + size], schema=schema) for k in range(0, len(rows), size)]
+        found.append([tuple(r.values()) for b in S.Search(rule, ["b"], "p", ["b", "p"], False)(iter(batches)) for r in b.to_pylist()])
+        assert rule in ("all", "only") or sum(tested) < 300  # of 1,200 pairs
+    assert found[0] == found[1] == found[2]
+    layers = [[k for k in range(40) if x / 2 >= k % 3] for x in range(30)]
+    want = {"first": lambda v: v[0], "try": lambda v: v[0], "only": lambda v: None, "all": lambda v: v}[rule]
+    assert [r[2] for r in found[0] if r[0] == "u"] == [want(v) for v in layers if rule != "only"]
+    assert [r[:2] for r in found[0] if r[0] == "v"] == ([("v", 0)] if rule == "try" else [])
+    assert [r[1] for r in found[0] if r[0] == "w"] == ([0, 1, 2] if rule == "try" else [0])
