@@ -219,3 +219,27 @@ def test_best_ratios_against_all_pairs(spark):
     assert len(got) == len(left)
     for x in left:
         assert got[x] == max((difflib.SequenceMatcher(None, y, x).ratio() for y in right), default=0.0), x
+
+
+def test_characters_of_one_list_join_nothing(spark, monkeypatch):
+    """Names of which only a few first characters are in any candidate: once these are matched, no pair is left to compare."""
+    import difflib
+    import hashlib
+
+    from fieldloom.operators import matching as N
+
+    right = [hashlib.md5(str(k).encode()).hexdigest()[:20] for k in range(40)]
+    left = [right[k % 40][: 4 + k % 7] + "".join(chr(ord("k") + (k * j) % 15) for j in range(16 - k % 7)) for k in range(120)]
+    a = spark.createDataFrame([(f"{x}.tif", x) for x in left], "name string, stem string")
+    b = spark.createDataFrame([(x,) for x in right], "_stem string")
+    compared = []
+
+    def spread(df):
+        compared.extend([df.count()] * ("_first" in df.columns and "_stem" in df.columns))
+        return df
+
+    monkeypatch.setattr(N, "spread", spread)
+    got = {r["name"][:-4]: r["best"] for r in N.best_ratios(a, b).collect()}
+    for x in left:
+        assert got[x] == max(difflib.SequenceMatcher(None, y, x).ratio() for y in right)
+    assert compared and sum(compared) < 100  # of 4,800 pairs
