@@ -251,8 +251,7 @@ def fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT fov, object_idx, round(avg(v), 6) AS average_intensity, round(median(v), 6) AS median_intensity, round(stddev_samp(v), 6) AS stddev_intensity FROM (SELECT t.fov, m.object_idx, CAST(t.l_quantity AS DOUBLE) AS v FROM v_tx t JOIN v_myo m ON t.fov = m.fov AND t.x BETWEEN m.x0 AND m.x0 + 420 AND t.y BETWEEN m.y0 AND m.y0 + 340) GROUP BY ALL""")
 def tube_intensity(spark: SparkSession, d: str) -> DataFrame:
-    pixels = A.assign_points(V.points(spark, d).withColumn("value", F.col("point_id.l_quantity")).drop("patch_idx"), V.myotubes(spark, d).drop("patch_idx"), "shared", keys=A.FIELD)
-    m = M.tube_intensity(pixels, ["fov", "object_idx"])
+    m = M.intensity_in_tubes(V.points(spark, d).withColumn("value", F.col("point_id.l_quantity")).drop("patch_idx"), V.myotubes(spark, d))
     return m.select("fov", "object_idx", *(F.round(c, 6).alias(c) for c in ("average_intensity", "median_intensity", "stddev_intensity")))
 
 

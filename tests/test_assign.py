@@ -276,3 +276,27 @@ def test_containment_of_outlines_drawn_alike(spark, monkeypatch):
     for large, inside in by.items():
         gone |= {large} if len(inside) >= 3 and large != ("a", 3) else inside
     assert {(r["image_name"], r["object_idx"]) for r in O.removals(objects).collect()} == gone
+
+
+def test_intensity_of_tubes_drawn_alike(spark, monkeypatch):
+    """A pixel meets an outline once, however many tubes have it; values with repeats, one, none and null."""
+    import statistics
+
+    from fieldloom.operators import measure as M
+
+    tubes = spark.createDataFrame([("S", 0, k, box(0, 0, 100, 100)) for k in range(20)] + [("S", 0, 30, box(200, 0, 300, 100)), ("S", 0, 31, box(500, 0, 600, 100)), ("S", 0, 32, box(700, 0, 800, 100)), ("S", 1, 0, box(200, 0, 300, 100))], f"slide string, fov int, object_idx long, polygon {POLYGON.simpleString()}")
+    values = [3.0, 3.0, 7.5, 1.0, 3.0, 9.0, None]
+    points = spark.createDataFrame([("S", 0, k, 5.5 + k, 5.5, v) for k, v in enumerate(values)] + [("S", 0, 50, 250.5, 5.5, 4.0), ("S", 0, 51, 750.5, 5.5, None)], "slide string, fov int, point_id long, x double, y double, value double")
+    met, own = [], A.assign_points
+
+    def counted(*args, **kw):
+        found = own(*args, **kw)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(A, "assign_points", counted)
+    got = {(r["fov"], r["object_idx"]): (r["average_intensity"], r["median_intensity"], r["stddev_intensity"]) for r in M.intensity_in_tubes(points, tubes).collect()}
+    known = [v for v in values if v is not None]
+    want = {(0, k): pytest.approx((statistics.mean(known), statistics.median(known), statistics.stdev(known))) for k in range(20)}
+    assert got == want | {(0, 30): (4.0, 4.0, None), (0, 32): (None, None, None)}
+    assert met == [len(values) + 2]
