@@ -300,3 +300,17 @@ def test_intensity_of_tubes_drawn_alike(spark, monkeypatch):
     want = {(0, k): pytest.approx((statistics.mean(known), statistics.median(known), statistics.stdev(known))) for k in range(20)}
     assert got == want | {(0, 30): (4.0, 4.0, None), (0, 32): (None, None, None)}
     assert met == [len(values) + 2]
+
+
+def test_shared_counts_without_pairs(spark, monkeypatch):
+    """Counts of the shared rule by rows of pixels and by pairs, over concave and crossed outlines, against all pairs."""
+    import random
+
+    rng = random.Random(6)
+    outlines = [[(rng.choice((rng.randint(-20, 220), rng.uniform(-20, 220))), rng.choice((rng.randint(-20, 220), rng.uniform(-20, 220)))) for _ in range(rng.choice((3, 4, 6, 9)))] for _ in range(50)] + [[], [(3, 3)]]
+    objects = spark.createDataFrame([("S", 0, k % 2, k, [{"x": float(x) + 1024 * (k % 2), "y": float(y)} for x, y in p]) for k, p in enumerate(outlines)], f"slide string, fov int, patch_idx int, object_idx long, polygon {POLYGON.simpleString()}")
+    at = [(rng.randrange(0, 128, 4), rng.randrange(0, 128, 8)) for _ in range(900)] + [(rng.uniform(-30, 230), rng.uniform(-30, 230)) for _ in range(100)]
+    points = spark.createDataFrame([("S", 0, k % 2, k, rng.choice(("g", "h", None)), float(x) + 1024 * (k % 2), float(y)) for k, (x, y) in enumerate(at)], "slide string, fov int, patch_idx int, point_id long, target string, x double, y double")
+    want = sorted(map(repr, A.count_matrix(A.assign_points(points, objects, "shared")).collect()))
+    monkeypatch.setattr(A, "candidates", lambda *a, **k: pytest.fail("a row for each pair"))
+    assert sorted(map(repr, A.shared_counts(points, objects).collect())) == want and len(want) > 50
